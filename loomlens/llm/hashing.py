@@ -119,9 +119,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int, lower: bool =
             if b - a >= width:
                 yield np.unique(runs[a : b - width + 1])
             elif b > a:
-                x = U(b - a)
+                x = np.array([b - a], U)
                 for w in h[a:b]:
-                    x = mix(np.array([x * _MULT + w], U))[0]
-                yield np.array([x], U)
+                    x = mix(x * _MULT + w)
+                yield x
             else:
                 yield np.zeros(0, U)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality
+from . import bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontaminate.op1,
     "op2_byte_level_bpe": bpe.op2,
+    "op3_suffix_array_dedup": suffix_dedup.op3,
     "op4_quality_rules": quality.op4,
+    "op5_minhash_near_dedup": minhash.op5,
+    "op6_substring_dedup": substring_dedup.op6,
+    "op9_token_store": token_store.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 ORACLE_SQL = {

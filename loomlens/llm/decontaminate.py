@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrowed, words_of
+from .common import materialize, narrowed, words_of
 
 SHINGLE, PERCENT, RADIUS, BITS = 5, 80, 26, 64
 
@@ -52,7 +52,8 @@ def _simhash(bag: str) -> Column:
         ones = F.size(F.filter(bag, lambda h: F.getbit(h, b) == 1))
         return acc.bitwiseOR(F.when(2 * ones > F.size(bag), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), vote)
+    # (Never null: else every join on it would be preceded by a test that computes it again.)
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), vote), F.lit(0).cast("bigint"))
 
 
 def _cuts() -> list[tuple[int, int]]:
@@ -77,14 +78,14 @@ def decontaminate(
 ) -> DataFrame:
     """doc_id, item_id, start (word of the first leaking window), n_windows, similarity (largest, six digits)."""
     item = narrowed(items, item_col, item_text).select(F.col(item_col).alias("item"), _clean_words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    item = item.withColumn("k", F.least(F.lit(shingle), F.size("w")))
+    item = materialize(item.withColumn("k", F.least(F.lit(shingle), F.size("w"))), "items")
     # Widths are at most ``shingle`` numbers: five for short items, usually one.
     widths = sorted(r[0] for r in item.select("k").distinct().collect()) or [shingle]
     by_width = None
     for k in widths:
         part = item.where(F.col("k") == k).select("item", F.size("w").alias("len"), F.lit(k).alias("k"), _shingles("w", k).alias("bag"))
         by_width = part if by_width is None else by_width.unionByName(part)
-    item = by_width
+    item = materialize(by_width.withColumn("item_print", _simhash("bag")), "item-bags")
     small = item.agg(F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()[0] <= max_broadcast_rows
     hint = F.broadcast if small else (lambda x: x)
 
@@ -115,7 +116,7 @@ def decontaminate(
     bags = hashed(texts, "windows").select("doc", "k", "all", F.explode_outer("windows").alias("x")).where(F.col("x.k") == F.col("k"))
     bags = bags.select("doc", "k", F.col("x.len").alias("len"), F.col("x.start").alias("start"), F.slice("all", F.col("x.start") + 1, F.col("x.n")).alias("bag"), F.col("x.n").alias("n")).where(F.size("bag") == F.col("n"))
     prints = bags.withColumn("print", _simhash("bag"))
-    item_prints = item.withColumn("item_print", _simhash("bag")).withColumnRenamed("bag", "item_bag")
+    item_prints = item.withColumnRenamed("bag", "item_bag")
     a = prints.withColumn("b", _blocks("print")).select("*", F.col("b.no").alias("no"), F.col("b.value").alias("value")).drop("b")
     b = item_prints.withColumn("b", _blocks("item_print")).select("item", "len", "k", "item_bag", "item_print", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
     pairs = a.join(hint(b), ["k", "len", "no", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, suffix_dedup, token_store
+from . import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_quality_rules": quality.op4,
     "op5_minhash_near_dedup": minhash.op5,
     "op6_substring_dedup": substring_dedup.op6,
+    "op7_pii_pseudonyms": pii.op7,
+    "op8_html_extraction": html_extract.op8,
     "op9_token_store": token_store.op9,
     "op10_line_dedup": line_dedup.op10,
 }

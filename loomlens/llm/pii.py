@@ -32,7 +32,7 @@ PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-+/]{12,}))"
-    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}([-/.])[0-9]{2}\4[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\5[0-9]{4})(?![\w-]|\.[0-9]))"
+    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4})(?![\w-]|\.[0-9]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-]))"
@@ -218,7 +218,6 @@ def pseudonymise(text: str, key: str = DEFAULT_KEY) -> tuple[str, list[tuple[str
         return text, found
     out, done, at = [], 0, 0
     while m := PATTERN.search(text, at):
-        kind = m.lastgroup if m.lastgroup != "value" else "secret"
         if m["secret"]:
             kind, (start, end) = "secret", m.span("value")
             new = _mixed(m["value"], _kind_key(key, kind))

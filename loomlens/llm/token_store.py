@@ -22,6 +22,7 @@ an empty store; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -50,39 +51,101 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Marks that end a word; a letter before one always ends its pre-token.
+MARKS = ".,;:!?\"')]}%$#&*|"
+_UNSAFE = re.compile(r" (?=\s|\Z)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, more = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in out:
+            out[b], more = chr(more), more + 1
+    return out
+
+
 class Encoder:
-    """Texts to little-endian uint32 bytes, piece by piece, with a cache of pieces."""
+    """Texts to little-endian uint32 bytes, piece by piece.
+
+    ``known`` maps a piece to the bytes of its ids; the blank before it is left out of the key, and a
+    piece without one is marked by a blank (no other key begins with white space). It is filled first come, first served, up to CACHE; later
+    pieces are kept for a while in ``recent``.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        described = str(self.tokenizer.pre_tokenizer)
+        #: A blank and letters are one pre-token, which the library's BPE model can take directly.
+        self.direct = "ByteLevel" in described and "Sequence" not in described and "add_prefix_space=False" in described and self.tokenizer.normalizer is None
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Cut before each blank that is followed by a character which is not white space."""
-        head, *rest = text.split(" ")
-        out = [head] if head else []
-        for p in rest:
-            if not out or (p and not p[0].isspace()):
-                out.append(" " + p)
+        """Keys of the text's pieces, cut before each blank that is followed by a character which is not white space."""
+        parts = text.split(" ")
+        if not _UNSAFE.search(text):
+            parts[0] = " " + parts[0]
+            return parts
+        out = [" " + parts[0]]
+        for p in parts[1:]:
+            if p and not p[0].isspace():
+                out.append(p)
             else:
                 out[-1] += " " + p
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        new = list({p for c in cut for p in c if p not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({p for c in cut for p in c})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([cache[p] for p in c]) for c in cut]
+    def _whole(self, key: str) -> bytes:
+        text = key[1:] if key[:1] == " " else " " + key
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def _new(self, key: str) -> bytes:
+        """Ids of a piece that is not remembered; words, marks and single line ends apart where that is safe."""
+        if not self.direct:
+            return self._whole(key)
+        if "\n" in key:
+            lines = key.split("\n")
+            if all(x and not x.isspace() and not any(c.isspace() for c in x) for x in (lines[0].removeprefix(" "), *lines[1:])):
+                end = self(" \n")
+                return end.join([self(lines[0]), *[self(" " + x) for x in lines[1:]]])
+            return self._whole(key)
+        stem = key.rstrip(MARKS)
+        word = stem[1:] if stem[:1] == " " else stem
+        if not word.isalpha():
+            return self._whole(key)
+        if len(stem) < len(key):
+            return self(stem) + self(" " + key[len(stem) :])
+        raw = (word if stem is not word else " " + word).encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
+
+    def __call__(self, key: str) -> bytes:
+        got = self.known.get(key)
+        if got is None:
+            got = self.recent.get(key)
+        if got is None:
+            got = self._new(key)
+            if len(key) > 64:
+                return got
+            if len(self.known) < CACHE:
+                self.known[key] = got
+            else:
+                if len(self.recent) >= CACHE // 4:
+                    self.recent.clear()
+                self.recent[key] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        keys = self.pieces(text)
+        ids = list(map(self.known.get, keys))
+        if None in ids:
+            ids = [x if x is not None else self(k) for x, k in zip(ids, keys, strict=True)]
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
@@ -162,18 +225,18 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, part, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        shard, part, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
         keys, ids, size = [], [], 0
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(names), 512):
-                for k, x in zip(names[i : i + 512], encode([t or "" for t in texts.slice(i, 512).to_pylist()]), strict=True):
-                    # Rows of one key stay in one part, as they share a slot.
-                    if size >= 4 * PART_IDS and k != keys[-1]:
-                        yield pa.RecordBatch.from_pylist([_row(shard, part, keys, ids)], schema=arrow)
-                        keys, ids, size, part = [], [], 0, part + 1
-                    keys.append(k), ids.append(x + end)
-                    size += len(x) + 4
+            for k, t in zip(names, texts, strict=True):
+                x = encode(t.as_py() or "")
+                # Rows of one key stay in one part, as they share a slot.
+                if size >= 4 * PART_IDS and k != keys[-1]:
+                    yield pa.RecordBatch.from_pylist([_row(shard, part, keys, ids)], schema=arrow)
+                    keys, ids, size, part = [], [], 0, part + 1
+                keys.append(k), ids.append(x + end)
+                size += len(x) + 4
         if keys:
             yield pa.RecordBatch.from_pylist([_row(shard, part, keys, ids)], schema=arrow)
 

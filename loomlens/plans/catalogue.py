@@ -1,6 +1,411 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries: every relational operator over the driver's tables, and its DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scores as S
+from ..operators import churn as C
+from ..operators import clones, graph, scope
+
+NOW = 1_706_745_600  # 2024-02-01
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))"
+
+
+def query(sql: str | None):
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_R = lambda x, k: f"round(({x}) * {10.0**k}) / {10.0**k}"
+_EPOCH_SQL = "epoch_us(ts) // 1000000"
+
+
+def _churn_sql(path: str, window: float) -> str:
+    age = f"({NOW} - t) / 86400.0"
+    return f"""c0 AS (SELECT {path} AS path, {_EPOCH_SQL} AS t FROM events),
+c1 AS (SELECT path, count(*) AS commits,
+  coalesce(sum(exp(-({age}) / 90.0 * ln(2))) FILTER (WHERE {age} >= 0 AND {age} <= {window}), 0.0) AS weight,
+  count(*) FILTER (WHERE {age} >= 0 AND {age} <= {window} AND t < {NOW - window / 2 * 86400}) AS a,
+  count(*) FILTER (WHERE {age} >= 0 AND {age} <= {window} AND t >= {NOW - window / 2 * 86400}) AS b
+  FROM c0 GROUP BY path),
+c2 AS (SELECT *, CASE WHEN a = 0 AND b = 0 THEN 'stable' WHEN a = 0 THEN 'accelerating' WHEN b / a > 1.5 THEN 'accelerating'
+  WHEN b / a < 0.67 THEN 'cooling' ELSE 'stable' END AS trend FROM c1)"""
+
+
+def _events(spark, d):
+    return read(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props", F.expr(EPOCH).alias("t"))
+
+
+def _density(events: DataFrame) -> DataFrame:
+    return events.groupBy(F.col("user_id").alias("path")).agg((F.sum(F.floor("value")) / F.count(F.lit(1)) / 100.0).alias("density"), F.countDistinct("event_type").alias("fan_in"))
+
+
+@query(f"""WITH {_churn_sql("user_id", 60.0)},
+s AS (SELECT user_id AS path, sum(floor(value)) / count(*) / 100.0 AS density, count(DISTINCT event_type) AS fan_in FROM events GROUP BY 1)
+SELECT path, {_R("weight / max(weight) OVER () * (density / max(density) OVER ()) * 100.0", 2)} AS score, commits,
+{_R("weight", 4)} AS weighted_commits, {_R("density", 4)} AS complexity_density, fan_in, trend FROM s JOIN c2 USING (path)""")
+def churn_hotspots(spark, d):
+    """H1: users as files, events as commits."""
+    e = _events(spark, d)
+    return C.hotspots(_density(e), C.churn(e, "user_id", F.col("t"), NOW, 60.0))
+
+
+@query(f"""WITH {_churn_sql("event_type", 30.0)} SELECT path, commits, {_R("weight", 4)} AS weighted, a::DOUBLE AS first_half, b::DOUBLE AS second_half, trend FROM c2""")
+def churn_trend_types(spark, d):
+    c = C.churn(_events(spark, d), "event_type", F.col("t"), NOW, 30.0)
+    return c.select("path", "commits", S.rounded(F.col("weight"), 4).alias("weighted"), "first_half", "second_half", "trend")
+
+
+@query(f"""WITH {_churn_sql("(event_id % 977)", 40.0)} SELECT trend, count(*) AS n, sum(commits)::BIGINT AS commits FROM c2 GROUP BY trend""")
+def churn_trend_counts(spark, d):
+    """Trends of many sparse paths."""
+    e = _events(spark, d).withColumn("p", F.col("event_id") % 977)
+    return C.churn(e, "p", F.col("t"), NOW, 40.0).groupBy("trend").agg(F.count(F.lit(1)).alias("n"), F.sum("commits").alias("commits"))
+
+
+def _imports(spark, d):
+    o, l = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    return graph.distinct_edges(l.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "l_suppkey")
+
+
+_IMPORTS = "e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+@query(f"WITH {_IMPORTS} SELECT c_custkey AS node, count(dst) AS fan_out FROM customer LEFT JOIN e ON src = c_custkey GROUP BY 1")
+def fan_out(spark, d):
+    nodes = read(spark, d, "customer").select(F.col("c_custkey").alias("node"))
+    return nodes.join(graph.fan_out(_imports(spark, d)), "node", "left").fillna(0, ["fan_out"])
+
+
+@query(f"WITH {_IMPORTS} SELECT s_suppkey AS node, count(src) AS fan_in FROM supplier LEFT JOIN e ON dst = s_suppkey GROUP BY 1")
+def fan_in(spark, d):
+    nodes = read(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+    return nodes.join(graph.fan_in(_imports(spark, d)), "node", "left").fillna(0, ["fan_in"])
+
+
+_ALLOW = "(VALUES (0, 1), (1, 2), (1, 0), (2, 3), (3, 4)) a(zone, target)"
+
+
+@query(f"""WITH {_IMPORTS}, n AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM e JOIN customer c ON c_custkey = src JOIN supplier s ON s_suppkey = dst)
+SELECT n.src, n.dst, r1.r_name AS from_zone, r2.r_name AS to_zone FROM n JOIN nation a1 ON a1.n_nationkey = n.src JOIN nation a2 ON a2.n_nationkey = n.dst
+JOIN region r1 ON r1.r_regionkey = a1.n_regionkey JOIN region r2 ON r2.r_regionkey = a2.n_regionkey
+WHERE a1.n_regionkey <> a2.n_regionkey AND NOT EXISTS (SELECT 1 FROM {_ALLOW} WHERE zone = a1.n_regionkey AND target = a2.n_regionkey)""")
+def zone_violations(spark, d):
+    """H7: nations as files, regions as zones."""
+    c, s = read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    e = _imports(spark, d).join(c, F.col("src") == F.col("c_custkey")).join(s, F.col("dst") == F.col("s_suppkey"))
+    e = graph.distinct_edges(e.select("c_nationkey", "s_nationkey"), "c_nationkey", "s_nationkey")
+    r = read(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("zone"))
+    n = read(spark, d, "nation").join(r, "n_regionkey").select(F.col("n_nationkey").alias("node"), "zone")
+    rule = spark.createDataFrame([(0, 1), (1, 2), (1, 0), (2, 3), (3, 4)], "a int, b int")
+    rule = rule.join(r.toDF("a", "zone"), "a").join(r.toDF("b", "target"), "b").select("zone", "target")
+    return scope.zone_violations(e, n, rule).select("src", "dst", "from_zone", "to_zone")
+
+
+_Q = (0.25, 0.75, 0.90, 0.95)
+
+
+@query("WITH v AS (SELECT c_nationkey AS k, list_sort(list(floor(c_acctbal)::BIGINT)) AS v FROM customer GROUP BY 1) SELECT k, "
+       + ", ".join(f"v[round((len(v) - 1) * {p}::DOUBLE)::INT + 1] AS p{round(p * 100)}" for p in _Q) + ", greatest(v[round((len(v) - 1) * 0.95::DOUBLE)::INT + 1], 10) AS p95_floor FROM v")
+def percentile_floors(spark, d):
+    """Nearest ranks with floors."""
+    v = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sort_array(F.collect_list(F.floor("c_acctbal"))).alias("v"))
+    cols = [S.nearest_rank(F.col("v"), p).alias(f"p{round(p * 100)}") for p in _Q]
+    return v.select("k", *cols, F.greatest(S.nearest_rank(F.col("v"), 0.95), F.lit(10)).cast("long").alias("p95_floor"))
+
+
+@query("""WITH l AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line, doc_id FROM documents)
+SELECT md5(line) AS line_md5, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM l WHERE line <> '' GROUP BY line HAVING count(*) > 1""")
+def dup_lines(spark, d):
+    l = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
+    l = l.select("doc_id", F.md5("line").alias("line_md5"))
+    return l.groupBy("line_md5").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n > 1")
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\n]'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, md5(array_to_string(w[i:i + 29], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 28)) AS i FROM w WHERE len(w) >= 30))
+SELECT h AS window_md5, count(*) AS n FROM g GROUP BY h HAVING count(*) > 1""")
+def dup_windows(spark, d):
+    """G8, seeds: 30-token windows that occur more than once."""
+    t = read(spark, d, "documents").select("doc_id", F.filter(F.split("text", "[ \n]"), lambda x: x != "").alias("tokens"))
+    return clones.repeated_windows(t, "doc_id", "tokens", 30)
+
+
+@query("""WITH r AS (SELECT l_orderkey % 50 AS path, l_partkey % 400 AS a, l_partkey % 400 + l_quantity::INT - 1 AS b FROM lineitem WHERE l_linenumber <= 2),
+u AS (SELECT DISTINCT path, unnest(range(a, b + 1)) AS line FROM r) SELECT path, count(*) AS duplicated_lines FROM u GROUP BY path""")
+def dup_line_union(spark, d):
+    """Lines covered by overlapping ranges, each once."""
+    r = read(spark, d, "lineitem").where("l_linenumber <= 2").select((F.col("l_orderkey") % 50).alias("path"), (F.col("l_partkey") % 400).alias("a"), F.col("l_quantity").cast("int").alias("n"))
+    return clones.covered_lines(r.select("path", "a", (F.col("a") + F.col("n") - 1).alias("b")), "path", "a", "b")
+
+
+@query("""SELECT page_id AS src, url AS from_url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier FROM pages""")
+def link_edges(spark, d):
+    """Links as raw imports."""
+    p = read(spark, d, "pages")
+    return p.select(F.col("page_id").alias("src"), F.col("url").alias("from_url"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("specifier"))
+
+
+def _successors(spark, d):
+    """Users in the order of large events: a small directed graph with a cycle."""
+    w = Window.orderBy("t", "event_id")  # a few dozen rows; the graph is this small by its definition
+    e = _events(spark, d).where("value > 300").select("user_id", F.lead("user_id").over(w).alias("nxt"))
+    return graph.distinct_edges(e, "user_id", "nxt")
+
+
+_SUCC = f"""e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY {_EPOCH_SQL}, event_id) AS dst FROM events WHERE value > 300) WHERE dst IS NOT NULL),
+nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"""
+
+
+def _nodes(e: DataFrame) -> DataFrame:
+    return e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+@query(f"WITH RECURSIVE {_SUCC}, r AS (SELECT min(node) AS node FROM nodes UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r WHERE node IS NOT NULL")
+def reach_from_entries(spark, d):
+    e = _successors(spark, d)
+    return graph.reachable(e, _nodes(e).agg(F.min("node").alias("node")).where("node IS NOT NULL"))
+
+
+@query(f"WITH RECURSIVE {_SUCC}, r AS (SELECT min(node) AS node FROM nodes UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM r WHERE node IS NOT NULL)")
+def unused_nodes(spark, d):
+    """Files that no entry reaches."""
+    e = _successors(spark, d)
+    n = _nodes(e)
+    return n.join(graph.reachable(e, n.agg(F.min("node").alias("node")).where("node IS NOT NULL")), "node", "left_anti")
+
+
+@query(f"""WITH RECURSIVE {_SUCC}, c AS (SELECT * FROM e WHERE dst % 7 <> 0), d AS (SELECT DISTINCT dst AS node FROM c WHERE src % 7 = 0),
+r AS (SELECT node FROM d UNION SELECT c.dst FROM r JOIN c ON c.src = r.node AND c.src % 7 <> 0)
+SELECT node, CASE WHEN node IN (SELECT node FROM d) THEN 85.0 WHEN node IN (SELECT node FROM r) THEN 40.0 ELSE 0.0 END::DOUBLE AS coverage FROM nodes""")
+def coverage_labels(spark, d):
+    e = _successors(spark, d)
+    return graph.coverage_labels(_nodes(e).withColumn("is_test", F.col("node") % 7 == 0), e)
+
+
+@query(f"""WITH RECURSIVE {_SUCC}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+SELECT x.a AS node, min(least(x.a, x.b)) AS scc FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1""")
+def scc_members(spark, d):
+    return graph.scc(_successors(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_SUCC}, r AS (SELECT min(node) AS node, 0 AS depth FROM nodes UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 2),
+m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT src, dst, depth + 1 AS depth FROM e JOIN m ON m.node = e.src""")
+def trace_depth3(spark, d):
+    e = _successors(spark, d)
+    return graph.trace(e, _nodes(e).agg(F.min("node").alias("node")), 3)
+
+
+_UNITS = """u AS (SELECT l_orderkey AS path, sum(l_linenumber) AS cc, sum(l_quantity)::BIGINT AS lines, count(DISTINCT l_suppkey) AS fan_out, count(*) AS n,
+  count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS dead, max(l_linenumber) AS top FROM lineitem GROUP BY 1),
+s AS (SELECT *, cc / greatest(lines, 1) AS density FROM u)"""
+_MI = "least(100.0, greatest(0.0, 100.0 - density * 30.0 * least(lines / 50.0::DOUBLE, 1.0) - dead * 20.0 - least(ln(fan_out + 1.0) * 4.0, 15.0)))"
+
+
+def _units(spark, d):
+    l = read(spark, d, "lineitem")
+    u = l.groupBy(F.col("l_orderkey").alias("path")).agg(
+        F.sum("l_linenumber").alias("cc"), F.sum("l_quantity").cast("long").alias("lines"), F.countDistinct("l_suppkey").alias("fan_out"), F.count(F.lit(1)).alias("n"),
+        (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("dead"), F.max("l_linenumber").cast("long").alias("top"),
+    )
+    return u.withColumn("density", F.col("cc") / F.greatest(F.col("lines"), F.lit(1)))
+
+
+@query(f"WITH {_UNITS} SELECT path, {_R(_MI, 2)} AS maintainability, {_R('density', 4)} AS density FROM s")
+def maintainability(spark, d):
+    """Orders as files, items as functions."""
+    mi = S.maintainability(F.col("density"), F.col("dead"), F.col("fan_out"), F.col("lines"))
+    return _units(spark, d).select("path", S.rounded(mi, 2).alias("maintainability"), S.rounded(F.col("density"), 4).alias("density"))
+
+
+@query("""SELECT l_orderkey AS path, l_linenumber AS seq, round((cc * cc * b * b * b + cc) * 100.0) / 100.0 AS crap FROM (
+SELECT *, l_linenumber::DOUBLE AS cc, 1.0::DOUBLE - (CASE l_returnflag WHEN 'R' THEN 85.0 WHEN 'A' THEN 40.0 ELSE 0.0 END)::DOUBLE / 100.0::DOUBLE AS b FROM lineitem)""")
+def crap(spark, d):
+    cov = F.when(F.col("l_returnflag") == "R", 85.0).when(F.col("l_returnflag") == "A", 40.0).otherwise(0.0)
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("seq"), S.rounded(S.crap(F.col("l_linenumber"), cov), 2).alias("crap"))
+
+
+_BIN = "CASE WHEN {0} <= {1} THEN 'low' WHEN {0} <= {2} THEN 'medium' WHEN {0} <= {3} THEN 'high' ELSE 'very_high' END"
+
+
+@query(f"""WITH b AS (SELECT 'unit_size' AS profile, {_BIN.format("l_quantity * 2", 15, 30, 60)} AS bin FROM lineitem UNION ALL
+SELECT 'unit_interfacing', {_BIN.format("l_linenumber", 2, 4, 6)} FROM lineitem)
+SELECT profile, bin, count(*) AS n, {_R("count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lineitem)", 2)} AS percent FROM b GROUP BY 1, 2""")
+def risk_profile(spark, d):
+    """A7, P5, P6, P15 in one pass: both bins of a row are exploded after the scan."""
+    l = read(spark, d, "lineitem").select(F.explode(F.create_map(F.lit("unit_size"), S.size_bin(F.col("l_quantity") * 2), F.lit("unit_interfacing"), S.parameter_bin(F.col("l_linenumber")))).alias("profile", "bin"))
+    c = l.groupBy("profile", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("percent", S.rounded(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("profile")), 2))
+
+
+@query(f"""WITH {_UNITS}, m AS (SELECT *, {_MI} AS mi FROM s),
+a AS (SELECT least(avg(CASE WHEN dead = 1 THEN 1.0 ELSE 0.0 END) * 100 * 0.2, 15.0) AS dead_files, least(avg(CASE WHEN cc >= 25 THEN 1.0 ELSE 0.0 END) * 100 * 4.0, 20.0) AS complexity,
+  least(avg(CASE WHEN mi < 85 THEN 1.0 ELSE 0.0 END) * 100 * 1.5, 15.0) AS upkeep, least(avg(CASE WHEN lines > 160 THEN 1.0 ELSE 0.0 END) * 1000 * 0.5, 10.0) AS unit_size FROM m),
+b AS (SELECT *, least(100.0, greatest(0.0, 100.0 - (dead_files + complexity + upkeep + unit_size))) AS score FROM a)
+SELECT {_R("dead_files", 4)} AS dead_files, {_R("complexity", 4)} AS complexity, {_R("upkeep", 4)} AS upkeep, {_R("unit_size", 4)} AS unit_size, {_R("score", 1)} AS score,
+CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM b""")
+def health_score(spark, d):
+    """Capped penalties of one pass over the units, then the grade of the unrounded score."""
+    u = _units(spark, d).withColumn("mi", S.maintainability(F.col("density"), F.col("dead"), F.col("fan_out"), F.col("lines")))
+    share = lambda c, k, top: F.least(F.avg(F.when(c, 1.0).otherwise(0.0)) * k[0] * k[1], F.lit(top))
+    a = u.agg(
+        share(F.col("dead") == 1, (100, 0.2), 15.0).alias("dead_files"), share(F.col("cc") >= 25, (100, 4.0), 20.0).alias("complexity"),
+        share(F.col("mi") < 85, (100, 1.5), 15.0).alias("upkeep"), share(F.col("lines") > 160, (1000, 0.5), 10.0).alias("unit_size"),
+    )
+    parts = ["dead_files", "complexity", "upkeep", "unit_size"]
+    s = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 - (F.col("dead_files") + F.col("complexity") + F.col("upkeep") + F.col("unit_size"))))
+    return a.withColumn("s", s).select(*[S.rounded(F.col(p), 4).alias(p) for p in parts], S.rounded(F.col("s"), 1).alias("score"), S.grade(F.col("s")).alias("grade"))
+
+
+_TARGET = f"""WITH {_UNITS}, p AS (SELECT *, least({_R('density', 4)}, 1.0) * 30.0 + dead * 20.0 + least(fan_out / 8.0::DOUBLE, 1.0) * 10.0 AS priority,
+CASE WHEN {_R('density', 4)} > 0.3 AND fan_out >= 5 THEN 'split_high_impact' WHEN dead >= 0.5 AND n >= 3 THEN 'remove_dead_code' WHEN top >= 6 THEN 'extract_complex_functions'
+WHEN fan_out >= 5 AND {_MI} < 90 THEN 'reduce_coupling' END AS category,
+CASE WHEN lines < 100 AND n <= 3 THEN 'low' WHEN lines >= 180 OR n >= 7 THEN 'high' ELSE 'medium' END AS effort FROM s)
+SELECT path, category, effort, {_R('priority', 2)} AS priority, {_R("priority / CASE effort WHEN 'low' THEN 1.0::DOUBLE WHEN 'medium' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END", 2)} AS efficiency FROM p WHERE category IS NOT NULL"""
+
+
+@query(_TARGET)
+def target_category(spark, d):
+    """An ordered choice in one expression."""
+    u = _units(spark, d).withColumn("density", S.rounded(F.col("density"), 4))
+    raw = F.col("cc") / F.greatest(F.col("lines"), F.lit(1))
+    mi = S.maintainability(raw, F.col("dead"), F.col("fan_out"), F.col("lines"))
+    category = (
+        F.when((F.col("density") > 0.3) & (F.col("fan_out") >= 5), "split_high_impact").when((F.col("dead") >= 0.5) & (F.col("n") >= 3), "remove_dead_code")
+        .when(F.col("top") >= 6, "extract_complex_functions").when((F.col("fan_out") >= 5) & (mi < 90), "reduce_coupling")
+    )
+    effort = F.when((F.col("lines") < 100) & (F.col("n") <= 3), "low").when((F.col("lines") >= 180) | (F.col("n") >= 7), "high").otherwise("medium")
+    priority = F.least(F.col("density"), F.lit(1.0)) * 30.0 + F.col("dead") * 20.0 + F.least(F.col("fan_out") / 8.0, F.lit(1.0)) * 10.0
+    u = u.select("path", category.alias("category"), effort.alias("effort"), priority.alias("p")).where("category IS NOT NULL")
+    divisor = F.when(F.col("effort") == "low", 1.0).when(F.col("effort") == "medium", 2.0).otherwise(3.0)
+    return u.select("path", "category", "effort", S.rounded(F.col("p"), 2).alias("priority"), S.rounded(F.col("p") / divisor, 2).alias("efficiency"))
+
+
+@query(f"SELECT path, efficiency, row_number() OVER (PARTITION BY category ORDER BY efficiency DESC, path) AS place, category FROM ({_TARGET})")
+def target_order(spark, d):
+    """O5 within each category."""
+    w = Window.partitionBy("category").orderBy(F.col("efficiency").desc(), "path")
+    return target_category(spark, d).select("path", "efficiency", F.row_number().over(w).alias("place"), "category")
+
+
+@query("SELECT p_partkey AS name, p_brand AS path FROM part WHERE p_brand <> 'Brand#11' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def unused_keys(spark, d):
+    """Exports that nothing refers to, entry modules apart."""
+    refs = read(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("name"))
+    return read(spark, d, "part").where("p_brand <> 'Brand#11'").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("path")).join(refs, "name", "left_anti")
+
+
+@query("""WITH f AS (SELECT o_custkey AS path, o_orderkey AS line, CASE o_orderstatus WHEN 'O' THEN 'high-crap' WHEN 'F' THEN 'high-cognitive-complexity' ELSE 'unused-export' END AS kind FROM orders),
+m AS (SELECT c_custkey AS path, 0 AS line, 'file' AS level, CASE c_custkey % 5 WHEN 0 THEN 'complexity' ELSE 'coverage-gaps' END AS k FROM customer WHERE c_custkey % 10 IN (0, 1)
+UNION ALL SELECT o_custkey, o_orderkey - 1, 'next-line', 'all' FROM orders WHERE o_orderkey % 9 = 0)
+SELECT path, line, kind FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.path = f.path AND (m.level = 'file' OR m.line + 1 = f.line)
+AND (m.k = 'all' OR (m.k = 'complexity' AND contains(f.kind, 'complexity')) OR (m.k = 'coverage-gaps' AND f.kind = 'high-crap')))""")
+def suppressed_findings(spark, d):
+    """Orders as findings, markers by rule."""
+    o = read(spark, d, "orders")
+    kind = F.when(F.col("o_orderstatus") == "O", "high_crap").when(F.col("o_orderstatus") == "F", "high_cognitive_complexity").otherwise("unused_export")
+    f = o.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("line"), kind.alias("kind"))
+    c = read(spark, d, "customer").where("c_custkey % 10 IN (0, 1)")
+    files = c.select(F.col("c_custkey").alias("path"), F.lit(0).cast("long").alias("line"), F.lit("file").alias("level"), F.when(F.col("c_custkey") % 5 == 0, "complexity").otherwise("coverage-gaps").alias("kind"))
+    lines = o.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("path"), (F.col("o_orderkey") - 1).alias("line"), F.lit("next-line").alias("level"), F.lit("all").alias("kind"))
+    return scope.suppressed(f, files.unionByName(lines)).select("path", "line", F.translate("kind", "_", "-").alias("kind"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def changed_scope(spark, d):
+    """Findings of changed files alone."""
+    changed = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(changed, "l_orderkey", "left_semi")
+
+
+@query(f"""WITH i AS (SELECT event_id, event_type AS kind, user_id AS path, {_EPOCH_SQL} AS t FROM events),
+b AS (SELECT kind, path, count(*) AS n FROM i WHERE t < 1705363200 GROUP BY ALL)
+SELECT event_id, i.kind, i.path, row_number() OVER (PARTITION BY i.kind, i.path ORDER BY event_id) > coalesce(b.n, 0) AS introduced FROM i LEFT JOIN b ON b.kind = i.kind AND b.path = i.path""")
+def new_only_attribution(spark, d):
+    """The first n of a key are inherited."""
+    i = _events(spark, d).select("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("path"), "t")
+    return scope.introduced(i.drop("t"), i.where("t < 1705363200"), ["kind", "path"], ["event_id"])
+
+
+@query("SELECT o_orderkey, o_custkey || ':' || lower(replace(o_orderpriority, '-', '')) AS k FROM orders WHERE (o_custkey || ':' || lower(replace(o_orderpriority, '-', ''))) NOT IN (SELECT c_custkey || ':1urgent' FROM customer)")
+def baseline_exclusion(spark, d):
+    """Composed keys that no baseline lists."""
+    k = F.concat_ws(":", F.col("o_custkey").cast("string"), F.lower(F.translate("o_orderpriority", "-", "")))
+    known = read(spark, d, "customer").select(F.concat_ws(":", F.col("c_custkey").cast("string"), F.lit("1urgent")).alias("k"))
+    return read(spark, d, "orders").select("o_orderkey", k.alias("k")).join(known, "k", "left_anti").select("o_orderkey", "k")
+
+
+@query("""WITH c AS (SELECT p_partkey, r, (p_partkey * (r + 3)) % 300 AS s_suppkey FROM part, (VALUES (0), (1), (2), (3)) v(r))
+SELECT p_partkey, min(r)::INT AS r, arg_min(s_suppkey, r) AS s_suppkey FROM c WHERE s_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1""")
+def first_candidate(spark, d):
+    """The first of ordered candidates that exists."""
+    p = read(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("r"))
+    c = p.withColumn("s_suppkey", F.col("p_partkey") * (F.col("r") + 3) % 300)
+    return scope.first_candidate(c, read(spark, d, "supplier"), "p_partkey", "r", "s_suppkey").select("p_partkey", "r", "s_suppkey")
+
+
+@query("""WITH l AS (SELECT conv_id * 1000 + turn AS path, i - 1 AS line, string_split(text, chr(10))[i] AS s FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)),
+h AS (SELECT path, line, 0 AS seq, 'identifier' AS kind, s FROM l WHERE contains(lower(s), 'that') UNION ALL SELECT path, line, 1, 'settings_gate', s FROM l WHERE contains(lower(s), 'settings.') OR contains(lower(s), 'the'))
+SELECT path, line, kind, md5(s) AS detail_md5 FROM h QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY seq) = 1""")
+def flag_lines(spark, d):
+    """Substring tests by line, the first kind of a line kept; one scan for all branches."""
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("path"), F.posexplode_outer(F.split("text", "\n")).alias("line", "s"))
+    low = F.lower("s")
+    kinds = F.array_compact(F.array(F.when(low.contains("that"), "identifier"), F.when(low.contains("settings.") | low.contains("the"), "settings_gate")))
+    c = c.withColumn("kind", F.get(kinds, 0)).where("kind IS NOT NULL")
+    return c.select("path", F.col("line").cast("long").alias("line"), "kind", F.md5("s").alias("detail_md5"))
+
+
+@query("SELECT o_orderstatus AS kind, count(*) AS markers, count(DISTINCT o_custkey) AS files FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1")
+def suppression_inventory(spark, d):
+    """A15."""
+    return read(spark, d, "orders").where("o_orderkey % 9 = 0").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("markers"), F.countDistinct("o_custkey").alias("files"))
+
+
+@query("""SELECT p_brand AS token, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(p_brand, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT)), 8, '0') AS fingerprint
+FROM (SELECT DISTINCT p_brand FROM part)""")
+def fnv_fingerprint(spark, d):
+    """P23."""
+    return read(spark, d, "part").select(F.col("p_brand").alias("token")).distinct().withColumn("fingerprint", S.fnv1a(F.col("token")))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS path, greatest(1, s_suppkey % 7) AS k FROM supplier)
+SELECT path, 1 + k AS cyclomatic, (k * (k + 1) // 2)::BIGINT AS cognitive, 2 AS parameters, (2 * k + 2)::BIGINT AS lines FROM t""")
+def extracted_functions(spark, d):
+    """Modules generated from suppliers go through the parser; the oracle knows their measures."""
+    from ..luau.extract import extract
+
+    k = F.greatest(F.lit(1), F.col("s_suppkey") % 7).cast("int")
+    body = F.array_join(F.concat(F.array(F.lit("local function f(a, b)")), F.array_repeat(F.lit("if a then"), k), F.array_repeat(F.lit("end"), k), F.array(F.lit("end"))), "\n")
+    files = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), body.alias("source"))
+    f = extract(files).select("path", F.inline("functions"))
+    return f.select(F.col("path").cast("long").alias("path"), F.col("cyclomatic").cast("long").alias("cyclomatic"), F.col("cognitive").cast("long").alias("cognitive"), "parameters", F.col("lines").cast("long").alias("lines"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS path, s_nationkey FROM supplier)
+SELECT a.path AS src, b.path AS dst, 'string_literal' AS kind FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND b.path = (SELECT min(path) FROM s c WHERE c.s_nationkey = a.s_nationkey AND c.path > a.path)""")
+def extracted_requires(spark, d):
+    """Each generated module requires the next supplier of its nation; edges are resolved against the files."""
+    from ..luau.extract import extract
+    from ..operators import resolve
+
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = read(spark, d, "supplier").select("s_suppkey", F.lead("s_suppkey").over(w).alias("nxt"))
+    source = F.when(F.col("nxt").isNotNull(), F.concat(F.lit('local m = require("./m'), F.col("nxt").cast("string"), F.lit('")\nreturn { run = m.run }'))).otherwise(F.lit("return { run = function() end }"))
+    files = s.select(F.concat(F.lit("lib/m"), F.col("s_suppkey").cast("string"), F.lit(".luau")).alias("path"), source.alias("source"))
+    edges = resolve.edges(extract(files), files.select("path"))
+    number = lambda c: F.regexp_extract(c, r"m(\d+)", 1).cast("long")
+    return edges.where("`to` IS NOT NULL").select(number(F.col("from")).alias("src"), number(F.col("to")).alias("dst"), "kind")

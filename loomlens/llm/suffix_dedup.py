@@ -28,10 +28,94 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .hashing import TABLE, U, mix, run_hashes
-from .rounds import NULL_ID, Chunk, Rounds, expand, occurs_elsewhere, smaller_elsewhere, spread, winnow
+from .hashing import U, mix
+from .rounds import NULL_ID, Chunk, Rounds, expand, occurs_elsewhere, smaller_elsewhere, spread
 
 WINDOW, ANCHOR = 50, 20
+#: Window starts handled at once: their arrays stay in a core's own cache.
+STRIDE = 1 << 15
+_LOW = U((1 << 17) - 1)
+_ODD = mix(np.arange(2001, 2033, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
+def words8(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at every position as one number; shorter by seven."""
+    n = len(raw) - 7
+    out = np.empty(max(0, n), U)
+    for o in range(min(8, max(0, n))):
+        part = np.frombuffer(raw[o : o + (len(raw) - o) // 8 * 8].tobytes(), "<u8")
+        out[o::8] = part
+    return out
+
+
+def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``size`` bytes (16 to 24) at every position, from three loads of eight."""
+    w = words8(raw)
+    n = len(raw) - size + 1
+    h = (w[:n] + _ODD[0]) * _ODD[1]
+    h ^= h >> U(32)
+    h += w[8 : 8 + n]
+    h *= _ODD[2]
+    h ^= h >> U(29)
+    h += w[size - 8 : size - 8 + n]
+    h *= _ODD[3]
+    h ^= h >> U(32)
+    h *= _ODD[4]
+    h ^= h >> U(29)
+    return h
+
+
+def hashes_at(raw: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes at the given positions alone."""
+    out = np.empty(len(starts), U)
+    width = -(-size // 8)
+    for i in range(0, len(starts), STRIDE):
+        part = np.zeros((len(starts[i : i + STRIDE]), 8 * width), np.uint8)
+        part[:, :size] = raw[starts[i : i + STRIDE, None] + np.arange(size)]
+        w = part.view("<u8")
+        h = np.zeros(len(w), U)
+        for k in range(width):
+            h = (h ^ (h >> U(31))) * _ODD[5] + mix(w[:, k] + _ODD[8 + k])
+        out[i : i + STRIDE] = mix(h)
+    return out
+
+
+def byte_anchors(raw: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its hash, first window, last window) for each maximal run of windows with one anchor.
+
+    A window's anchor is its smallest gram, the leftmost of equal ones, so that equal windows have
+    their anchors at equal offsets. Windows lie inside one document.
+    """
+    n = len(raw) - window + 1
+    span = window - anchor + 1
+    found = []
+    for b in range(0, max(0, n), STRIDE):
+        count = min(STRIDE, n - b)
+        h = gram_hashes(raw[b : b + count + window - 1], anchor)
+        best, step = (h | _LOW) ^ _LOW | np.arange(len(h), dtype=U), 1
+        while 2 * step <= span:
+            best = np.minimum(best[:-step], best[step:])
+            step *= 2
+        if step < span:
+            best = np.minimum(best[: step - span], best[span - step :])
+        valid = np.ones(count, bool)
+        i, j = np.searchsorted(offsets, [b, b + count + window], side="left")
+        for e in offsets[max(1, i) : j].tolist():
+            valid[max(0, e - window + 1 - b) : max(0, min(count, e - b))] = False
+        starts = np.flatnonzero(valid)
+        if not len(starts):
+            continue
+        chosen = (best[starts] & _LOW).astype(np.int64)
+        heads = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)])
+        at = chosen[heads]
+        found.append((at + b, h[at], starts[heads] + b, starts[np.r_[heads[1:], len(starts)] - 1] + b))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, U), none, none
+    at, h, low, high = (np.concatenate(x) for x in zip(*found))
+    new = np.r_[True, (at[1:] != at[:-1]) | (low[1:] != high[:-1] + 1)]
+    heads = np.flatnonzero(new)
+    return at[heads], h[heads], low[heads], high[np.r_[heads[1:], len(at)] - 1]
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +151,16 @@ def equal_windows(text: np.ndarray, window: int) -> np.ndarray:
         return np.arange(n)
     order, place = suffix_order(text, window)
     follows = np.where(order + 1 < n, place[np.minimum(order + 1, n - 1)], -1)
-    initial = np.r_[True, text[order][1:] != text[order][:-1]]
-    edge = initial
+    first = text[order]
+    edge = np.r_[True, first[1:] != first[:-1]]
+    together = np.flatnonzero(~edge)  # neighbours whose common prefix still reaches the value
     for _ in range(1, window):
-        interval = np.cumsum(edge)
-        behind = np.where(follows >= 0, interval[follows], 0)
-        grown = initial | np.r_[True, behind[1:] != behind[:-1]]
-        if (grown == edge).all():
+        interval = np.r_[0, np.cumsum(edge, dtype=np.int32)]  # 0 at the end: follows is -1 there
+        parted = interval[follows[together] + 1] != interval[follows[together - 1] + 1]
+        if not parted.any():
             break
-        edge = grown
+        edge[together[parted]] = True
+        together = together[~parted]
     out = np.empty(n, np.int64)
     out[order] = np.cumsum(edge)
     return out
@@ -86,16 +171,13 @@ class Scan:
         self.window, self.raw = window, chunk.raw
         self.size = np.diff(chunk.offsets)
         self.doc = chunk.ids
-        symbols = TABLE[chunk.raw]
-        grams = run_hashes(symbols, anchor)
-        self.anchor, self.low, self.high = winnow(grams, chunk.offsets, window, anchor)
-        self.print = grams[self.anchor]
+        self.anchor, self.print, self.low, self.high = byte_anchors(chunk.raw, chunk.offsets, window, anchor)
         self.owner = self.doc[np.searchsorted(chunk.offsets, self.anchor, side="right") - 1]
-        self.whole = run_hashes(symbols, window)
         self.first, self.last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for level, (one, two) in enumerate(answers):
+            # Classes are only told apart by expansion when they are asked about; later their fingerprints do.
             self.question(level)
-            self.settle(level, one, two)
+            self.settle(level, one, two, expand=len(answers) == 2)
 
     def question(self, level: int) -> tuple:
         if level == 0:
@@ -110,9 +192,10 @@ class Scan:
             self.short = short
             return self.keys, None, None, many
         if level == 1:
-            context = mix(self.whole[self.low] * U(0x9E3779B97F4A7C15) + self.whole[self.high] + (self.high - self.low).astype(U) * U(0xD6E8FEB86659FD93) + (self.anchor - self.low).astype(U))
+            ends = hashes_at(self.raw, self.low, self.window) * U(0x9E3779B97F4A7C15) + hashes_at(self.raw, self.high, self.window)
+            context = mix(ends + (self.high - self.low).astype(U) * U(0xD6E8FEB86659FD93) + (self.anchor - self.low).astype(U))
             return self._least(self.print, context, self.owner)
-        return self._least(self.whole[self.start], None, self.of)
+        return self._least(self.whole, None, self.of)
 
     def _least(self, keys: np.ndarray, second: np.ndarray | None, docs: np.ndarray) -> tuple:
         """Distinct (key, second) in order, with the smallest document of each; where each input stands."""
@@ -128,7 +211,7 @@ class Scan:
         self.least = docs[order][new]
         return k[new], None if s is None else s[new], self.least, None
 
-    def settle(self, level: int, one: np.ndarray, two: np.ndarray) -> None:
+    def settle(self, level: int, one: np.ndarray, two: np.ndarray, expand: bool) -> None:
         if level == 0:
             ok = one[np.searchsorted(self.keys, self.short)] if len(self.keys) else np.zeros(0, bool)
             self.anchor, self.low, self.high, self.print, self.owner = (x[ok] for x in (self.anchor, self.low, self.high, self.print, self.owner))
@@ -136,28 +219,28 @@ class Scan:
             all_gone = one[self.at] | (self.owner > self.least[self.at])
             self.first.append(self.low[all_gone])
             self.last.append(self.high[all_gone] + self.window)
-            self.expand(~all_gone & two[self.at])
+            self.windows(~all_gone & two[self.at], expand)
         else:
             gone = one[self.at] | (self.of > self.least[self.at])
             self.first.append(self.start[gone])
             self.last.append(self.start[gone] + self.window)
 
-    def expand(self, open_: np.ndarray) -> None:
-        """The windows of open contexts, with the smallest document of each class of equal ones."""
+    def windows(self, open_: np.ndarray, told_apart: bool) -> None:
+        """The windows of open contexts and a fingerprint of each one's class."""
         low, high, owner = self.low[open_], self.high[open_], self.owner[open_]
         self.start = expand(low, high) if len(low) else np.zeros(0, np.int64)
         self.of = np.repeat(owner, high - low + 1)
-        if not len(low):
+        if not told_apart or not len(low):
+            self.whole = hashes_at(self.raw, self.start, self.window)
             return
         ends = high + self.window
         text = self.raw[expand(low, ends - 1)]
         begin = np.cumsum(ends - low) - (ends - low)
         inside = expand(begin, begin + high - low)
         kind = equal_windows(text, self.window)[inside]
-        # One fingerprint for a class, whichever of its windows gives it.
+        # One fingerprint for each class, taken from its first window.
         _, head, inverse = np.unique(kind, return_index=True, return_inverse=True)
-        if not (self.whole[self.start] == self.whole[self.start[head]][inverse]).all():
-            raise AssertionError("equal windows with unequal fingerprints")
+        self.whole = hashes_at(self.raw, self.start[head], self.window)[inverse]
 
     def gone(self) -> np.ndarray:
         return spread(len(self.raw), np.concatenate(self.first), np.concatenate(self.last))

@@ -339,7 +339,7 @@ class Parser:
         suffixes = []
         while True:
             t = self.t
-            if t.kind in ("string", "istring") or self.is_("{") or self.is_("("):
+            if t.kind == "string" or (t.kind == "istring" and t.text[0] == "`") or self.is_("{") or self.is_("("):
                 suffixes.append(("call", None, self.arguments(), t.line))
             elif self.take("."):
                 suffixes.append(("dot", self.name(), None, t.line))

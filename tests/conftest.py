@@ -5,8 +5,9 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     s = (
-        SparkSession.builder.master("local[3]").appName("tests").config("spark.sql.shuffle.partitions", "3").config("spark.driver.memory", "3g")
+        SparkSession.builder.master("local[3]").appName("tests").config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "3g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")  # tables are tiny: compiling costs more than it gains
         .config("spark.sql.warehouse.dir", "/tmp/checkpoints/warehouse").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

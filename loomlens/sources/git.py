@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import NOISE
+
 SOURCES = ("*.lua", "*.luau")
 
 
@@ -38,11 +40,11 @@ def churn(spark: SparkSession, root: str | Path, since_days: float = 180, now: i
 
 
 def changed_files(root: str | Path, ref: str) -> list[str]:
-    """Files changed since a revision, and untracked ones, each once, in order."""
+    """Files changed since a revision, and untracked ones, each once, in order; folders that no scan enters are left out."""
     resolve(root, ref)
     diff = _git(root, "diff", "--name-only", "--relative", "-z", "--diff-filter=ACMR", ref, "--")
     new = _git(root, "ls-files", "--others", "--exclude-standard", "-z")
-    return sorted({p for p in (diff + new).split("\0") if p.endswith((".lua", ".luau"))})
+    return sorted({p for p in (diff + new).split("\0") if p.endswith((".lua", ".luau")) and not set(NOISE) & set(p.split("/"))})
 
 
 def resolve(root: str | Path, ref: str) -> str:

@@ -153,6 +153,14 @@ def dup_line_union(spark, d):
     return clones.covered_lines(r.select("path", "a", (F.col("a") + F.col("n") - 1).alias("b")), "path", "a", "b")
 
 
+@query("""WITH r AS (SELECT l_orderkey % 50 AS path, l_partkey % 400 AS a, l_partkey % 400 + l_quantity::INT - 1 AS b FROM lineitem),
+u AS (SELECT DISTINCT path, unnest(range(a, b + 1)) AS line FROM r) SELECT path, count(*) AS duplicated_lines FROM u GROUP BY path""")
+def dup_line_union_all(spark, d):
+    """A13 over every line item; dup_line_union and its SQL keep the first two of each order."""
+    r = read(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("path"), (F.col("l_partkey") % 400).alias("a"), F.col("l_quantity").cast("int").alias("n"))
+    return clones.covered_lines(r.select("path", "a", (F.col("a") + F.col("n") - 1).alias("b")), "path", "a", "b")
+
+
 @query("""SELECT page_id AS src, url AS from_url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier FROM pages""")
 def link_edges(spark, d):
     """Links as raw imports."""

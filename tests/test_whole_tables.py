@@ -58,3 +58,12 @@ def test_graph_of_all_events(spark, events, monkeypatch, small):
         front = {b for a, b in edges if a in front} - depth.keys()
         depth |= dict.fromkeys(front, k)
     assert run("trace_depth3_all") == sorted((a, b, depth[a] + 1) for a, b in edges if a in depth)
+
+
+def test_line_union_of_all_line_items(spark, tmp_path):
+    r = random.Random(4)
+    items = [(r.randrange(1, 160), r.randrange(1, 900), k, float(r.randrange(1, 12))) for k in (1, 2, 3, 4, 7) for _ in range(25)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    union = lambda top: {(o % 50, p % 400 + i) for o, p, k, q in items if k <= top for i in range(int(q))}
+    count = lambda lines: sorted((p, sum(x == p for x, _ in lines)) for p in {x for x, _ in lines})
+    assert rows(QUERIES["dup_line_union_all"](spark, str(tmp_path))) == count(union(7)) != count(union(2))

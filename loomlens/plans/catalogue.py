@@ -434,6 +434,12 @@ def suppression_inventory(spark, d):
     return read(spark, d, "orders").where("o_orderkey % 9 = 0").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("markers"), F.countDistinct("o_custkey").alias("files"))
 
 
+@query("SELECT o_orderstatus AS kind, count(*) AS markers, count(DISTINCT o_custkey) AS files FROM orders GROUP BY 1")
+def suppression_inventory_all(spark, d):
+    """A15 over every order; suppression_inventory and its SQL count those of every ninth key."""
+    return read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("markers"), F.countDistinct("o_custkey").alias("files"))
+
+
 @query("""SELECT p_brand AS token, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(p_brand, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT)), 8, '0') AS fingerprint
 FROM (SELECT DISTINCT p_brand FROM part)""")
 def fnv_fingerprint(spark, d):

@@ -67,3 +67,10 @@ def test_line_union_of_all_line_items(spark, tmp_path):
     union = lambda top: {(o % 50, p % 400 + i) for o, p, k, q in items if k <= top for i in range(int(q))}
     count = lambda lines: sorted((p, sum(x == p for x, _ in lines)) for p in {x for x, _ in lines})
     assert rows(QUERIES["dup_line_union_all"](spark, str(tmp_path))) == count(union(7)) != count(union(2))
+
+
+def test_inventory_of_all_orders(spark, tmp_path):
+    orders = [(k, k % 5, "FOP"[k % 3]) for k in range(1, 40)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted((s, sum(x[2] == s for x in orders), len({c for _, c, x in orders if x == s})) for s in "FOP")
+    assert rows(QUERIES["suppression_inventory_all"](spark, str(tmp_path))) == want

@@ -7,8 +7,9 @@ The permutation depends on the key, the kind and the length alone, so equal valu
 different values different, across all documents and all runs with the same key.
 
 Defined results: a null text stays null with no findings; overlapping candidates go to the leftmost,
-then to the kind listed first; repeated rows get the same pseudonyms; an empty table gives no rows;
-extra columns are ignored unless kept.
+then to the kind listed first, then to the longest valid one; groups are left off its end only where no
+whole candidate that is valid begins inside; repeated rows get the same pseudonyms; an empty table gives
+no rows; extra columns are ignored unless kept.
 """
 
 from __future__ import annotations
@@ -28,16 +29,22 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
 DEFAULT_KEY = "loomlens pseudonyms"
 ROUNDS = 10
 
-PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
-    r"|(?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-+/]{12,}))"
-    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4})(?![\w-]|\.[0-9]))"
-    r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
-)
+#: One source a kind, in the order in which they are tried at one start.
+SOURCES = {
+    "email": r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
+    "iban": r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)",
+    "secret": r"(?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-+/]{12,}))",
+    "date": r"(?P<date>(?<![\w.-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4})(?:(?=[Tt][0-9]{2}:?[0-9]{2})|(?![\w-]|\.[0-9])))",
+    "ip": r"(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))",
+    "ssn": r"(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))",
+    "phone": r"(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-]))",
+    "card": r"(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))",
+}
+PATTERN = re.compile("|".join(SOURCES.values()))
+ALONE = {kind: re.compile(source) for kind, source in SOURCES.items()}
+#: Kinds of several groups, and what must hold behind the last one.
+GROUPED = {"iban": re.compile(r"\b"), "phone": re.compile(r"(?![\w-])"), "card": re.compile(r"(?![\w-])")}
+FIRST_RUN = re.compile(r"\w+|.")
 #: A text without any of these has no candidate.
 MAY = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
@@ -211,6 +218,41 @@ def _email(text: str, key: bytes) -> str:
 RULES = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
+def _valid_at(text: str, m: re.Match, key: str, shorter: bool) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, new value) of the first kind, from that of m on, with a valid value where m starts: the whole candidate or, if shorter, the longest with groups left off its end."""
+    start, kinds = m.start(), list(SOURCES)
+    for kind in kinds[kinds.index(next(k for k in KINDS if m[k])) :]:
+        c = ALONE[kind].match(text, start)
+        if c is None:
+            continue
+        if kind == "secret":
+            return kind, *c.span("value"), _mixed(c["value"], _kind_key(key, kind))
+        ends = [c.end()]
+        if shorter:
+            ends = [e for e in range(c.end() - 1, start, -1) if kind in GROUPED and not text[e].isalnum() and text[e - 1].isalnum() and GROUPED[kind].match(text, e) and ALONE[kind].fullmatch(text, start, e)]
+        for end in ends:
+            new = RULES[kind](text[start:end], _kind_key(key, kind))
+            if new is not None:
+                return kind, start, end, new
+    return None
+
+
+def _behind(text: str, at: int) -> int:
+    return FIRST_RUN.match(text, at).end()
+
+
+def _shortened(text: str, m: re.Match, key: str) -> tuple[str, int, int, str] | None:
+    """A valid value where m starts with groups left off its end, unless a whole one begins inside and ends behind it."""
+    hit = _valid_at(text, m, key, True)
+    at = _behind(text, m.start())
+    while hit and (m := PATTERN.search(text, at)) and m.start() < hit[2]:
+        whole = _valid_at(text, m, key, False)
+        if whole and whole[2] > hit[2]:
+            return None
+        at = _behind(text, m.start())
+    return hit
+
+
 def pseudonymise(text: str, key: str = DEFAULT_KEY) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every valid value replaced, and (kind, start, end) of each in the input."""
     found: list[tuple[str, int, int]] = []
@@ -218,16 +260,11 @@ def pseudonymise(text: str, key: str = DEFAULT_KEY) -> tuple[str, list[tuple[str
         return text, found
     out, done, at = [], 0, 0
     while m := PATTERN.search(text, at):
-        if m["secret"]:
-            kind, (start, end) = "secret", m.span("value")
-            new = _mixed(m["value"], _kind_key(key, kind))
-        else:
-            start, end = m.span()
-            kind = next(k for k in KINDS if m[k])
-            new = RULES[kind](m[kind], _kind_key(key, kind))
-        if new is None:  # not valid: look again behind its first run of word characters
-            at = re.compile(r"\w+|.").match(text, start).end()
+        hit = _valid_at(text, m, key, False) or _shortened(text, m, key)
+        if hit is None:  # nothing valid starts here: look again behind its first run of word characters
+            at = _behind(text, m.start())
             continue
+        kind, start, end, new = hit
         out += [text[done:start], new]
         found.append((kind, start, end))
         done = at = end

@@ -1,7 +1,8 @@
 """Benchmark decontamination [native]: SimHash of item-sized windows, Hamming blocks, exact verification.
 
 A document leaks an item if some window of as many words as the item has a weighted shingle similarity
-(sum of the smaller counts over sum of the larger) of at least 0.8 with it. Words are lower-cased and
+(sum of the smaller counts over sum of the larger) of at least 0.8 with it. A document of fewer words
+than the item is one window as a whole. Words are lower-cased and
 stripped of punctuation; shingles are five words, or the whole item where it is shorter.
 
 1. Every text becomes one array of shingle hashes. Those that occur in an item are found by a hash join
@@ -94,27 +95,29 @@ def decontaminate(
     def hashed(texts: DataFrame, *keep: str) -> DataFrame:
         out, words = None, texts.withColumn("w", _clean_words(F.col("text")))
         for k in widths:
-            part = words.select("doc", *keep, F.lit(k).alias("k"), _shingles("w", k).alias("all"))
+            part = words.select("doc", *keep, F.lit(k).alias("k"), _shingles("w", k).alias("all"), (F.size("w") - (k - 1)).alias("total"))
             out = part if out is None else out.unionByName(part)
         return out
 
     # Positions of shingles that some item holds, with the items that hold them.
     holders = item.select("item", "len", "k", F.explode(F.array_distinct("bag")).alias("h"))
     # (The outer form: else the optimizer tests the array's size below, which computes every hash twice.)
-    hits = hashed(src).select("doc", "k", F.posexplode_outer("all").alias("pos", "h")).join(hint(holders), ["k", "h"])
-    spots = hits.groupBy("doc", "item", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    # Windows [s, s + n) of shingle positions, n = len - k + 1: at least ceil(2pn / (100 + p)) must be hits.
+    hits = hashed(src).select("doc", "k", "total", F.posexplode_outer("all").alias("pos", "h")).join(hint(holders), ["k", "h"])
+    spots = hits.groupBy("doc", "item", "len", "k", "total").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # Windows [s, s + m) of shingle positions, m = n = len - k + 1 or the whole of a shorter text: at least
+    # ceil(p(m + n) / (100 + p)) must be hits.
     n = F.col("len") - F.col("k") + 1
-    need = F.ceil(2 * percent * n / F.lit(100 + percent)).cast("int")
-    spots = spots.withColumn("n", n).withColumn("need", need).where(F.size("at") >= F.col("need"))
-    # A window that holds ``need`` hits starts within n - need positions before some hit with need - 1 hits after it.
-    first = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + F.col("need") - 1) - p < F.col("n"), F.lit(False)))
-    starts = F.array_distinct(F.flatten(F.transform(first, lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("n") - F.col("need"))), p))))
-    windows = spots.where(F.size(first) > 0).select("doc", "k", "len", "n", F.explode_outer(starts).alias("start")).distinct()
-    per_doc = windows.groupBy("doc").agg(F.collect_set(F.struct("k", "len", "n", "start")).alias("windows")).withColumnRenamed("doc", "leaky")
+    need = F.ceil(percent * (F.col("m") + F.col("n")) / F.lit(100 + percent)).cast("int")
+    spots = spots.withColumn("n", n).withColumn("m", F.least("n", "total")).withColumn("need", need).where(F.size("at") >= F.col("need"))
+    # A window that holds ``need`` hits starts within m - need positions before some hit with need - 1 hits after it.
+    first = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + F.col("need") - 1) - p < F.col("m"), F.lit(False)))
+    starts = F.array_distinct(F.flatten(F.transform(first, lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("m") - F.col("need"))), p))))
+    windows = spots.where(F.size(first) > 0).select("doc", "k", "len", "n", "m", F.explode_outer(starts).alias("start")).distinct()
+    per_doc = windows.groupBy("doc").agg(F.collect_set(F.struct("k", "len", "n", "m", "start")).alias("windows")).withColumnRenamed("doc", "leaky")
     texts = src.join(per_doc, src["doc"].eqNullSafe(per_doc["leaky"])).select("doc", "text", "windows")
-    bags = hashed(texts, "windows").select("doc", "k", "all", F.explode_outer("windows").alias("x")).where(F.col("x.k") == F.col("k"))
-    bags = bags.select("doc", "k", F.col("x.len").alias("len"), F.col("x.start").alias("start"), F.slice("all", F.col("x.start") + 1, F.col("x.n")).alias("bag"), F.col("x.n").alias("n")).where(F.size("bag") == F.col("n"))
+    bags = hashed(texts, "windows").select("doc", "k", "all", "total", F.explode_outer("windows").alias("x"))
+    bags = bags.where((F.col("x.k") == F.col("k")) & (F.col("x.m") == F.least("x.n", "total")))  # (rows of one doc may differ in length)
+    bags = bags.select("doc", "k", F.col("x.len").alias("len"), F.col("x.start").alias("start"), F.slice("all", F.col("x.start") + 1, F.col("x.m")).alias("bag"), F.col("x.n").alias("n"), F.col("x.m").alias("m")).where(F.size("bag") == F.col("m"))
     prints = bags.withColumn("print", _simhash("bag"))
     item_prints = item.withColumnRenamed("bag", "item_bag")
     a = prints.withColumn("b", _blocks("print")).select("*", F.col("b.no").alias("no"), F.col("b.value").alias("value")).drop("b")
@@ -129,7 +132,7 @@ def decontaminate(
     shared = F.aggregate(
         F.array_intersect("bag", "item_bag"), F.lit(0), lambda acc, h: acc + F.least(count("bag", h), count("item_bag", h))
     )
-    scored = pairs.withColumn("shared", shared).withColumn("all_weight", 2 * F.col("n") - F.col("shared")).where(100 * F.col("shared") >= percent * F.col("all_weight"))
+    scored = pairs.withColumn("shared", shared).withColumn("all_weight", F.col("m") + F.col("n") - F.col("shared")).where(100 * F.col("shared") >= percent * F.col("all_weight"))
     return scored.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(
         F.min("start").cast("long").alias("start"),
         F.countDistinct("start").alias("n_windows"),

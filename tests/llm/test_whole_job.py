@@ -1,6 +1,8 @@
 """Cases that the operators once left out."""
 
-from loomlens.llm import pii
+from collections import Counter
+
+from loomlens.llm import decontaminate, pii
 
 
 def found(text):
@@ -26,3 +28,34 @@ def test_valid_values_before_further_groups():
 def test_date_before_a_time():
     assert found("at 2024-01-05T10:00:00Z, 2024-01-05t1000 and 2024-01-05") == [("date", "2024-01-05")] * 3
     assert found("2024-13-05T10:00:00Z 2024-01-05Tx 2024-01-05-10:00") == []
+
+
+def leaks(docs, items, percent=80, k=5):
+    """{(doc_id, item_id)}: windows as long as the item, or the whole of a shorter text."""
+    out = set()
+    for d, t in docs:
+        for i, v in items:
+            w, v = t.lower().split(), v.lower().split()
+            n, size = min(k, len(v)), min(len(v), len(w))
+            bag = lambda words: Counter(tuple(words[j : j + n]) for j in range(len(words) - n + 1))  # noqa: E731,B023
+            want = bag(v)
+            for s in range(len(w) - size + 1):
+                own = bag(w[s : s + size])
+                if own and 100 * sum((own & want).values()) >= percent * sum((own | want).values()):
+                    out.add((d, i))
+    return out
+
+
+def leaked(spark, docs, items):
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r["doc_id"], r["item_id"]) for r in got}, got
+
+
+def test_documents_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(50)]
+    items = [(1, " ".join(words)), (2, "a b c d e f"), (3, "one two three")]
+    cut = lambda n: " ".join(words[:n])
+    docs = [(n, cut(n)) for n in (1, 4, 30, 40, 41, 42, 49, 50)] + [(100, " ".join(words[5:])), (101, cut(20) + " x " + cut(50)[len(cut(20)) + 1 : -4]), (102, "a b c d e"), (103, "one two"), (None, cut(49)), (None, cut(80) + " y z q")]
+    got, rows = leaked(spark, docs, items)
+    assert got == leaks(docs, items) and {(41, 1), (49, 1), (100, 1), (None, 1)} <= got and (40, 1) not in got
+    assert {(r["start"], r["n_windows"], r["similarity"]) for r in rows if r["doc_id"] == 49} == {(0, 1, 0.978260)}

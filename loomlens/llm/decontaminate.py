@@ -9,7 +9,8 @@ stripped of punctuation; shingles are five words, or the whole item where it is
    with the items' distinct shingles and leave the text with their position; texts never move.
 2. A window can only reach the threshold if enough of its shingles occur in the item, so windows with
    fewer are dropped at once. The count bounds the shared weight from above: nothing is lost.
-3. The windows left get a SimHash of their shingles. The fingerprint is cut into ``radius + 1`` blocks;
+3. The windows left get a SimHash of their shingles; further copies of one are numbered first, so that
+   a bag is a set of as many hashes. The fingerprint is cut into ``radius + 1`` blocks;
    two within ``radius`` bits agree on one block at least, so the equi-join on (words, block number,
    block value) finds every item within the radius. Other items are never compared.
 4. Exact weighted similarity of the full shingle bags, in integers, decides.
@@ -57,6 +58,13 @@ def _simhash(bag: str) -> Column:
     return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), vote), F.lit(0).cast("bigint"))
 
 
+def _numbered(bag: str) -> Column:
+    """The bag as a set: the second copy of a hash and further ones become hashes of their own."""
+    copies = lambda h, i: F.size(F.filter(F.slice(bag, F.lit(1), i), lambda x: x == h))
+    each = F.transform(bag, lambda h, i: F.when(copies(h, i) == 0, h).otherwise(F.xxhash64(h, copies(h, i))))
+    return F.when(F.size(F.array_distinct(bag)) == F.size(bag), F.col(bag)).otherwise(each)
+
+
 def _cuts() -> list[tuple[int, int]]:
     """(first bit, last bit + 1) of the radius + 1 blocks that cover all bits."""
     n = RADIUS + 1
@@ -86,7 +94,7 @@ def decontaminate(
     for k in widths:
         part = item.where(F.col("k") == k).select("item", F.size("w").alias("len"), F.lit(k).alias("k"), _shingles("w", k).alias("bag"))
         by_width = part if by_width is None else by_width.unionByName(part)
-    item = materialize(by_width.withColumn("item_print", _simhash("bag")), "item-bags")
+    item = materialize(by_width.withColumn("numbered", _numbered("bag")).withColumn("item_print", _simhash("numbered")).drop("numbered"), "item-bags")
     small = item.agg(F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()[0] <= max_broadcast_rows
     hint = F.broadcast if small else (lambda x: x)
 
@@ -118,7 +126,7 @@ def decontaminate(
     bags = hashed(texts, "windows").select("doc", "k", "all", "total", F.explode_outer("windows").alias("x"))
     bags = bags.where((F.col("x.k") == F.col("k")) & (F.col("x.m") == F.least("x.n", "total")))  # (rows of one doc may differ in length)
     bags = bags.select("doc", "k", F.col("x.len").alias("len"), F.col("x.start").alias("start"), F.slice("all", F.col("x.start") + 1, F.col("x.m")).alias("bag"), F.col("x.n").alias("n"), F.col("x.m").alias("m")).where(F.size("bag") == F.col("m"))
-    prints = bags.withColumn("print", _simhash("bag"))
+    prints = bags.withColumn("numbered", _numbered("bag")).withColumn("print", _simhash("numbered")).drop("numbered")
     item_prints = item.withColumnRenamed("bag", "item_bag")
     a = prints.withColumn("b", _blocks("print")).select("*", F.col("b.no").alias("no"), F.col("b.value").alias("value")).drop("b")
     b = item_prints.withColumn("b", _blocks("item_print")).select("item", "len", "k", "item_bag", "item_print", F.col("b.no").alias("no"), F.col("b.value").alias("value"))

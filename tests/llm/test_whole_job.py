@@ -59,3 +59,12 @@ def test_documents_shorter_than_the_item(spark):
     got, rows = leaked(spark, docs, items)
     assert got == leaks(docs, items) and {(41, 1), (49, 1), (100, 1), (None, 1)} <= got and (40, 1) not in got
     assert {(r["start"], r["n_windows"], r["similarity"]) for r in rows if r["doc_id"] == 49} == {(0, 1, 0.978260)}
+
+
+def test_differences_of_one_repeated_shingle(spark):
+    """Similarity 0.8 exactly, and the difference is a run of one word: 16 copies of a shingle for 16 of another."""
+    body = lambda i: " ".join(f"i{i}w{j}" for j in range(164))
+    items = [(i, f"{body(i)}{f' z{i}' * 20}") for i in range(8)]
+    docs = [(i, f"{body(i)}{f' y{i}' * 20}") for i in range(8)] + [(9, " ".join(["z0"] * 184)), (10, body(1))]
+    got, _ = leaked(spark, docs, items)
+    assert got == leaks(docs, items) == {(i, i) for i in range(8)} | {(10, 1)}

@@ -9,7 +9,10 @@ writes): the raw ids of its documents, little-endian, and an index in three byte
 * ``prints``: the 64-bit fingerprint of the key in each slot, so that an absent key is refused;
 * ``slots``: where its ids begin (in ids, within the shard), how many ids and how many rows.
 
-A lookup reads one displacement, one fingerprint and one slot: constant time, whatever the size.
+A lookup reads the first key of every shard and halves over them to the key's own (two, where they are
+ascending both as numbers and as text; ``routes``). The scan is filtered to it. There it reads one
+displacement, one fingerprint and one slot: constant time, whatever the size of the shard. The payload
+is a single value of its file, of which only the slot's slice leaves the scan.
 
 Ids are encoded by the tokenizers library. A blank before a character that is not white space always
 begins a pre-token, so a text is cut there and the pieces' ids are remembered in a bounded cache.
@@ -24,7 +27,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from decimal import Decimal, InvalidOperation
 from functools import lru_cache
 
 import numpy as np
@@ -251,24 +257,71 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return store.join(base, ["shard", "part"])
 
 
+def _number(name: str) -> Decimal | None:
+    try:
+        n = Decimal(name)
+    except InvalidOperation:
+        return None
+    return n if n.is_finite() else None
+
+
+def routes(heads: list[tuple], names: list) -> dict[tuple, list]:
+    """The names that each (shard, part) may hold, by the parts' (shard, part, first key).
+
+    Keys are stored as text, in the order of numbers or of text. Where the first keys are ascending in
+    both, a name is asked for at both places; where in neither, or for binary keys, in all parts."""
+    heads = sorted(heads, key=lambda h: h[:2])
+    places, first = [h[:2] for h in heads], [h[2] for h in heads if h[2] is not None]
+    nulls, numbers = len(heads) - len(first), [_number(k) for k in first]
+    orders = [(numbers, _number)] if None not in numbers and numbers == sorted(numbers) else []
+    if first == sorted(first):
+        orders.append((first, str))
+    # Text such as nan or inf is a number to a column of doubles.
+    if any(k[:2] in ("b'", 'b"') or k.lower().lstrip("-") in ("nan", "inf") for k in [*first, *(n for n in names if n is not None)]):
+        orders = []
+    out = defaultdict(list)
+    for name in names:
+        if name is None:
+            at = {i for i in range(nulls)}
+        elif not orders:
+            at = set(range(len(places)))
+        else:
+            at = {nulls + bisect_right(keys, key(name)) - 1 for keys, key in orders if key(name) is not None}
+        for i in at:
+            if i >= 0:
+                out[places[i]].append(name)
+    return dict(out)
+
+
 def lookup(store: DataFrame, wanted: list) -> DataFrame:
     """(key, start, ids) of the wanted keys that the store holds, by their shards' indexes; several rows of a key come as one."""
-    names = [None if k is None else str(k) for k in wanted]
+    spark, names = store.sparkSession, [None if k is None else str(k) for k in wanted]
+    ways = routes([tuple(r) for r in store.select("shard", "part", "first_key").collect()], names)
+    asked = spark.createDataFrame([(*place, few) for place, few in ways.items()], "shard int, part int, wanted array<string>")
+    near = store.where(F.col("shard").isin(sorted({shard for shard, _ in ways})))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = key_hashes(names)
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("key", pa.string()), ("start", pa.int64()), ("at", pa.int32()), ("length", pa.int32())])
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 slots = np.frombuffer(r["slots"], "<i8").reshape(-1, 3)
-                at = find(h, np.frombuffer(r["seeds"], "<u4"), np.frombuffer(r["prints"], "<u8"))
-                for k, s in zip(names, at, strict=True):
+                at = find(key_hashes(r["wanted"]), np.frombuffer(r["seeds"], "<u4"), np.frombuffer(r["prints"], "<u8"))
+                for k, s in zip(r["wanted"], at, strict=True):
                     if s >= 0:
-                        begin, n, _ = slots[s]
-                        out.append({"key": k, "start": int(r["base"] + begin), "ids": np.frombuffer(r["payload"], "<u4", int(n), int(begin) * 4).tolist()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+                        begin, n, _ = slots[s].tolist()
+                        out.append({"shard": r["shard"], "part": r["part"], "key": k, "start": r["base"] + begin, "at": 4 * begin + 1, "length": 4 * n})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4").tolist() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], ["key", "start", "ids"])
 
-    return store.mapInArrow(run, "key string, start long, ids array<long>")
+    spots = near.join(F.broadcast(asked), ["shard", "part"]).select("shard", "part", "base", "seeds", "prints", "slots", "wanted")
+    spots = spots.mapInArrow(locate, "shard int, part int, key string, start long, at int, length int")
+    found = near.select("shard", "part", "payload").join(F.broadcast(spots), ["shard", "part"])
+    return found.select("key", "start", F.substring("payload", F.col("at"), F.col("length")).alias("raw")).mapInArrow(decode, "key string, start long, ids array<long>")
 
 
 def read_store(store: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from collections import Counter
 
-from loomlens.llm import decontaminate, pii
+from pyspark.sql import functions as F
+
+from loomlens.llm import decontaminate, pii, token_store
+from loomlens.llm.common import new_path
 
 
 def found(text):
@@ -68,3 +71,30 @@ def test_differences_of_one_repeated_shingle(spark):
     docs = [(i, f"{body(i)}{f' y{i}' * 20}") for i in range(8)] + [(9, " ".join(["z0"] * 184)), (10, body(1))]
     got, _ = leaked(spark, docs, items)
     assert got == leaks(docs, items) == {(i, i) for i in range(8)} | {(10, 1)}
+
+
+def test_lookup_reads_the_shard_of_the_key_alone(spark):
+    for kind, keys in (("long", [-5, 0, *range(2, 60), 101]), ("string", ["", "10", "9", "b", "\u00e9", *map(str, range(20, 60))])):
+        docs = spark.createDataFrame([(k, f"text of {k}") for k in keys] + [(None, "none")], f"doc_id {kind}, text string")
+        path = new_path(spark, "routes")
+        token_store.write_store(docs, path)
+        store = token_store.open_store(spark, path)
+        heads = [tuple(r) for r in store.select("shard", "part", "first_key").collect()]
+        assert len(heads) > 1
+        enc = token_store.encoder(token_store.default_path()).tokenizer
+        want = {str(k): [*enc.encode(f"text of {k}").ids, 0] for k in keys}
+        got = {r["key"]: r["ids"] for r in token_store.lookup(store, [*keys, None, 777, "x"]).collect()}
+        assert got.pop(None) == [*enc.encode("none").ids, 0] and got == want
+        assert token_store.lookup(store, []).count() == token_store.lookup(store, [777]).count() == 0
+        if kind == "long":  # what is spoilt in the other shards is never met
+            (own,) = token_store.routes(heads, ["59"])
+            broken = store.withColumn("prints", F.when(F.col("shard") == own[0], F.col("prints")).otherwise(F.lit(b"spoilt").cast("binary")))
+            assert [r["ids"] for r in token_store.lookup(broken, [59]).collect()] == [want["59"]]
+
+
+def test_routes():
+    heads = [(0, 0, None), (1, 0, "9"), (1, 1, "20"), (2, 0, "100")]
+    assert token_store.routes(heads, [None, "3", "9", "99", "100", "5000"]) == {(0, 0): [None, "3"], (1, 0): ["9"], (1, 1): ["99"], (2, 0): ["100", "5000"]}
+    assert token_store.routes([(0, 0, "b"), (1, 0, "d")], ["a", "c", "d"]) == {(0, 0): ["c"], (1, 0): ["d"]}
+    assert token_store.routes([(0, 0, "1"), (1, 0, "3")], ["20"]) == {(0, 0): ["20"], (1, 0): ["20"]}  # numbers or text: both places
+    assert token_store.routes([(0, 0, "c"), (1, 0, "a")], ["b"]) == {(0, 0): ["b"], (1, 0): ["b"]}

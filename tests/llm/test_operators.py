@@ -143,9 +143,9 @@ def test_token_store(spark, docs):
     path = new_path(spark, "store")
     token_store.write_store(docs, path)
     store = token_store.open_store(spark, path)
-    same(rows(token_store.read_store(store), "doc_id", "start", "n_tokens", "ids_crc32"), brute.store(ROWS, t))
+    same(rows(token_store.read_store(store), "key", "start", "n_tokens", "ids_crc32"), brute.store(ROWS, t))
     got = {r["key"]: r["ids"] for r in token_store.lookup(store, [4, 9, 777_777]).collect()}
-    assert got == {"4": [*t.encode(LONG).ids, 0], "9": [*t.encode("one two").ids, 0]}
+    assert got == {4: [*t.encode(LONG).ids, 0], 9: [*t.encode("one two").ids, 0]}
 
 
 def test_minimal_perfect_hash():
@@ -154,11 +154,33 @@ def test_minimal_perfect_hash():
     assert sorted(slots) == list(range(5000)) and len(seeds) == 1250
 
 
+def encoded(e, texts):
+    """ids of each text by the table of pieces"""
+    import pyarrow as pa
+
+    from loomlens.llm.hashing import buffers
+
+    out = []
+    for _, ids, sizes in e.encode(*buffers(pa.array(texts, pa.string()))):
+        out += np.split(ids, np.cumsum(sizes)[:-1])
+    return [x.tolist() for x in out]
+
+
 def test_pieces_of_any_text():
     e = token_store.Encoder(token_store.default_path())
-    for _ in range(1500):
-        t = "".join(R.choice(" \n\ta'sB.é1\x1c\0") for _ in range(R.randint(0, 14)))
-        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert e.direct
+    texts = ["".join(R.choice(" \n\t\u00a0\u2003a'sBt.é×ß1_\x1c\0—…日(\"") for _ in range(R.randint(0, 20))) for _ in range(6000)]
+    texts += ["", "<|endoftext|>", "a <|endoftext|> b", "don't  'tis", "x" * 5000, "\n\n\nA\n\n b \n", " ".join(f"w{i}é" for i in range(5000))]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(e, texts) == want and encoded(e, texts[::-1]) == want[::-1]
+
+
+def test_a_full_pool_loses_nothing(monkeypatch):
+    monkeypatch.setattr(token_store, "POOL", 600)
+    e = token_store.Encoder(token_store.default_path())
+    for k in range(30):
+        texts = [" ".join(f"{'abcdefgh'[(i * k) % 8]}word {i} {k}" for i in range(40)), "the of and " * 20]
+        assert encoded(e, texts) == [e.tokenizer.encode(t).ids for t in texts]
 
 
 def test_pseudonyms(docs):

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomlens.llm import decontaminate, pii, token_store
@@ -73,28 +74,44 @@ def test_differences_of_one_repeated_shingle(spark):
     assert got == leaks(docs, items) == {(i, i) for i in range(8)} | {(10, 1)}
 
 
-def test_lookup_reads_the_shard_of_the_key_alone(spark):
-    for kind, keys in (("long", [-5, 0, *range(2, 60), 101]), ("string", ["", "10", "9", "b", "\u00e9", *map(str, range(20, 60))])):
-        docs = spark.createDataFrame([(k, f"text of {k}") for k in keys] + [(None, "none")], f"doc_id {kind}, text string")
-        path = new_path(spark, "routes")
-        token_store.write_store(docs, path)
-        store = token_store.open_store(spark, path)
-        heads = [tuple(r) for r in store.select("shard", "part", "first_key").collect()]
-        assert len(heads) > 1
-        enc = token_store.encoder(token_store.default_path()).tokenizer
-        want = {str(k): [*enc.encode(f"text of {k}").ids, 0] for k in keys}
-        got = {r["key"]: r["ids"] for r in token_store.lookup(store, [*keys, None, 777, "x"]).collect()}
+def store_of(spark, docs, kind):
+    path = new_path(spark, "store")
+    token_store.write_store(spark.createDataFrame(docs, f"doc_id {kind}, text string"), path)
+    return token_store.open_store(spark, path)
+
+
+def test_lookup_reads_the_parts_of_the_key_alone(spark):
+    enc = token_store.encoder(token_store.default_path()).tokenizer
+    for kind, keys in (("long", [-5, 0, *range(2, 60), 101]), ("string", ["", "10", "9", "b", "\u00e9", "a\nb", *map(str, range(20, 60))])):
+        store = store_of(spark, [(k, f"text of {k}") for k in keys] + [(None, "none")], kind)
+        assert store.select("shard").distinct().count() > 1
+        want = {k: [*enc.encode(f"text of {k}").ids, 0] for k in keys}
+        absent = [777, -777] if kind == "long" else ["x", "\uffff"]
+        got = {r["key"]: r["ids"] for r in token_store.lookup(store, [*keys, None, *absent]).collect()}
         assert got.pop(None) == [*enc.encode("none").ids, 0] and got == want
-        assert token_store.lookup(store, []).count() == token_store.lookup(store, [777]).count() == 0
-        if kind == "long":  # what is spoilt in the other shards is never met
-            (own,) = token_store.routes(heads, ["59"])
-            broken = store.withColumn("prints", F.when(F.col("shard") == own[0], F.col("prints")).otherwise(F.lit(b"spoilt").cast("binary")))
-            assert [r["ids"] for r in token_store.lookup(broken, [59]).collect()] == [want["59"]]
-
-
-def test_routes():
-    heads = [(0, 0, None), (1, 0, "9"), (1, 1, "20"), (2, 0, "100")]
-    assert token_store.routes(heads, [None, "3", "9", "99", "100", "5000"]) == {(0, 0): [None, "3"], (1, 0): ["9"], (1, 1): ["99"], (2, 0): ["100", "5000"]}
-    assert token_store.routes([(0, 0, "b"), (1, 0, "d")], ["a", "c", "d"]) == {(0, 0): ["c"], (1, 0): ["d"]}
-    assert token_store.routes([(0, 0, "1"), (1, 0, "3")], ["20"]) == {(0, 0): ["20"], (1, 0): ["20"]}  # numbers or text: both places
-    assert token_store.routes([(0, 0, "c"), (1, 0, "a")], ["b"]) == {(0, 0): ["b"], (1, 0): ["b"]}
+        assert token_store.lookup(store, []).count() == token_store.lookup(store, absent).count() == 0
+        assert {r["key"] for r in token_store.read_store(store).collect()} == {*keys, None}
+        one = keys[-1]
+        assert token_store.parts_of(store, [one]).count() == 1
+        plan = token_store.parts_of(store, [one])._jdf.queryExecution().toString()
+        assert "PushedFilters: [IsNotNull(first_key), IsNotNull(last_key), LessThanOrEqual(first_key," in plan
+
+
+def test_rows_of_one_key_spread_over_parts(spark):
+    docs = [(7, f"text number {i} of one key") for i in range(60)] + [(1, "a"), (9, "b"), (7, "text number 3 of one key"), (7, None)]
+    path = new_path(spark, "store")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    token_store.write_store(d.repartition(40), path, part_ids=20)
+    store = token_store.open_store(spark, path)
+    rows = token_store.read_store(store).collect()
+    rows.sort(key=lambda r: r["start"])
+    assert [r["key"] for r in rows] == [1, *[7] * 62, 9] and [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(len(rows))]
+    found = token_store.lookup(store, [7]).collect()
+    assert len(found) > 1
+    assert sum(len(r["ids"]) for r in found) == sum(r["n_tokens"] for r in rows if r["key"] == 7)
+
+
+def test_store_of_nothing_and_of_other_keys(spark):
+    assert token_store.read_store(store_of(spark, [], "long")).count() == 0
+    with pytest.raises(TypeError):
+        store_of(spark, [(1.5, "a")], "double")

@@ -7,6 +7,7 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of every contract: \x20 and \x09-\x0D.
 WS = " \t\n\x0b\x0c\r"
@@ -23,6 +24,14 @@ def narrowed(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def integer_key(df: DataFrame, column: str) -> Column:
+    """An id column as long; ids of other types are refused, as a cast would make nulls of them."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{column} must be an integer, not {kind.simpleString()}")
+    return F.col(f"`{column}`").cast("long")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; other letters stay."""
     return F.translate(c, UPPER, LOWER)

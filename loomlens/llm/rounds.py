@@ -1,15 +1,20 @@
 """Question rounds over chunks of documents: which of my windows occur elsewhere, or in a smaller document?
 
 Documents are gathered, where they lie, into chunks of a few MB, written once to the shared folder as a
-table bucketed by chunk number. A round sends, from every chunk, the sorted distinct fingerprints of the
-windows in question (differences of sorted numbers, compressed: three to six bytes each, whatever the
-windows' length) to buckets by fingerprint. A bucket answers each chunk with one or two bits for each
-fingerprint, in the order in which they were sent, so that no fingerprint travels back and no document
-travels at all: the bucketed table meets the answers without a shuffle.
+table bucketed by chunk number. A round sends, from every chunk, the sorted fingerprints of what is in
+question (differences of sorted numbers, compressed) to buckets by fingerprint. A bucket answers each
+chunk with some bits for each fingerprint, in the order in which they were sent, so that no fingerprint
+travels back and no document travels at all: the bucketed table meets the answers without a shuffle. What
+a chunk wants to remember until the next round (its state) travels beside its answers.
 
 A fingerprint leaves a chunk once, however often it occurs in it: a passage that a third of all
 documents hold costs one entry a chunk. Buckets split the fingerprint space evenly and their number
 follows the counted size of the input, so each fits in memory. Nothing is collected.
+
+Chunks and buckets both grow in number with the input, so their rows would get smaller and smaller. Beyond
+``fan`` buckets a round therefore takes two hops: a chunk sends to the square root of the number of
+buckets, *gangs* of chunks are regrouped there, and go on to the buckets together; answers come back the
+same way. A row then holds as many fingerprints as with a chunk of the size of a gang.
 """
 
 from __future__ import annotations
@@ -22,47 +27,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrowed, new_path, shuffle_partitions
+from .common import integer_key, materialize, narrowed, new_path, shuffle_partitions
 from .hashing import U, buffers
 
 CHUNK_BYTES = 4 << 20
-#: Bytes of text for each bucket of a round.
-BUCKET_BYTES = 32 << 20
+#: Bytes of text for each bucket of a round, and buckets that one row a chunk each is worth.
+BUCKET_BYTES, FAN = 32 << 20, 1024
+#: Stands for a null id, which counts as smaller than any other.
 NULL_ID = -(1 << 63)
 _CODEC = pa.Codec("zstd", compression_level=1)
-SENT = "bucket int, chunk long, n int, keys binary, second binary, least binary, many binary"
-ANSWER = "chunk long, level int, bucket int, n int, one binary, two binary"
-_SENT_TYPES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("keys", "second", "least", "many")]])
-_ANSWER_TYPES = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    """Eight planes of bytes, compressed after their length."""
-    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return _CODEC.compress(raw, asbytes=True)
-
-
-def _swell(data: bytes, n: int) -> np.ndarray:
-    raw = _CODEC.decompress(data, 8 * n, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").reshape(n)
-
-
-def _bits(x: np.ndarray) -> bytes:
-    return np.packbits(x).tobytes()
-
-
-def _flags(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+ROW = "bucket int, gang long, level int, chunks binary, counts binary, parts array<binary>"
+_ROW_TYPES = pa.schema([("bucket", pa.int32()), ("gang", pa.int64()), ("level", pa.int32()), ("chunks", pa.binary()), ("counts", pa.binary()), ("parts", pa.list_(pa.binary()))])
+
+
+def pack(x: np.ndarray, kind: str) -> bytes:
+    """An array as bytes after its length: "bits", "up" (ascending numbers as differences), or planes of a type's bytes."""
+    n = len(x).to_bytes(8, "little")
+    if kind == "bits":
+        return n + np.packbits(x).tobytes()
+    if kind == "up":
+        x, kind = np.diff(x, prepend=U(0)), "<u8"
+    x = np.ascontiguousarray(x.astype(kind, copy=False))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else x
+    return n + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    n, body = int.from_bytes(data[:8], "little"), data[8:]
+    if kind == "bits":
+        return np.unpackbits(np.frombuffer(body, np.uint8), count=n).astype(bool)
+    dtype = np.dtype("<u8" if kind == "up" else kind)
+    if not n:
+        return np.zeros(0, dtype)
+    raw = np.frombuffer(_CODEC.decompress(body, n * dtype.itemsize, asbytes=True), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).reshape(n)
+    return np.cumsum(x, dtype=U) if kind == "up" else x
 
 
 class Chunk:
     """Some whole documents: ids (NULL_ID for null), bytes and offsets."""
 
-    def __init__(self, number: int, ids: bytes, sizes: bytes, body: bytes):
-        self.number, self.ids = number, np.frombuffer(ids, "<i8")
+    def __init__(self, number: int, ids: bytes, nulls: bytes, sizes: bytes, body: bytes):
+        self.number, self.ids, self.nulls = number, np.frombuffer(ids, "<i8"), nulls
         self.raw = np.frombuffer(body, np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).astype(np.int64)
 
+    def names(self) -> list:
+        """The ids as they were, nulls included."""
+        none = np.unpackbits(np.frombuffer(self.nulls, np.uint8), count=len(self.ids))
+        return [None if x else k for k, x in zip(self.ids.tolist(), none.tolist(), strict=True)]
+
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
@@ -70,12 +84,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, ids, sizes, parts, held = TaskContext.get().partitionId() << 33, [], [], [], 0
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x], pa.binary()) for x in (np.array(ids, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), b"".join(parts))]], ["chunk", "ids", "sizes", "body"])
+        known = np.array([NULL_ID if k is None else k for k in ids], "<i8").tobytes()
+        cells = (known, np.packbits([k is None for k in ids]).tobytes(), np.array(sizes, "<i8").tobytes(), b"".join(parts))
+        return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x], pa.binary()) for x in cells]], ["chunk", "ids", "nulls", "sizes", "body"])
 
     for batch in batches:
         raw, at = buffers(batch.column(1))
         for i, k in enumerate(batch.column(0).to_pylist()):
-            ids.append(NULL_ID if k is None else k), sizes.append(int(at[i + 1] - at[i])), parts.append(raw[at[i] : at[i + 1]].tobytes())
+            ids.append(k), sizes.append(int(at[i + 1] - at[i])), parts.append(raw[at[i] : at[i + 1]].tobytes())
             held += sizes[-1]
             if held >= CHUNK_BYTES:
                 yield row()
@@ -84,106 +100,175 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _chunk(r: dict) -> Chunk:
+    return Chunk(r["chunk"], r["ids"], r["nulls"], r["sizes"], r["body"])
+
+
+def _row(bucket: int, gang: int, level: int, chunks, counts, parts: list) -> dict:
+    return {"bucket": bucket, "gang": gang, "level": level, "chunks": np.asarray(chunks, "<i8").tobytes(), "counts": np.asarray(counts, "<i8").tobytes(), "parts": parts}
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_ROW_TYPES)
+
+
 class Rounds:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN):
         spark = self.spark = docs.sparkSession
-        src = narrowed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.tasks = shuffle_partitions(spark)
+        src = narrowed(docs, id_col, text_col).select(integer_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        self.tasks, self.fan = shuffle_partitions(spark), fan
         name = f"chunks_{uuid.uuid4().hex}"
-        chunks = src.mapInArrow(_gather, "chunk long, ids binary, sizes binary, body binary")
+        chunks = src.mapInArrow(_gather, "chunk long, ids binary, nulls binary, sizes binary, body binary")
         chunks.write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(self.tasks, "chunk").saveAsTable(name)
         self.chunks = spark.table(name)
         size = self.chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+        # The plan knows the files and their buckets; the catalog need not keep the name.
+        spark.sql(f"DROP TABLE {name}")
         self.depth = max(1, int(np.ceil(np.log2(max(self.tasks, size / BUCKET_BYTES)))))
-        self.answers: DataFrame | None = None
-        self.level = 0
+        self.told: DataFrame | None = None
+        self.kinds: list[tuple[list, list]] = []
 
     def _over_chunks(self, fn: Callable[[Chunk, list], pa.Table], schema: str) -> DataFrame:
-        """fn(chunk, answers so far) for every chunk; an answer is (one, two), arrays of bits."""
-        levels = self.level
-        if self.answers is None:
+        """fn(chunk, [(answers, state) of each round so far]) for every chunk."""
+        if self.told is None:
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for r in batch.to_pylist():
-                        yield from fn(Chunk(r["chunk"], r["ids"], r["sizes"], r["body"]), []).to_batches()
+                        yield from fn(_chunk(r), []).to_batches()
 
             return self.chunks.mapInArrow(run, schema)
+        kinds = list(self.kinds)
 
         def pair(left: pa.Table, right: pa.Table) -> pa.Table:
             (r,) = left.to_pylist()
-            told = sorted(right.to_pylist(), key=lambda x: (x["level"], x["bucket"]))
-            answers = []
-            for k in range(levels):
-                own = [x for x in told if x["level"] == k]
-                answers.append(tuple(np.concatenate([np.zeros(0, bool), *[_flags(x[c], x["n"]) for x in own]]) for c in ("one", "two")))
-            return fn(Chunk(r["chunk"], r["ids"], r["sizes"], r["body"]), answers)
-
-        return self.chunks.groupBy("chunk").cogroup(self.answers.groupBy("chunk")).applyInArrow(pair, schema)
-
-    def ask(self, question: Callable[[Chunk, list], tuple], judge: Callable) -> None:
-        """question gives (sorted keys, second, least, many) of a chunk, the last three or None; judge
-        gets those of one bucket with each entry's chunk and returns two arrays of bits."""
-        depth, level = self.depth, self.level
-
-        def send(chunk: Chunk, answers: list) -> pa.Table:
-            keys, second, least, many = question(chunk, answers)
-            bucket = (keys >> U(64 - depth)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange((1 << depth) + 1))
-            rows = []
-            for b in np.unique(bucket):
-                i, j = cuts[b], cuts[b + 1]
-                k = keys[i:j]
-                rows.append({
-                    "bucket": int(b), "chunk": chunk.number, "n": int(j - i), "keys": _squeeze(np.diff(k, prepend=U(0))),
-                    "second": None if second is None else _squeeze(second[i:j]), "least": None if least is None else _squeeze(least[i:j].astype("<i8").view("<u8")),
-                    "many": None if many is None else _bits(many[i:j]),
-                })
-            return pa.Table.from_pylist(rows, schema=_SENT_TYPES)
+            rows, told = sorted(right.to_pylist(), key=lambda x: (x["level"], x["bucket"])), []
+            for k, (answers, state) in enumerate(kinds):
+                own = [x["parts"] for x in rows if x["level"] == k and x["bucket"] >= 0]
+                kept = [x["parts"] for x in rows if x["level"] == k and x["bucket"] < 0]
+                told.append((
+                    [np.concatenate([np.zeros(0, bool if a == "bits" else a), *[unpack(p[i], a) for p in own]]) for i, a in enumerate(answers)],
+                    [unpack(kept[0][i], s) for i, s in enumerate(state)] if kept else [],
+                ))
+            return fn(_chunk(r), told)
+
+        return self.chunks.groupBy("chunk").cogroup(self.told.groupBy("gang")).applyInArrow(pair, schema)
+
+    def ask(self, question: Callable[[Chunk, list], tuple], judge: Callable, sent: list[str], answers: list[str], state: list[str] | None = None, forget: bool = False) -> None:
+        """question gives (arrays, state) of a chunk: arrays of the kinds ``sent``, the first ascending keys.
+
+        judge gets those arrays of one bucket, chunks one after another, and returns one array of each
+        kind in ``answers``. ``forget`` drops what earlier rounds told, where the state holds all of it.
+        """
+        depth, level, state = self.depth, len(self.kinds), state or []
+        fine = depth // 2 if 1 << depth > self.fan else 0
+        coarse, first = depth - fine, sent[0]
+
+        def send(chunk: Chunk, told: list) -> pa.Table:
+            arrays, kept = question(chunk, told)
+            bucket = (arrays[0] >> U(64 - coarse)).astype(np.int64)
+            gang = chunk.number if not fine else (chunk.number ^ chunk.number >> 33) & ((1 << fine) - 1)
+            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+            rows = [
+                _row(int(bucket[i]), gang, level, [chunk.number], [j - i], [pack(x[i:j], k) for x, k in zip(arrays, sent, strict=True)])
+                for i, j in zip(heads, [*heads[1:], len(bucket)], strict=True)
+            ]
+            if state:  # to a place of its own, past the judge
+                rows.append(_row(-1 - chunk.number % (1 << min(depth, 30)), chunk.number, level, [chunk.number], [0], [pack(x, k) for x, k in zip(kept, state, strict=True)]))
+            return _table(rows)
+
+        def onward(t: pa.Table) -> pa.Table:
+            """Rows of a gang's chunks for one coarse bucket, regrouped for its fine ones."""
+            rows = t.to_pylist()
+            if rows[0]["bucket"] < 0:
+                return _table(rows)
+            whole = [[unpack(r["parts"][i], k) for r in rows] for i, k in enumerate(sent)]
+            cell = [((x >> U(64 - depth)) & U((1 << fine) - 1)).astype(np.int64) for x in whole[0]]
+            numbers = [int(np.frombuffer(r["chunks"], "<i8")[0]) for r in rows]
+            out = []
+            for b in np.unique(np.concatenate(cell)):
+                some = [(i, *np.searchsorted(c, [b, b + 1])) for i, c in enumerate(cell)]
+                some = [(i, x, y) for i, x, y in some if y > x]
+                # (Each chunk's keys ascend, but not those of one chunk after another.)
+                parts = [pack(np.concatenate([w[i][x:y] for i, x, y in some]), "<u8" if k == "up" else k) for w, k in zip(whole, sent, strict=True)]
+                out.append(_row(rows[0]["bucket"] << fine | int(b), rows[0]["gang"], level, [numbers[i] for i, _, _ in some], [y - x for _, x, y in some], parts))
+            return _table(out)
 
         def meet(t: pa.Table) -> pa.Table:
             rows = t.to_pylist()
-            lens = [r["n"] for r in rows]
-            join = lambda c, f: None if rows[0][c] is None else np.concatenate([f(r) for r in rows])
-            keys = np.concatenate([np.cumsum(_swell(r["keys"], r["n"]), dtype=U) for r in rows])
-            one, two = judge(keys, join("second", lambda r: _swell(r["second"], r["n"])), join("least", lambda r: _swell(r["least"], r["n"]).view("<i8")), join("many", lambda r: _flags(r["many"], r["n"])))
-            cut = np.cumsum(lens)[:-1]
-            return pa.Table.from_pylist(
-                [{"chunk": r["chunk"], "level": level, "bucket": r["bucket"], "n": r["n"], "one": _bits(x), "two": _bits(y)} for r, x, y in zip(rows, np.split(one, cut), np.split(two, cut), strict=True)],
-                schema=_ANSWER_TYPES,
-            )
-
-        told = self._over_chunks(send, SENT).groupBy("bucket").applyInArrow(meet, ANSWER)
-        told = materialize(told, "answers")
-        self.answers = told if self.answers is None else self.answers.unionByName(told)
-        self.level += 1
+            if rows[0]["bucket"] < 0:
+                return _table(rows)
+            kinds = ["<u8" if fine and k == "up" else k for k in sent]
+            told = judge(*[np.concatenate([unpack(r["parts"][i], k) for r in rows]) for i, k in enumerate(kinds)])
+            cut = np.cumsum([np.frombuffer(r["counts"], "<i8").sum() for r in rows])[:-1]
+            pieces = zip(*[np.split(x, cut) for x in told], strict=True)
+            return _table([r | {"parts": [pack(x, k) for x, k in zip(p, answers, strict=True)]} for r, p in zip(rows, pieces, strict=True)])
+
+        def back(t: pa.Table) -> pa.Table:
+            """Answers to a gang from the fine buckets of one coarse bucket, dealt to its chunks."""
+            rows = sorted(t.to_pylist(), key=lambda r: r["bucket"])
+            if rows[0]["bucket"] < 0:
+                return _table(rows)
+            own: dict = {}
+            for r in rows:
+                cut = np.cumsum(np.frombuffer(r["counts"], "<i8"))[:-1]
+                pieces = zip(*[np.split(unpack(p, k), cut) for p, k in zip(r["parts"], answers, strict=True)], strict=True)
+                for number, p in zip(np.frombuffer(r["chunks"], "<i8").tolist(), pieces, strict=True):
+                    own.setdefault(number, []).append(p)
+            return _table([_row(rows[0]["bucket"] >> fine, c, level, [c], [0], [pack(np.concatenate(x), k) for x, k in zip(zip(*ps, strict=True), answers, strict=True)]) for c, ps in own.items()])
+
+        rows = self._over_chunks(send, ROW)
+        if fine:
+            rows = rows.groupBy("bucket", "gang").applyInArrow(onward, ROW)
+        rows = rows.groupBy("bucket").applyInArrow(meet, ROW)
+        if fine:
+            rows = rows.groupBy(F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.shiftright("bucket", fine)).alias("way"), "gang").applyInArrow(back, ROW)
+        rows = materialize(rows, "answers")
+        self.told = rows if self.told is None or forget else self.told.unionByName(rows)
+        self.kinds.append((answers, state))
+        assert first in ("up", "<u8")
 
     def finish(self, fn: Callable[[Chunk, list], pa.Table], schema: str) -> DataFrame:
         return self._over_chunks(fn, schema)
 
 
-def occurs_elsewhere(keys, second, least, many):
-    """one: the key was sent by two chunks, or occurs twice in one. two: unused."""
+def occurs_elsewhere(keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray]:
+    """The key was sent by two chunks, or occurs twice in one."""
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     twice = counts > 1
     twice[inverse[many]] = True
-    one = twice[inverse]
-    return one, one
+    return (twice[inverse],)
+
+
+def pair_occurs_elsewhere(keys: np.ndarray, second: np.ndarray, many: np.ndarray) -> tuple[np.ndarray]:
+    """The same of (key, second)."""
+    order, new = ordered(keys, second)
+    return occurs_elsewhere(_places(order, new), many)
+
+
+def ordered(keys: np.ndarray, second: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of (key, second, least), and which of them begin another (key, second)."""
+    order = np.lexsort((second, keys) if least is None else (least, second, keys))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1])
+    return order, new
+
+
+def _places(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The number of each entry's class."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
 
 
-def smaller_elsewhere(keys, second, least, many):
+def smaller_elsewhere(keys: np.ndarray, second: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """one: some entry of the same (key, second) has a smaller ``least``. two: the key has several seconds."""
-    pair = keys if second is None else keys * U(0x9E3779B97F4A7C15) + second
-    order = np.lexsort((least, pair))
-    first = np.r_[True, pair[order][1:] != pair[order][:-1]]
-    lowest = least[order][first][np.cumsum(first) - 1]
+    order, new = ordered(keys, second, least)
+    lowest = least[order][new][np.cumsum(new) - 1]
     one = np.zeros(len(keys), bool)
     one[order] = least[order] > lowest
-    if second is None:
-        return one, one
     _, inverse = np.unique(keys, return_inverse=True)
-    heads = order[first]
-    kinds = np.bincount(inverse[heads], minlength=inverse.max() + 1)
+    kinds = np.bincount(inverse[order[new]], minlength=inverse.max() + 1 if len(inverse) else 0)
     return one, (kinds > 1)[inverse]
 
 
@@ -224,10 +309,8 @@ def winnow(hashes: np.ndarray, offsets: np.ndarray, width: int, run: int) -> tup
 
 def spread(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Mask of n places covered by any [first, last)."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, last, -1)
-    return np.cumsum(edge[:-1]) > 0
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(last, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
 
 def expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -4,12 +4,14 @@ Windows of nine words are asked for first, and of those only the ones that winno
 of 35 words holds at least one, and equal windows hold the same one. A window of 35 words stays a
 candidate while the shorter windows that make it up are repeated; only those are extended: to 18 words
 at both of its ends (9 + 9), then to 35 (18 + 18, overlapping in one word). See ``rounds`` for how a
-round travels. 64-bit fingerprints decide the last level, and a false one would have to collide at every
-level with texts that repeat there.
+round travels. After the first level a chunk remembers its candidates, so words are hashed twice in all.
+Fingerprints of 96 bits decide the last level: among 10**13 different windows two agree with a
+probability below 0.001, and a false one would also have to repeat at every shorter level.
 
 Defined results: null or blank texts have no words; a text shorter than a window loses nothing; every
 occurrence of a repeated window goes, the first included, and a repeated row is an occurrence; a null
-doc_id is a document like any other; an empty table gives no rows; extra columns are ignored.
+doc_id is a document like any other; ids that are no integers are refused; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .hashing import U, run_hashes, word_hashes, word_spans
-from .rounds import NULL_ID, Chunk, Rounds, expand, occurs_elsewhere, spread, winnow
+from .hashing import U, mix, run_hashes, word_hashes, word_spans
+from .rounds import FAN, Chunk, Rounds, expand, occurs_elsewhere, pair_occurs_elsewhere, spread, winnow
 
-WINDOW, HALF, QUARTER = 35, 18, 9
+WINDOW = 35
 
 
 def _levels(window: int) -> tuple[int, int, int]:
@@ -33,66 +35,70 @@ def _levels(window: int) -> tuple[int, int, int]:
     return window, half, (half + 1) // 2
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(h, return_counts=True)
-    return keys, counts > 1
-
-
-class Scan:
-    """One chunk's words and, level by level, the window starts that are still candidates."""
-
-    def __init__(self, chunk: Chunk, window: int, answers: list):
-        self.window, self.half, self.quarter = _levels(window)
-        starts, ends, self.first = word_spans(chunk.raw, chunk.offsets)
-        self.h = word_hashes(chunk.raw, starts, ends)
-        quarter = run_hashes(self.h, self.quarter)
-        self.anchor, self.low, self.high = winnow(quarter, self.first, self.window, self.quarter)
-        # A short fingerprint does for the first level: it only has to rule windows out.
-        self.print = quarter[self.anchor] >> U(24) << U(24)
-        self.alive = np.zeros(0, np.int64)
-        for level, (one, _) in enumerate(answers):
-            keys = self.question(level)[0]
-            self.settle(level, keys, one)
-
-    def question(self, level: int) -> tuple:
-        if level == 0:
-            keys, many = _distinct(self.print)
-        elif level == 1:
-            self.hashes = run_hashes(self.h, self.half)
-            self.places = np.unique(np.r_[self.alive, self.alive + self.window - self.half])
-            keys, many = _distinct(self.hashes[self.places])
-        else:
-            self.hashes = run_hashes(self.h, self.window)
-            keys, many = _distinct(self.hashes[self.alive])
-        return keys, None, None, many
-
-    def settle(self, level: int, keys: np.ndarray, one: np.ndarray) -> None:
-        if not len(keys):
-            self.alive = np.zeros(0, np.int64)
-        elif level == 0:
-            ok = one[np.searchsorted(keys, self.print)]
-            self.alive = expand(self.low[ok], self.high[ok])
-        elif level == 1:
-            repeated = lambda s: one[np.searchsorted(keys, self.hashes[s])]
-            self.alive = self.alive[repeated(self.alive) & repeated(self.alive + self.window - self.half)]
-        else:
-            self.alive = self.alive[one[np.searchsorted(keys, self.hashes[self.alive])]]
-
-
-def substring_dedup(docs: DataFrame, finish: Callable[[list, np.ndarray], tuple] | None = None, schema: str = "n_words long, n_removed long, text string", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, which of them occur twice, where each input stands."""
+    keys, place, counts = np.unique(h, return_inverse=True, return_counts=True)
+    return keys, counts > 1, place
+
+
+def _words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, first = word_spans(chunk.raw, chunk.offsets)
+    return word_hashes(chunk.raw, starts, ends), first
+
+
+def _first_round(chunk: Chunk, told: list, window: int) -> tuple:
+    """Picked windows of a quarter. A short fingerprint does: it only has to rule windows out."""
+    _, _, quarter = _levels(window)
+    h, first = _words(chunk)
+    hashes = run_hashes(h, quarter)
+    anchor, low, high = winnow(hashes, first, window, quarter)
+    keys, many, place = _distinct(hashes[anchor] >> U(24) << U(24))
+    return [keys, many], [low, high - low, place]
+
+
+def _second_round(chunk: Chunk, told: list, window: int) -> tuple:
+    """Halves at both ends of the windows left; their starts, and the fingerprints of the windows for later."""
+    _, half, _ = _levels(window)
+    (known,), (low, span, place) = told[0]
+    ok = known[place]
+    alive = expand(low[ok].astype(np.int64), low[ok].astype(np.int64) + span[ok]) if ok.any() else np.zeros(0, np.int64)
+    h, _ = _words(chunk)
+    halves, whole = run_hashes(h, half), run_hashes(h, window)
+    # A second hash of the window from hashes of its halves, under multipliers of its own.
+    second = mix(halves[alive] * U(0xD6E8FEB86659FD93) + mix(halves[alive + window - half] * U(0xA0761D6478BD642F)))
+    keys, many, at = _distinct(np.r_[halves[alive], halves[alive + window - half]] if len(alive) else np.zeros(0, U))
+    return [keys, many], [alive, at[: len(alive)], at[len(alive) :], whole[alive], (second >> U(32)).astype("<u4")]
+
+
+def _third_round(chunk: Chunk, told: list, window: int) -> tuple:
+    (known,), (alive, left, right, whole, second) = told[1]
+    ok = known[left] & known[right]
+    alive, whole, second = alive[ok], whole[ok], second[ok]
+    order = np.lexsort((second, whole))
+    new = np.ones(len(order), bool)
+    new[1:] = (whole[order][1:] != whole[order][:-1]) | (second[order][1:] != second[order][:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    many = np.bincount(place, minlength=int(new.sum())) > 1
+    return [whole[order][new], second[order][new], many], [alive, place]
+
+
+def substring_dedup(docs: DataFrame, finish: Callable[[list, np.ndarray], tuple] | None = None, schema: str = "n_words long, n_removed long, text string", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """doc_id and what ``finish(words, removed mask)`` gives: by default the counts and the text that is left."""
     finish = finish or (lambda words, gone: (len(words), int(gone.sum()), b" ".join(compress(words, ~gone)).decode()))
-    rounds = Rounds(docs, id_col, text_col)
-    for level in range(3):
-        rounds.ask(lambda chunk, answers, level=level: Scan(chunk, window, answers).question(level), occurs_elsewhere)
-
-    def last(chunk: Chunk, answers: list) -> pa.Table:
-        scan = Scan(chunk, window, answers)
-        gone = spread(len(scan.h), scan.alive, scan.alive + window)
-        rows, body = [], chunk.raw.tobytes()
-        for i, k in enumerate(chunk.ids.tolist()):
-            words = body[chunk.offsets[i] : chunk.offsets[i + 1]].split()
-            rows.append((None if k == NULL_ID else k, *finish(words, gone[scan.first[i] : scan.first[i + 1]])))
+    rounds = Rounds(docs, id_col, text_col, fan)
+    rounds.ask(lambda c, t: _first_round(c, t, window), occurs_elsewhere, ["up", "bits"], ["bits"], ["<i4", "<i4", "<i4"])
+    rounds.ask(lambda c, t: _second_round(c, t, window), occurs_elsewhere, ["up", "bits"], ["bits"], ["<i4", "<i4", "<i4", "<u8", "<u4"])
+    rounds.ask(lambda c, t: _third_round(c, t, window), pair_occurs_elsewhere, ["up", "<u4", "bits"], ["bits"], ["<i4", "<i4"], forget=True)
+
+    def last(chunk: Chunk, told: list) -> pa.Table:
+        (known,), (alive, place) = told[2]
+        starts, _, first = word_spans(chunk.raw, chunk.offsets)
+        lost = alive[known[place]].astype(np.int64)
+        gone = spread(len(starts), lost, lost + window)
+        rows, body, at, first = [], chunk.raw.tobytes(), chunk.offsets.tolist(), first.tolist()
+        for i, name in enumerate(chunk.names()):
+            rows.append((name, *finish(body[at[i] : at[i + 1]].split(), gone[first[i] : first[i + 1]])))
         return pa.table({name: list(c) for name, c in zip(out.names, zip(*rows), strict=True)}, schema=out)
 
     from pyspark.sql import types as T

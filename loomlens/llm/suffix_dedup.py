@@ -4,19 +4,28 @@ A byte goes if a string of ``window`` bytes over it also starts in a document wi
 
 1. Winnowing picks 20-byte anchors: every window holds one, equal windows the same one. Anchors that
    occur in one document alone rule their windows out (one round of ``rounds``).
-2. The windows of one anchor span a context. Contexts are asked for whole: does a smaller document hold
-   the very same one? Where it does, all windows are settled at once; so are anchors with one context.
-3. What is left lies around the edges of repeated passages. There the common prefixes are derived: the
-   contexts of a chunk are strung together and sorted (their Burrows-Wheeler order), and intervals of
-   suffixes with a common prefix are expanded breadth first by backward extension, one value after
-   another, until ``window``: the intervals then left are the classes of equal windows. One fingerprint
-   of each class and its smallest document go into the last round.
-
-No text leaves its chunk. Documents are compared on the input, never on what is left.
+2. The windows of one anchor span a context of at most 80 bytes. Contexts are asked for whole: does a
+   smaller document hold the very same one? Where it does, all windows are settled at once; so are anchors
+   with one context.
+3. What is left lies around the edges of repeated passages. There a chunk orders the suffixes of its
+   contexts that begin in an anchor (an interval each, of the value 20) and extends all intervals breadth
+   first, by one symbol and one value at a time, to either side: backwards a step is the LF mapping of a
+   Burrows-Wheeler transform, a stable sort by the symbol before; forwards it is that of the reversed
+   texts. Intervals of one suffix are given up. Where the values of both sides make up ``window``, the
+   intervals are the classes of equal windows; longer common prefixes are never derived.
+4. The classes are what the last round asks about, each once a chunk with its smallest document and a
+   fingerprint of one of its windows, and what is removed: the answer to a class is its windows' fate.
+
+Within a chunk bytes are compared; between chunks fingerprints of 128 bits (contexts) and 96 bits
+(classes) stand for them, so that a window that a third of all documents hold is one short entry a
+chunk. Of 10**13 different ones, two agree with a probability below 0.001. No text leaves its chunk, and
+after the second round none is hashed again: positions and classes travel as the chunk's state.
+Documents are compared on the input, never on what is left.
 
 Defined results: null and empty texts have no bytes; texts under ``window`` bytes lose nothing; rows of
 one doc_id are one document, so that they do not remove each other's bytes; a null doc_id counts as
-smaller than any other; an empty table gives no rows; extra columns are ignored.
+smaller than any other (and as the same document as -2**63); ids that are no integers are refused; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .hashing import U, mix
-from .rounds import NULL_ID, Chunk, Rounds, expand, occurs_elsewhere, smaller_elsewhere, spread
+from .rounds import FAN, Chunk, Rounds, occurs_elsewhere, smaller_elsewhere, spread
 
 WINDOW, ANCHOR = 50, 20
 #: Window starts handled at once: their arrays stay in a core's own cache.
 STRIDE = 1 << 15
 _LOW = U((1 << 17) - 1)
-_ODD = mix(np.arange(2001, 2033, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+_ODD = mix(np.arange(2001, 2041, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
 def words8(raw: np.ndarray) -> np.ndarray:
@@ -48,16 +57,22 @@ def words8(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
-    """Hash of ``size`` bytes (16 to 24) at every position, from three loads of eight."""
-    w = words8(raw)
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at every position as one number; shorter by seven."""
+    return np.ndarray((max(0, len(raw) - 7),), "<u8", raw.data if len(raw) > 7 else bytes(8), 0, (1,))
+
+
+def gram_hashes(raw: np.ndarray, size: int, at: np.ndarray | slice | None = None) -> np.ndarray:
+    """Hash of ``size`` bytes (16 to 24) at every position or at those given, from three loads of eight."""
+    w = words8(raw) if at is None else eights(raw)
     n = len(raw) - size + 1
-    h = (w[:n] + _ODD[0]) * _ODD[1]
+    load = (lambda k: w[k : k + n]) if at is None else (lambda k: w[at + k])
+    h = (load(0) + _ODD[0]) * _ODD[1]
     h ^= h >> U(32)
-    h += w[8 : 8 + n]
+    h += load(8)
     h *= _ODD[2]
     h ^= h >> U(29)
-    h += w[size - 8 : size - 8 + n]
+    h += load(size - 8)
     h *= _ODD[3]
     h ^= h >> U(32)
     h *= _ODD[4]
@@ -65,18 +80,18 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def hashes_at(raw: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes at the given positions alone."""
-    out = np.empty(len(starts), U)
-    width = -(-size // 8)
+def hashes_at(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``size`` bytes (8 or more) at each of the positions."""
+    w, out = eights(raw), (np.empty(len(starts), U), np.empty(len(starts), U))
+    steps = [*range(0, size - 8, 8), size - 8]
     for i in range(0, len(starts), STRIDE):
-        part = np.zeros((len(starts[i : i + STRIDE]), 8 * width), np.uint8)
-        part[:, :size] = raw[starts[i : i + STRIDE, None] + np.arange(size)]
-        w = part.view("<u8")
-        h = np.zeros(len(w), U)
-        for k in range(width):
-            h = (h ^ (h >> U(31))) * _ODD[5] + mix(w[:, k] + _ODD[8 + k])
-        out[i : i + STRIDE] = mix(h)
+        at = starts[i : i + STRIDE]
+        g, h = np.zeros(len(at), U), np.zeros(len(at), U)
+        for k, o in enumerate(steps):
+            x = w[at + o]
+            g = (g ^ (g >> U(31))) * _ODD[5] + (x ^ (x >> U(33))) * _ODD[8 + k]
+            h = (h ^ (h >> U(27))) * _ODD[6] + (x ^ (x >> U(35))) * _ODD[20 + k]
+        out[0][i : i + STRIDE], out[1][i : i + STRIDE] = mix(g), mix(h)
     return out
 
 
@@ -118,151 +133,159 @@ def byte_anchors(raw: np.ndarray, offsets: np.ndarray, window: int, anchor: int)
     return at[heads], h[heads], low[heads], high[np.r_[heads[1:], len(at)] - 1]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of all suffixes by at least their first ``depth`` bytes, by prefix doubling."""
-    n = len(text)
-    padded = np.r_[text.astype(U) + U(1), np.zeros(8, U)]
-    key = np.zeros(n, U)
-    for k in range(7):  # seven bytes and their end marks fit
-        key = key * U(257) + padded[k : k + n]
-    _, rank = np.unique(key, return_inverse=True)
-    known = 7
-    while known < depth:
-        behind = np.zeros(n, U)
-        behind[: n - known] = rank[known:].astype(U) + U(1)
-        _, rank = np.unique(rank.astype(U) * U(n + 1) + behind, return_inverse=True)
-        known *= 2
-    order = np.argsort(rank, kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place
-
-
-def equal_windows(text: np.ndarray, window: int) -> np.ndarray:
-    """Class of the ``window`` bytes at each position (equal numbers: equal bytes).
-
-    Interval expansion on the Burrows-Wheeler order: ``edge[j]`` says that the suffixes of ranks j - 1
-    and j share fewer bytes than the current value. Extending all intervals backwards by one symbol
-    keeps two neighbours together if their first symbols agree and the ranks of what follows lie in one
-    interval of the value before. It stops at ``window``; longer prefixes are never derived.
-    """
-    n = len(text)
-    if n < window:
-        return np.arange(n)
-    order, place = suffix_order(text, window)
-    follows = np.where(order + 1 < n, place[np.minimum(order + 1, n - 1)], -1)
-    first = text[order]
-    edge = np.r_[True, first[1:] != first[:-1]]
-    together = np.flatnonzero(~edge)  # neighbours whose common prefix still reaches the value
-    for _ in range(1, window):
-        interval = np.r_[0, np.cumsum(edge, dtype=np.int32)]  # 0 at the end: follows is -1 there
-        parted = interval[follows[together] + 1] != interval[follows[together - 1] + 1]
-        if not parted.any():
-            break
-        edge[together[parted]] = True
-        together = together[~parted]
-    out = np.empty(n, np.int64)
-    out[order] = np.cumsum(edge)
-    return out
-
+def extended(order: np.ndarray, interval: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All intervals extended by one symbol: the new order of the suffixes, and each one's interval.
 
-class Scan:
-    def __init__(self, chunk: Chunk, window: int, anchor: int, answers: list):
-        self.window, self.raw = window, chunk.raw
-        self.size = np.diff(chunk.offsets)
-        self.doc = chunk.ids
-        self.anchor, self.print, self.low, self.high = byte_anchors(chunk.raw, chunk.offsets, window, anchor)
-        self.owner = self.doc[np.searchsorted(chunk.offsets, self.anchor, side="right") - 1]
-        self.first, self.last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for level, (one, two) in enumerate(answers):
-            # Classes are only told apart by expansion when they are asked about; later their fingerprints do.
-            self.question(level)
-            self.settle(level, one, two, expand=len(answers) == 2)
-
-    def question(self, level: int) -> tuple:
-        if level == 0:
-            short = self.print >> U(24) << U(24)
-            order = np.lexsort((self.owner, short))
-            s, d = short[order], self.owner[order]
-            new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-            other = np.r_[False, (s[1:] == s[:-1]) & (d[1:] != d[:-1])] if len(s) else new
-            self.keys = s[new]
-            many = np.zeros(len(self.keys), bool)
-            many[(np.cumsum(new) - 1)[other]] = True
-            self.short = short
-            return self.keys, None, None, many
-        if level == 1:
-            ends = hashes_at(self.raw, self.low, self.window) * U(0x9E3779B97F4A7C15) + hashes_at(self.raw, self.high, self.window)
-            context = mix(ends + (self.high - self.low).astype(U) * U(0xD6E8FEB86659FD93) + (self.anchor - self.low).astype(U))
-            return self._least(self.print, context, self.owner)
-        return self._least(self.whole, None, self.of)
-
-    def _least(self, keys: np.ndarray, second: np.ndarray | None, docs: np.ndarray) -> tuple:
-        """Distinct (key, second) in order, with the smallest document of each; where each input stands."""
-        order = np.lexsort((docs, keys)) if second is None else np.lexsort((docs, second, keys))
-        k, s = keys[order], None if second is None else second[order]
-        new = np.ones(len(k), bool)
-        if len(k):
-            new[1:] = k[1:] != k[:-1]
-            if s is not None:
-                new[1:] |= s[1:] != s[:-1]
-        self.at = np.empty(len(k), np.int64)
-        self.at[order] = np.cumsum(new) - 1
-        self.least = docs[order][new]
-        return k[new], None if s is None else s[new], self.least, None
-
-    def settle(self, level: int, one: np.ndarray, two: np.ndarray, expand: bool) -> None:
-        if level == 0:
-            ok = one[np.searchsorted(self.keys, self.short)] if len(self.keys) else np.zeros(0, bool)
-            self.anchor, self.low, self.high, self.print, self.owner = (x[ok] for x in (self.anchor, self.low, self.high, self.print, self.owner))
-        elif level == 1:
-            all_gone = one[self.at] | (self.owner > self.least[self.at])
-            self.first.append(self.low[all_gone])
-            self.last.append(self.high[all_gone] + self.window)
-            self.windows(~all_gone & two[self.at], expand)
-        else:
-            gone = one[self.at] | (self.of > self.least[self.at])
-            self.first.append(self.start[gone])
-            self.last.append(self.start[gone] + self.window)
-
-    def windows(self, open_: np.ndarray, told_apart: bool) -> None:
-        """The windows of open contexts and a fingerprint of each one's class."""
-        low, high, owner = self.low[open_], self.high[open_], self.owner[open_]
-        self.start = expand(low, high) if len(low) else np.zeros(0, np.int64)
-        self.of = np.repeat(owner, high - low + 1)
-        if not told_apart or not len(low):
-            self.whole = hashes_at(self.raw, self.start, self.window)
-            return
-        ends = high + self.window
-        text = self.raw[expand(low, ends - 1)]
-        begin = np.cumsum(ends - low) - (ends - low)
-        inside = expand(begin, begin + high - low)
-        kind = equal_windows(text, self.window)[inside]
-        # One fingerprint for each class, taken from its first window.
-        _, head, inverse = np.unique(kind, return_index=True, return_inverse=True)
-        self.whole = hashes_at(self.raw, self.start[head], self.window)[inverse]
-
-    def gone(self) -> np.ndarray:
-        return spread(len(self.raw), np.concatenate(self.first), np.concatenate(self.last))
-
-
-def suffix_dedup(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray], tuple] | None = None, schema: str = "n_bytes long, spans array<array<long>>, kept binary", window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ``order`` has the members of an interval together. Sorted by symbol, stably, those of one interval and
+    symbol are together again; each such run is an interval of the next value.
+    """
+    seen = symbols[order]
+    step = np.argsort(seen, kind="stable")
+    order, seen = order[step], seen[step]
+    was = interval[order]
+    edge = np.ones(len(order), bool)
+    edge[1:] = (seen[1:] != seen[:-1]) | (was[1:] != was[:-1])
+    run = np.cumsum(edge) - 1
+    size = np.bincount(run)
+    out = np.full(len(interval), -1, np.int32)
+    out[order] = run
+    lone = size[run] < 2
+    out[order[lone]] = -1
+    return order[~lone], out
+
+
+def window_classes(raw: np.ndarray, print_: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, class) of every window of the contexts; equal classes are equal bytes.
+
+    A context is the windows that start in [low, high] around the ``size`` bytes at ``anchor``. Windows
+    alone in their intervals get classes of their own.
+    """
+    n, room = len(anchor), window - size
+    by_print = np.argsort(print_, kind="stable")
+    edge = np.ones(n, bool)
+    edge[1:] = print_[by_print][1:] != print_[by_print][:-1]
+    whole = np.empty(n, np.int32)
+    whole[by_print] = np.cumsum(edge)
+    lead, tail, ends = anchor - low, anchor - high, high + window
+    sides = []
+    for backwards in (True, False):
+        order, interval, levels = by_print, whole, [whole]
+        for k in range(1, room + 1):
+            at = anchor - k if backwards else anchor + size + k - 1
+            inside = at >= low if backwards else at < ends
+            order = order[inside[order]]
+            symbols = np.zeros(n, np.uint8)
+            symbols[order] = raw[at[order]]
+            order, interval = extended(order, interval, symbols)
+            levels.append(interval)
+        sides.append(levels)
+    context, start, kind, free = [], [], [], 0
+    for a in range(room + 1):  # bytes of the window before the anchor
+        own = np.flatnonzero((a >= tail) & (a <= lead))
+        left, right = sides[0][a][own].astype(np.int64), sides[1][room - a][own].astype(np.int64)
+        both = np.flatnonzero((left >= 0) & (right >= 0))
+        c = np.arange(free, free + len(own))
+        if len(both):
+            _, head, inverse = np.unique(left[both] << 32 | right[both], return_index=True, return_inverse=True)
+            c[both] = c[both[head]][inverse]
+        context.append(own), start.append(anchor[own] - a), kind.append(c)
+        free += len(own)
+    return np.concatenate(context), np.concatenate(start), np.concatenate(kind)
+
+
+def anchors_of(chunk: Chunk, window: int, size: int) -> tuple[np.ndarray, ...]:
+    """(position, hash, first and last window, document) of each anchor, and the short hash for the first round."""
+    at, h, low, high = byte_anchors(chunk.raw, chunk.offsets, window, size)
+    return at, h, low, high, chunk.ids[np.searchsorted(chunk.offsets, at, side="right") - 1], h >> U(24) << U(24)
+
+
+def _first_round(chunk: Chunk, told: list, window: int, size: int) -> tuple:
+    *_, owner, short = anchors_of(chunk, window, size)
+    order = np.lexsort((owner, short))
+    s, d = short[order], owner[order]
+    new, other = np.ones(len(s), bool), np.zeros(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    other[1:] = ~new[1:] & (d[1:] != d[:-1])
+    many = np.zeros(int(new.sum()), bool)
+    many[(np.cumsum(new) - 1)[other]] = True
+    return [s[new], many], None
+
+
+def _distinct(keys: np.ndarray, second: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the distinct (key, second) stand in order, where each input stands among them, the smallest document of each."""
+    order = np.lexsort((docs, second, keys))
+    k, s = keys[order], second[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    at = np.empty(len(k), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at, docs[order][new]
+
+
+CONTEXT_STATE = ["<i4", "<i4", "u1", "<i4", "bits"]
+
+
+def _second_round(chunk: Chunk, told: list, window: int, size: int) -> tuple:
+    at, h, low, high, owner, short = anchors_of(chunk, window, size)
+    ((known,), _), keys = told[0], np.unique(short)
+    ok = known[np.searchsorted(keys, short)] if len(keys) else np.zeros(0, bool)
+    at, h, low, high, owner = (x[ok] for x in (at, h, low, high, owner))
+    # Two windows cover the context: the first and the last.
+    (a, _), (b, _) = hashes_at(chunk.raw, low, window), hashes_at(chunk.raw, high, window)
+    context = mix(a * _ODD[7] + b + (high - low).astype(U) * _ODD[16] + (at - low).astype(U))
+    heads, place, least = _distinct(h, context, owner)
+    return [h[heads], context[heads], least], [at, low, high - low, place, owner > least[place]]
+
+
+CLASS_STATE = ["<i4", "<i4", "<i4", "<i4", "bits"]
+
+
+def _third_round(chunk: Chunk, told: list, window: int, size: int) -> tuple:
+    (one, two), (at, low, span, place, later) = told[1]
+    at, low, high = at.astype(np.int64), low.astype(np.int64), low.astype(np.int64) + span
+    gone = one[place] | later
+    open_ = np.flatnonzero(~gone & two[place])
+    c_at, c_low, c_high = at[open_], low[open_], high[open_]
+    owner = chunk.ids[np.searchsorted(chunk.offsets, c_at, side="right") - 1]
+    if not len(open_):
+        none = np.zeros(0, np.int64)
+        return [np.zeros(0, U), np.zeros(0, "<u4"), none], [low[gone], high[gone], none, none, np.zeros(0, bool)]
+    context, start, kind = window_classes(chunk.raw, gram_hashes(chunk.raw, size, c_at), c_at, c_low, c_high, window, size)
+    # The smallest document of each class, and one of its windows, stand for it.
+    _, head, number = np.unique(kind, return_index=True, return_inverse=True)
+    doc = owner[context]
+    by_class = np.lexsort((doc, number))
+    least = doc[by_class[np.flatnonzero(np.r_[True, number[by_class][1:] != number[by_class][:-1]])]]
+    whole, second = hashes_at(chunk.raw, start[head], window)
+    order = np.argsort(whole)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [whole[order], (second[order] >> U(32)).astype("<u4"), least[order]], [low[gone], high[gone], start, rank[number], doc > least[number]]
+
+
+def _removed(chunk: Chunk, told: list, window: int) -> np.ndarray:
+    (one, _), (low, high, start, rank, later) = told[2]
+    gone = start[one[rank] | later]
+    return spread(len(chunk.raw), np.concatenate([low, gone]), np.concatenate([high, gone]) + window)
+
+
+def suffix_dedup(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray], tuple] | None = None, schema: str = "n_bytes long, spans array<array<long>>, kept binary", window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """doc_id and what ``finish(bytes, removed mask)`` gives: by default the removed spans and the bytes left."""
-    finish = finish or (lambda raw, gone: (len(raw), runs(gone).tolist(), raw[~gone].tobytes()))
-    rounds = Rounds(docs, id_col, text_col)
-    for level, judge in enumerate((occurs_elsewhere, smaller_elsewhere, smaller_elsewhere)):
-        rounds.ask(lambda chunk, answers, level=level: Scan(chunk, window, anchor, answers).question(level), judge)
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    finish = finish or (lambda raw, gone: (len(raw), runs(gone).tolist(), raw[~gone].tobytes()))
+    rounds = Rounds(docs, id_col, text_col, fan)
+    rounds.ask(lambda c, t: _first_round(c, t, window, anchor), occurs_elsewhere, ["up", "bits"], ["bits"])
+    rounds.ask(lambda c, t: _second_round(c, t, window, anchor), smaller_elsewhere, ["up", "<u8", "<i8"], ["bits", "bits"], CONTEXT_STATE)
+    rounds.ask(lambda c, t: _third_round(c, t, window, anchor), smaller_elsewhere, ["up", "<u4", "<i8"], ["bits", "bits"], CLASS_STATE, forget=True)
     full = f"doc_id long, {schema}"
     out = to_arrow_schema(T._parse_datatype_string(full))
 
-    def last(chunk: Chunk, answers: list) -> pa.Table:
-        gone, rows = Scan(chunk, window, anchor, answers).gone(), []
-        for i, k in enumerate(chunk.ids.tolist()):
-            a, b = chunk.offsets[i], chunk.offsets[i + 1]
-            rows.append((None if k == NULL_ID else k, *finish(chunk.raw[a:b], gone[a:b])))
+    def last(chunk: Chunk, told: list) -> pa.Table:
+        gone, rows, at = _removed(chunk, told, window), [], chunk.offsets.tolist()
+        for name, a, b in zip(chunk.names(), at[:-1], at[1:], strict=True):
+            rows.append((name, *finish(chunk.raw[a:b], gone[a:b])))
         return pa.table({name: list(c) for name, c in zip(out.names, zip(*rows), strict=True)}, schema=out)
 
     return rounds.finish(last, full)
@@ -276,8 +299,9 @@ def runs(gone: np.ndarray) -> np.ndarray:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     def digest(raw: np.ndarray, gone: np.ndarray) -> tuple:
-        kept = raw[~gone] if gone.any() else raw
-        return len(raw), int(gone.sum()), len(runs(gone)), hashlib.sha256(kept.tobytes()).hexdigest()
+        n = int(np.count_nonzero(gone))
+        kept = raw[~gone] if n else raw
+        return len(raw), n, len(runs(gone)) if n else 0, hashlib.sha256(kept.tobytes()).hexdigest()
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs, digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -46,7 +46,7 @@ from .hashing import U, buffers, mix, slices
 END_ID = 0
 _G = U(0x9E3779B97F4A7C15)
 #: A part is closed at so many ids (one document may hold more), so that a row stays far below 2 GB.
-PART_IDS = 4_000_000
+PART_IDS = 1 << 20
 #: Slots of the table of pieces, and ids that they may refer to before the table is emptied.
 SLOTS, POOL = 1 << 21, 1 << 23
 SLICE = 1 << 20

@@ -87,21 +87,36 @@ def test_bpe_trees_and_digests(docs):
 
 def test_suffix_dedup(docs):
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    got = suffix_dedup.suffix_dedup(docs).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, s) -> a + s[1] - s[0])").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    same(rows(got, *cols), brute.suffix(ROWS))
-
-
-def test_equal_windows_by_interval_expansion():
-    for _ in range(30):
-        t = np.array([R.choice(b"ab") for _ in range(R.randint(0, 300))], np.uint8)
-        k = suffix_dedup.equal_windows(t, 9)
-        strings = [t[i : i + 9].tobytes() for i in range(max(0, len(t) - 8))]
-        assert all((k[i] == k[j]) == (strings[i] == strings[j]) for i in range(0, len(strings), 7) for j in range(len(strings)))
+    for fan in (1024, 1):  # one hop, and two
+        got = suffix_dedup.suffix_dedup(docs, fan=fan).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, s) -> a + s[1] - s[0])").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        same(rows(got, *cols), brute.suffix(ROWS))
+
+
+def test_classes_of_windows_by_interval_expansion():
+    """Contexts around equal grams: equal windows at the same distance from them, and no others, share a class."""
+    for _ in range(40):
+        grams = ["".join(R.choice("xy") for _ in range(4)) for _ in range(3)]
+        text, anchor, low, high = "", [], [], []
+        for _ in range(R.randint(1, 40)):
+            left, right = ("".join(R.choice("ab\0") for _ in range(R.randint(0, 5))) for _ in range(2))
+            if len(left) + len(right) >= 5:
+                anchor.append(len(text) + len(left))
+                low.append(len(text)), high.append(anchor[-1] - max(0, 5 - len(right)))
+                text += left + R.choice(grams) + right
+        if not anchor:
+            continue
+        raw = np.frombuffer(text.encode(), np.uint8)
+        grams = [text[i : i + 4] for i in anchor]
+        context, start, kind = suffix_dedup.window_classes(raw, np.array([hash(g) & 0xFFFF for g in grams], np.uint64), *(np.array(x) for x in (anchor, low, high)), 9, 4)
+        assert len(start) == sum(h - l + 1 for l, h in zip(low, high))
+        seen = [(text[s : s + 9], anchor[c] - s) for c, s in zip(context, start)]
+        assert all((kind[i] == kind[j]) == (seen[i] == seen[j]) for i in range(0, len(seen), 3) for j in range(len(seen)))
 
 
 def test_substring_dedup(docs):
-    got = substring_dedup.substring_dedup(docs).withColumn("kept_sha256", F.sha2("text", 256))
-    same(rows(got, "doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring(ROWS))
+    for fan in (1024, 1):
+        got = substring_dedup.substring_dedup(docs, fan=fan).withColumn("kept_sha256", F.sha2("text", 256))
+        same(rows(got, "doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring(ROWS))
 
 
 def test_near_duplicates(docs):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import integer_key, materialize, narrowed, new_path, shuffle_partitions
 from .hashing import U, buffers
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of text for each bucket of a round, and buckets that one row a chunk each is worth.
 BUCKET_BYTES, FAN = 32 << 20, 1024
 #: Stands for a null id, which counts as smaller than any other.
@@ -90,9 +90,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         raw, at = buffers(batch.column(1))
-        for i, k in enumerate(batch.column(0).to_pylist()):
-            ids.append(k), sizes.append(int(at[i + 1] - at[i])), parts.append(raw[at[i] : at[i + 1]].tobytes())
-            held += sizes[-1]
+        names, size, at = batch.column(0).to_pylist(), np.diff(at).tolist(), at.tolist()
+        begin = 0
+        for i, n in enumerate(size):
+            held += n
+            if held >= CHUNK_BYTES or i == len(size) - 1:  # documents of a batch lie side by side
+                ids += names[begin : i + 1]
+                sizes += size[begin : i + 1]
+                parts.append(raw[at[begin] : at[i + 1]].tobytes())
+                begin = i + 1
             if held >= CHUNK_BYTES:
                 yield row()
                 number, ids, sizes, parts, held = number + 1, [], [], [], 0

@@ -120,12 +120,27 @@ def test_substring_dedup(docs):
 
 
 def test_near_duplicates(docs):
-    for block in (2048, 3):
-        got = minhash.near_duplicates(docs, width=2, block=block)
+    for size, leaders in ((minhash.BLOCK_BYTES, 4), (900, 4), (900, 0)):  # whole buckets; blocks of a few texts; without leaders
+        got = minhash.near_duplicates(docs, width=2, block_bytes=size, leaders=leaders)
         same(rows(got, "doc_id", "n_shingles", "component_id", "kept"), brute.near(ROWS))
     assert {r[2] for r in rows(got, "doc_id", "n_shingles", "component_id") if r[0] in (4, 5, 6, 40)} == {4}
 
 
+def test_blocks_of_buckets(spark):
+    """Pairs of different labels of a bucket meet exactly once; a large label's own blocks do not."""
+    rows_ = [(b, b % 3, 100 * b + i, label, 40) for b in range(4) for i, label in enumerate([1] * 9 + [2] * 7 + [3, 4, 5, 6][: b + 1])]
+    for size in (100, 1000):
+        got = minhash.blocks_of(spark.createDataFrame(rows_, "band long, no int, rep long, label long, bytes long"), size).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault((r["band"], r["low"], r["high"]), []).append(r)
+        met = [tuple(sorted((x["rep"], y["rep"]))) for (_, low, high), g in groups.items() for i, x in enumerate(g) for y in g[i + 1 :] if low == high or x["block"] != y["block"]]
+        want = {tuple(sorted((x[2], y[2]))) for x in rows_ for y in rows_ if x[0] == y[0] and x[3] != y[3]}
+        assert len(met) == len(set(met)) and want <= set(met)
+        if size == 100:
+            assert max(len(g) for g in groups.values()) < 12 and not any({x["label"] for x in g} == {1} and lo != hi for (_, lo, hi), g in groups.items() if len({x["block"] for x in g}) > 1)
+
+
 def test_hyper_registers():
     s = np.array([R.getrandbits(64) for _ in range(400)], np.uint64)
     a, b = minhash.registers(s[:300]), minhash.registers(s[50:])

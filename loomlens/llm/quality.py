@@ -6,7 +6,7 @@ All tests are on integers, so every engine agrees on ties.
 
 Defined results: a null or blank text has no words, fails ``n_words < 50`` and is not kept; a rule
 whose divisor is 0 passes; repeated rows are each judged alone; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored unless kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,33 +51,35 @@ def compiled(rules=RULES) -> Column:
 def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """Every count that a rule may use, one row per document."""
     count = lambda c: F.col(c).cast("long")
-    df = narrowed(docs, *dict.fromkeys((id_col, text_col, *keep))).withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    df = df.withColumn("_w", words_of(F.col("_t"))).withColumn("_l", F.split("_t", "\n"))
-    df = df.withColumn("_n", F.size("_w")).withColumn("_lw", F.filter("_l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = narrowed(docs, *dict.fromkeys((id_col, text_col, *keep))).withColumn("__t", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    df = df.withColumn("__w", words_of(F.col("__t"))).withColumn("__l", F.split("__t", "\n"))
+    df = df.withColumn("__n", F.size("__w")).withColumn("__lw", F.filter("__l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # Hashes of the three-word windows; most texts repeat none and stop here.
-    tri = F.transform("_w", lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)))
-    df = df.withColumn("_tri", F.when(F.col("_n") > 2, F.slice(tri, F.lit(1), F.col("_n") - 2)).otherwise(F.array().cast("array<bigint>")))
+    tri = F.transform("__w", lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)))
+    df = df.withColumn("__tri", F.when(F.col("__n") > 2, F.slice(tri, F.lit(1), F.col("__n") - 2)).otherwise(F.array().cast("array<bigint>")))
     # Sorted (hash, position): windows beside an equal hash repeat, and their words are counted once each.
-    repeats = F.size("_tri") > F.size(F.array_distinct("_tri"))
-    df = df.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    hit = F.filter("_s", lambda x, i: F.coalesce(F.get("_s", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_s", i + 1)["h"] == x["h"], F.lit(False)))
-    df = df.withColumn("_p", F.sort_array(F.transform(hit, lambda x: x["i"])))
-    steps = F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3))))
-    stop = F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))
-    df = df.select(
-        id_col, *[c for c in keep if c != id_col],
-        count("_n").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_lw") - F.size(F.array_distinct("_lw"))).cast("long").alias("n_dup_lines"),
+    repeats = F.size("__tri") > F.size(F.array_distinct("__tri"))
+    df = df.withColumn("__s", F.when(repeats, F.sort_array(F.transform("__tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    hit = F.filter("__s", lambda x, i: F.coalesce(F.get("__s", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("__s", i + 1)["h"] == x["h"], F.lit(False)))
+    df = df.withColumn("__p", F.sort_array(F.transform(hit, lambda x: x["i"])))
+    steps = F.transform("__p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("__p", i + 1) - p, F.lit(3))))
+    stop = F.filter("__w", lambda w: F.lower(w).isin(*STOP_WORDS))
+    counts = F.struct(
+        count("__n").alias("n_words"),
+        F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("__t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("__lw") - F.size(F.array_distinct("__lw"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.regexp_count("_t", F.lit("!")).cast("long").alias("n_shouts"),
-        F.regexp_count("_t", F.lit(CAPITALS)).cast("long").alias("n_capitals"),
+        F.size("__l").cast("long").alias("n_lines"),
+        F.regexp_count("__t", F.lit("!")).cast("long").alias("n_shouts"),
+        F.regexp_count("__t", F.lit(CAPITALS)).cast("long").alias("n_capitals"),
         F.size(stop).cast("long").alias("n_stop_words"),
-        F.size(F.filter("_lw", lambda x: x.rlike("(\\.\\.\\.|…)$"))).cast("long").alias("n_cut_lines"),
+        F.size(F.filter("__lw", lambda x: x.rlike("(\\.\\.\\.|…)$"))).cast("long").alias("n_cut_lines"),
     )
-    return df
+    # The counts come out of a generator, which the optimizer neither moves filters through nor writes into
+    # what uses them: else a filter on the verdict would hold every count as often as rules and counts name it.
+    kept = [F.col(f"`{c}`") for c in dict.fromkeys((id_col, *keep))]
+    return df.select(*kept, F.inline_outer(F.array(counts)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, keep: tuple = ()) -> DataFrame:

@@ -67,11 +67,30 @@ def test_quality_keeps_prose_and_drops_junk(spark):
 
 def test_line_dedup_equals_sql(docs):
     names, want = sql(line_dedup.OP10_SQL)
-    got = line_dedup.line_dedup(docs).withColumn("kept_sha256", F.sha2("text", 256))
-    same(rows(got, *names), want)
+    for heavy in (line_dedup.HEAVY, 1, 0):  # broadcast and joined keys
+        got = line_dedup.line_dedup(docs, heavy=heavy).withColumn("kept_sha256", F.sha2("text", 256))
+        same(rows(got, *names), want)
     assert sum(r[2] for r in rows(got, "doc_id", "n_lines", "n_dropped")) >= 11
 
 
+def test_line_keys_ignore_the_case_of_ascii_alone(spark):
+    """Equal hashes where translating A-Z gives equal keys, and nowhere else."""
+    t = sorted({"".join(R.choice("aAkK\u212aéÉãÃßẞİiIıñÑΣσςß日\U0001f600\u00d7\u00f7\u00df\u00ff") for _ in range(R.randint(1, 3))) for _ in range(3000)})
+    got = spark.createDataFrame([(x,) for x in t], "x string").select("x", line_dedup.key_hash(F.col("x")).alias("h")).collect()
+    plain = {r["x"]: "".join(c.lower() if c.isascii() else c for c in r["x"]) for r in got}
+    assert len({r["h"] for r in got}) == len(set(plain.values())) == len({(bytes(r["h"]), plain[r["x"]]) for r in got})
+
+
+def test_texts_of_one_id_and_clashing_names(spark):
+    line = "A line that is surely long enough to be counted as one"
+    data = [(i, f"{line}\nown {i}") for i in range(6)] + [(None, line), (2, f"first\n{line.upper()}\nlast"), (2, f"{line}\nown 2"), (5, f"x\n{line}")]
+    d = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS doc", "'k' AS lost", "2 AS row", "3 AS kept", "4 AS n", "5 AS pos", "6 AS `a.b`")
+    got = line_dedup.line_dedup(d, keep=("doc", "lost", "row", "kept", "n", "a.b"))
+    assert rows(got, "doc_id", "text", "doc", "a.b") == sorted([*[(i, f"own {i}", 1, 6) for i in range(5)], (5, f"{line}\nown 5", 1, 6), (None, "", 1, 6), (2, "first\nlast", 1, 6), (2, "own 2", 1, 6), (5, f"x\n{line}", 1, 6)], key=repr)
+    q = quality.quality_rules(d, keep=("doc", "lost", "n", "a.b"))
+    assert q.columns[:5] == ["doc_id", "doc", "lost", "n", "a.b"] and q.where("NOT kept").count() == len(data)
+
+
 def test_bpe_trees_and_digests(docs):
     enc = bpe.load(bpe.default_path())
     for leaf in (7, 64, 1000):

@@ -10,9 +10,10 @@ stripped of punctuation; shingles are five words, or the whole item where it is
 2. A window can only reach the threshold if enough of its shingles occur in the item, so windows with
    fewer are dropped at once. The count bounds the shared weight from above: nothing is lost.
 3. The windows left get a SimHash of their shingles; further copies of one are numbered first, so that
-   a bag is a set of as many hashes. The fingerprint is cut into ``radius + 1`` blocks;
-   two within ``radius`` bits agree on one block at least, so the equi-join on (words, block number,
-   block value) finds every item within the radius. Other items are never compared.
+   a bag is a set of as many hashes. The fingerprint is cut into nine blocks; two within 26 bits differ in
+   at most two bits of one block. An item is listed under every value within two bits of each of its blocks
+   (multi-probe), so the equi-join of a window with the item that it was found for, on (item, block number,
+   block value), reaches everything within the radius.
 4. Exact weighted similarity of the full shingle bags, in integers, decides.
 
 At the threshold two bags differ in 15 % of fingerprint bits at the angle of their cosine (0.889), 9.7
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, narrowed, words_of
 
-SHINGLE, PERCENT, RADIUS, BITS = 5, 80, 26, 64
+SHINGLE, PERCENT, BITS = 5, 80, 64
+#: Two fingerprints within the radius differ in at most FLIPS bits of one block at least.
+BLOCKS, FLIPS = 9, 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
 
 
 def _clean_words(text: Column) -> Column:
@@ -66,18 +70,24 @@ def _numbered(bag: str) -> Column:
 
 
 def _cuts() -> list[tuple[int, int]]:
-    """(first bit, last bit + 1) of the radius + 1 blocks that cover all bits."""
-    n = RADIUS + 1
-    return [(i * BITS // n, (i + 1) * BITS // n) for i in range(n)]
+    """(first bit, last bit + 1) of the blocks that cover all bits."""
+    return [(i * BITS // BLOCKS, (i + 1) * BITS // BLOCKS) for i in range(BLOCKS)]
 
 
-def _blocks(fingerprint: str) -> Column:
-    """(block number, block value), exploded."""
-    cells = [
-        F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(F.col(fingerprint), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")).alias("value"))
-        for i, (lo, hi) in enumerate(_cuts())
-    ]
-    return F.explode_outer(F.array(*cells))
+def _masks() -> list[int]:
+    """Each block's bits, as signed longs."""
+    return [m - (1 << 64) if m >> 63 else m for m in (((1 << (hi - lo)) - 1) << lo for lo, hi in _cuts())]
+
+
+def _blocks(fingerprint: str, flips: int) -> Column:
+    """(block number, block value), exploded: every value within so many bits of the block's own."""
+
+    def cell(i: int, lo: int, hi: int) -> Column:
+        value = F.shiftrightunsigned(F.col(fingerprint), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint"))
+        near = F.array(*[F.lit(m).cast("bigint") for m in range(1 << (hi - lo)) if m.bit_count() <= flips])
+        return F.transform(near, lambda m: F.struct(F.lit(i).alias("no"), value.bitwiseXOR(m).alias("value")))
+
+    return F.explode_outer(F.flatten(F.array(*[cell(i, lo, hi) for i, (lo, hi) in enumerate(_cuts())])))
 
 
 def decontaminate(
@@ -94,7 +104,7 @@ def decontaminate(
     for k in widths:
         part = item.where(F.col("k") == k).select("item", F.size("w").alias("len"), F.lit(k).alias("k"), _shingles("w", k).alias("bag"))
         by_width = part if by_width is None else by_width.unionByName(part)
-    item = materialize(by_width.withColumn("numbered", _numbered("bag")).withColumn("item_print", _simhash("numbered")).drop("numbered"), "item-bags")
+    item = materialize(by_width.withColumn("numbered", _numbered("bag")).withColumn("item_print", _simhash("numbered")), "item-bags")
     small = item.agg(F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()[0] <= max_broadcast_rows
     hint = F.broadcast if small else (lambda x: x)
 
@@ -120,26 +130,20 @@ def decontaminate(
     # A window that holds ``need`` hits starts within m - need positions before some hit with need - 1 hits after it.
     first = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + F.col("need") - 1) - p < F.col("m"), F.lit(False)))
     starts = F.array_distinct(F.flatten(F.transform(first, lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("m") - F.col("need"))), p))))
-    windows = spots.where(F.size(first) > 0).select("doc", "k", "len", "n", "m", F.explode_outer(starts).alias("start")).distinct()
-    per_doc = windows.groupBy("doc").agg(F.collect_set(F.struct("k", "len", "n", "m", "start")).alias("windows")).withColumnRenamed("doc", "leaky")
+    windows = spots.where(F.size(first) > 0).select("doc", "item", "k", "len", "n", "m", F.explode_outer(starts).alias("start")).distinct()
+    per_doc = windows.groupBy("doc").agg(F.collect_set(F.struct("item", "k", "len", "n", "m", "start")).alias("windows")).withColumnRenamed("doc", "leaky")
     texts = src.join(per_doc, src["doc"].eqNullSafe(per_doc["leaky"])).select("doc", "text", "windows")
     bags = hashed(texts, "windows").select("doc", "k", "all", "total", F.explode_outer("windows").alias("x"))
     bags = bags.where((F.col("x.k") == F.col("k")) & (F.col("x.m") == F.least("x.n", "total")))  # (rows of one doc may differ in length)
-    bags = bags.select("doc", "k", F.col("x.len").alias("len"), F.col("x.start").alias("start"), F.slice("all", F.col("x.start") + 1, F.col("x.m")).alias("bag"), F.col("x.n").alias("n"), F.col("x.m").alias("m")).where(F.size("bag") == F.col("m"))
-    prints = bags.withColumn("numbered", _numbered("bag")).withColumn("print", _simhash("numbered")).drop("numbered")
-    item_prints = item.withColumnRenamed("bag", "item_bag")
-    a = prints.withColumn("b", _blocks("print")).select("*", F.col("b.no").alias("no"), F.col("b.value").alias("value")).drop("b")
-    b = item_prints.withColumn("b", _blocks("item_print")).select("item", "len", "k", "item_bag", "item_print", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
-    pairs = a.join(hint(b), ["k", "len", "no", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    # The first agreeing block alone reports a pair: no set of pairs is kept to find repeats.
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in _cuts()]
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
-    pairs = pairs.withColumn("x", F.col("print").bitwiseXOR(F.col("item_print")))
-    pairs = pairs.where(~F.exists(F.slice(masks, F.lit(1), F.col("no")), lambda m: F.col("x").bitwiseAND(m) == 0))
-    count = lambda bag, h: F.size(F.filter(bag, lambda y: y == h))
-    shared = F.aggregate(
-        F.array_intersect("bag", "item_bag"), F.lit(0), lambda acc, h: acc + F.least(count("bag", h), count("item_bag", h))
-    )
+    bags = bags.select("doc", *[F.col(f"x.{c}").alias(c) for c in ("item", "start", "n", "m")], F.slice("all", F.col("x.start") + 1, F.col("x.m")).alias("bag")).where(F.size("bag") == F.col("m"))
+    prints = bags.withColumn("numbered", _numbered("bag")).drop("bag").withColumn("print", _simhash("numbered"))
+    a = prints.withColumn("b", _blocks("print", 0)).select("*", F.col("b.no").alias("no"), F.col("b.value").alias("value")).drop("b")
+    b = item.withColumn("b", _blocks("item_print", FLIPS)).select("item", F.col("numbered").alias("item_bag"), "item_print", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
+    pairs = a.join(hint(b), ["item", "no", "value"]).withColumn("x", F.col("print").bitwiseXOR(F.col("item_print"))).where(F.bit_count("x") <= RADIUS)
+    # The first block that agrees so far alone reports a pair: no set of pairs is kept to find repeats.
+    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks()])
+    pairs = pairs.where(~F.exists(F.slice(masks, F.lit(1), F.col("no")), lambda m: F.bit_count(F.col("x").bitwiseAND(m)) <= FLIPS))
+    shared = F.size(F.array_intersect("numbered", "item_bag"))
     scored = pairs.withColumn("shared", shared).withColumn("all_weight", F.col("m") + F.col("n") - F.col("shared")).where(100 * F.col("shared") >= percent * F.col("all_weight"))
     return scored.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(
         F.min("start").cast("long").alias("start"),

@@ -11,7 +11,7 @@ character, the blank, because what follows it is not white space. So a match alw
 blank, with any text to its left, and the pattern never looks further left. The two ends of the text
 are safe too, so the window stops growing at the latest there.
 
-Decoding concatenates the bytes of chunks of ids up the same kind of tree; it is exact for any ids.
+Decoding halves the ids in the same way and concatenates bytes up the tree; it is exact for any ids.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are encoded each; an empty
 table gives no rows; only the id and text columns are read. Memory is bounded by one Arrow batch.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -50,6 +51,30 @@ def load(path: str, pattern: str | None = None):
     return tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space that the pattern matches (the library's, not Python's), in runs that may overflow the stack of its regex.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
+
+def leaf_encoder(enc) -> Callable[[str], list]:
+    """``enc.encode_ordinary`` for texts with blanks of any length.
+
+    A run of white space is one match but for its last character, or all of it at the end of the text; so
+    very long ones go to the merges directly.
+    """
+
+    def encode_leaf(text: str) -> list:
+        if len(text) < 50000:
+            return enc.encode_ordinary(text)
+        out, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += enc.encode_ordinary(text[at : m.start()]) + enc._encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return out + enc.encode_ordinary(text[at:])
+
+    return encode_leaf
+
+
 def _left_edge(text: str, lo: int, mid: int) -> int:
     """The last safe place before mid, or lo."""
     width = 64
@@ -91,10 +116,11 @@ def encode(text: str, encode_leaf: Callable[[str], list], leaf_chars: int = LEAF
 
 
 def decode(ids: list, decode_leaf: Callable[[list], bytes], leaf_ids: int = LEAF_CHARS) -> bytes:
-    """Bytes of the ids: chunks are decoded alone, and bytes concatenate."""
+    """Bytes of the ids: halves are decoded alone and concatenated up the tree."""
     if len(ids) <= leaf_ids:
         return decode_leaf(ids)
-    return b"".join(decode_leaf(ids[i : i + leaf_ids]) for i in range(0, len(ids), leaf_ids))
+    mid = len(ids) // 2
+    return decode(ids[:mid], decode_leaf, leaf_ids) + decode(ids[mid:], decode_leaf, leaf_ids)
 
 
 def map_tokens(
@@ -111,10 +137,11 @@ def map_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(path)
+        encode_leaf = leaf_encoder(enc)
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                ids = encode(text.as_py() or "", enc.encode_ordinary, leaf_chars)
+                ids = encode(text.as_py() or "", encode_leaf, leaf_chars)
                 rows.append(finish(ids, decode(ids, enc.decode_bytes)))
             columns = zip(*rows) if rows else [[] for _ in arrow.names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *[pa.array(list(c), f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]], schema=arrow)

@@ -19,8 +19,8 @@ stripped of punctuation; shingles are five words, or the whole item where it is
 At the threshold two bags differ in 15 % of fingerprint bits at the angle of their cosine (0.889), 9.7
 of 64 with a deviation of 2.9; the radius of 26 is 5.6 deviations above that.
 
-The benchmark is the small side. Its shingles are broadcast only if their counted number is under
-``max_broadcast_rows``; above it the same join shuffles. No row of the documents is ever collected.
+The benchmark is the small side. Its shingles, bags and listed values are broadcast only if their counted
+number is under ``max_broadcast_rows``; above it the same join shuffles. No row of the documents is ever collected.
 
 Defined results: null or blank texts and items have no words and never match; equal items each match;
 repeated rows count as one document; an empty table gives no rows; extra columns are ignored. Leaks of
@@ -105,8 +105,8 @@ def decontaminate(
         part = item.where(F.col("k") == k).select("item", F.size("w").alias("len"), F.lit(k).alias("k"), _shingles("w", k).alias("bag"))
         by_width = part if by_width is None else by_width.unionByName(part)
     item = materialize(by_width.withColumn("numbered", _numbered("bag")).withColumn("item_print", _simhash("numbered")), "item-bags")
-    small = item.agg(F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()[0] <= max_broadcast_rows
-    hint = F.broadcast if small else (lambda x: x)
+    n_shingles, n_items = item.agg(F.coalesce(F.sum(F.size("bag")), F.lit(0)), F.count(F.lit(1))).first()
+    hint = lambda rows, x: F.broadcast(x) if rows <= max_broadcast_rows else x
 
     src = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
@@ -120,7 +120,7 @@ def decontaminate(
     # Positions of shingles that some item holds, with the items that hold them.
     holders = item.select("item", "len", "k", F.explode(F.array_distinct("bag")).alias("h"))
     # (The outer form: else the optimizer tests the array's size below, which computes every hash twice.)
-    hits = hashed(src).select("doc", "k", "total", F.posexplode_outer("all").alias("pos", "h")).join(hint(holders), ["k", "h"])
+    hits = hashed(src).select("doc", "k", "total", F.posexplode_outer("all").alias("pos", "h")).join(hint(n_shingles, holders), ["k", "h"])
     spots = hits.groupBy("doc", "item", "len", "k", "total").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # Windows [s, s + m) of shingle positions, m = n = len - k + 1 or the whole of a shorter text: at least
     # ceil(p(m + n) / (100 + p)) must be hits.
@@ -138,11 +138,14 @@ def decontaminate(
     bags = bags.select("doc", *[F.col(f"x.{c}").alias(c) for c in ("item", "start", "n", "m")], F.slice("all", F.col("x.start") + 1, F.col("x.m")).alias("bag")).where(F.size("bag") == F.col("m"))
     prints = bags.withColumn("numbered", _numbered("bag")).drop("bag").withColumn("print", _simhash("numbered"))
     a = prints.withColumn("b", _blocks("print", 0)).select("*", F.col("b.no").alias("no"), F.col("b.value").alias("value")).drop("b")
-    b = item.withColumn("b", _blocks("item_print", FLIPS)).select("item", F.col("numbered").alias("item_bag"), "item_print", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
-    pairs = a.join(hint(b), ["item", "no", "value"]).withColumn("x", F.col("print").bitwiseXOR(F.col("item_print"))).where(F.bit_count("x") <= RADIUS)
+    b = item.select("item", "item_print", _blocks("item_print", FLIPS).alias("b")).select("item", "item_print", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
+    probes = sum(1 for lo, hi in _cuts() for m in range(1 << (hi - lo)) if m.bit_count() <= FLIPS)
+    pairs = a.join(hint(n_items * probes, b), ["item", "no", "value"]).withColumn("x", F.col("print").bitwiseXOR(F.col("item_print"))).where(F.bit_count("x") <= RADIUS)
     # The first block that agrees so far alone reports a pair: no set of pairs is kept to find repeats.
     masks = F.array(*[F.lit(m).cast("bigint") for m in _masks()])
     pairs = pairs.where(~F.exists(F.slice(masks, F.lit(1), F.col("no")), lambda m: F.bit_count(F.col("x").bitwiseAND(m)) <= FLIPS))
+    # (Bags, which may be long, join once a pair, not once a listed value.)
+    pairs = pairs.join(hint(n_shingles, item.select("item", F.col("numbered").alias("item_bag"))), "item")
     shared = F.size(F.array_intersect("numbered", "item_bag"))
     scored = pairs.withColumn("shared", shared).withColumn("all_weight", F.col("m") + F.col("n") - F.col("shared")).where(100 * F.col("shared") >= percent * F.col("all_weight"))
     return scored.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(

@@ -179,12 +179,18 @@ def _sentence(r: random.Random, lo: int = 4, hi: int = 18) -> str:
     return " ".join(words).capitalize() + r.choice((".", ".", "!", "?", ", &amp; more."))
 
 
+def _title(r: random.Random, lo: int, hi: int) -> str:
+    """A heading or a link: mostly without a mark at its end."""
+    t = _sentence(r, lo, hi)
+    return t.rstrip(".!?") if r.random() < 0.7 else t
+
+
 def _para(r: random.Random) -> str:
     return " ".join(_sentence(r) for _ in range(r.randint(1, 7)))
 
 
 def _links(r: random.Random) -> str:
-    li = "".join(f'<li><a href="/{r.random()}">{_sentence(r, 1, 3)}</a></li>' for _ in range(r.randint(3, 9)))
+    li = "".join(f'<li><a href="/{r.random()}">{_title(r, 1, 4)}</a></li>' for _ in range(r.randint(3, 9)))
     return f"<ul>{li}</ul>" if r.random() < 0.8 else re.sub(r"</?li>", " ", li)
 
 
@@ -206,7 +212,7 @@ def _junk(r: random.Random, kind: str) -> str:
 
 
 def _article(r: random.Random) -> str:
-    parts = [f"<h1>{_sentence(r, 3, 9)}</h1>"] if r.random() < 0.85 else []
+    parts = [f"<h1>{_title(r, 2, 9)}</h1>"] if r.random() < 0.85 else []
     for _ in range(r.randint(1, 14)):
         k = r.random()
         if k < 0.68:
@@ -214,7 +220,7 @@ def _article(r: random.Random) -> str:
         elif k < 0.76:
             parts.append(f"<p><b>{_sentence(r)}<br>")
         elif k < 0.82:
-            parts.append(f"<h2>{_sentence(r, 2, 6)}</h2>")
+            parts.append(f"<h2>{_title(r, 2, 6)}</h2>")
         elif k < 0.87:
             parts.append("<ul>" + "".join(f"<li>{_sentence(r)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
         elif k < 0.90:
@@ -240,6 +246,8 @@ def sample_page(r: random.Random) -> str:
     head = [_junk(r, k) for k in ("navigation", "edge", "advert", "notice", "form") if r.random() < 0.45]
     tail = [_junk(r, k) for k in ("talk", "side", "advert", "edge", "form", "navigation", "notice") if r.random() < 0.35]
     r.shuffle(head)
+    if r.random() < 0.15:  # a fragment
+        return f"{''.join(head[:1])}{main}{''.join(tail[:2])}"
     page = f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title><style>p{{}}</style></head><body>{''.join(head)}{main}{''.join(tail)}"
     if r.random() < 0.1:
         return page[: r.randint(len(page) // 2, len(page))]

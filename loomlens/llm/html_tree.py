@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote counts behind an equals sign alone, and only if it is closed; else the tag ends at the next bracket.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+#: A slash that closes the element at once: it stands alone, and is not the end of a value.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; all but the last two hold no text of the page.
@@ -43,14 +47,47 @@ class Node:
         return out
 
 
+_TABLE = frozenset(("table", "td", "th", "body"))
+#: End tags that may close an element outside the innermost table, cell or body.
+_ACROSS = frozenset("table tr tbody thead tfoot body html div article section main".split())
+
+
+class Open:
+    """The elements that are open, with places by tag, so that no end tag has to climb."""
+
+    def __init__(self, root: Node):
+        self.path, self.at, self.scopes, self.tables = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        i = len(self.path)
+        self.path.append(node)
+        self.at.setdefault(node.tag, []).append(i)
+        if node.tag in _SCOPE:
+            self.scopes.append(i)
+        if node.tag in _TABLE:
+            self.tables.append(i)
+
+    def cut(self, i: int) -> None:
+        """Close the element at place i and all inside it."""
+        while len(self.path) > i:
+            self.at[self.path.pop().tag].pop()
+        for places in (self.scopes, self.tables):
+            while places[-1] >= i:
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+
 def parse(source: str) -> tuple[Node, list[Node]]:
-    """(root, all elements in page order)."""
+    """(root, all elements in page order), in time in proportion to the page."""
     root = Node("#root", "", None)
-    nodes, top, at = [root], root, 0
+    nodes, at, open_ = [root], 0, Open(root)
 
     def text(upto: int) -> None:
         if upto > at:
-            top.children.append(html.unescape(source[at:upto]))
+            open_.path[-1].children.append(html.unescape(source[at:upto]))
 
     while m := TOKEN.search(source, at):
         text(m.start())
@@ -58,43 +95,32 @@ def parse(source: str) -> tuple[Node, list[Node]]:
         name = m[2]
         if not name:
             continue
-        name = name.lower()
+        name, attrs = name.lower(), m[3] or ""
         if m[1]:
-            node = top
-            while node is not root and node.tag != name:
-                if node.tag in ("table", "td", "th", "body") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "div", "article", "section", "main"):
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            i = open_.last(name)
+            if i and (i >= open_.tables[-1] or name in _ACROSS):
+                open_.cut(i)
             continue
-        if name in _P_ENDS:
-            node = top
-            while node is not root and node.tag != "p" and node.tag not in _SCOPE:
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
+        if name in _P_ENDS and open_.last("p") > open_.scopes[-1]:
+            open_.cut(open_.last("p"))
         if name in IMPLIED:
             ends, bounds = IMPLIED[name]
-            node, last = top, None
-            while node is not root and node.tag not in bounds:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                top = last.parent
-        node = Node(name, m[3] or "", top)
+            bound = max(open_.last(b) for b in bounds)
+            inner = [places[k] for t in ends if (places := open_.at.get(t)) and (k := bisect_right(places, bound)) < len(places)]
+            if inner:
+                open_.cut(min(inner))
+        top = open_.path[-1]
+        node = Node(name, attrs, top)
         node.index = len(top.children)
         top.children.append(node)
         nodes.append(node)
-        if name in VOID or (m[3] or "").endswith("/"):
+        if name in VOID or SELF_CLOSED.search(attrs):
             continue
         if name in RAW and name not in ("svg", "math", "object", "noscript", "canvas"):
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
-        top = node
+        open_.push(node)
     text(len(source))
     return root, nodes
 

@@ -174,10 +174,10 @@ class Rounds:
             arrays, kept = question(chunk, told)
             bucket = (arrays[0] >> U(64 - coarse)).astype(np.int64)
             gang = chunk.number if not fine else (chunk.number ^ chunk.number >> 33) & ((1 << fine) - 1)
-            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
             rows = [
                 _row(int(bucket[i]), gang, level, [chunk.number], [j - i], [pack(x[i:j], k) for x, k in zip(arrays, sent, strict=True)])
-                for i, j in zip(heads, [*heads[1:], len(bucket)], strict=True)
+                for i, j in zip(heads, [*heads[1:], len(bucket)])
             ]
             if state:  # to a place of its own, past the judge
                 rows.append(_row(-1 - chunk.number % (1 << min(depth, 30)), chunk.number, level, [chunk.number], [0], [pack(x, k) for x, k in zip(kept, state, strict=True)]))

@@ -96,6 +96,9 @@ def test_bpe_trees_and_digests(docs):
     for leaf in (7, 64, 1000):
         for t in [t or "" for _, t in ROWS] + ["a  b   c\n\n d", "x" * 99, " " * 50, "don't 'tis    a", "".join(R.choice(" \n\ta'sé1") for _ in range(300))]:
             assert bpe.encode(t, enc.encode_ordinary, leaf) == enc.encode_ordinary(t)
+    leaf = bpe.leaf_encoder(enc)
+    for t in (" " * 60_000, "a" + " " * 70_000 + "b  c", " \n" * 40_000 + "\n" * 60_000 + "x", "\u00a0" * 55_000 + " é"):
+        assert leaf(t) == bpe.encode(t, leaf) == enc.encode_ordinary(t)
     got = bpe.bpe_round_trip(docs, leaf_chars=100)
     assert rows(got, "doc_id", "decoded") == sorted(((d, t or "") for d, t in ROWS), key=repr)
     d = bpe.map_tokens(docs, bpe.digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string").where("doc_id = 4").first()
@@ -237,16 +240,16 @@ def test_pseudonyms(docs):
     assert sorted(pii.permute(v, 10, 3, key) for v in range(1000)) == list(range(1000))
     assert all(pii.restore(pii.permute(v, r, n, key), r, n, key) == v for r, n in ((10, 1), (10, 7), (16, 4), (26, 5)) for v in range(0, r**n, max(1, r**n // 50)))
     text = "Mail a.b@mail5.example.com or +1 (663) 555-6869, card 4111 1111 1111 1111, 116.249.74.180, 2020-02-29, GB82 WEST 1234 5698 7654 32, 29/02/2020; version 1.2.3.400, 4111 1111 1111 1112."
-    new, found = pii.pseudonymise(text)
+    new, found = pii.pseudonymise(text, "k")
     assert [k for k, _, _ in found] == ["email", "phone", "card", "ip", "date", "iban", "date"]
-    assert all(text[a:b] not in new for _, a, b in found) and new.endswith("version 1.2.3.400, 4111 1111 1111 1112.") and pii.pseudonymise(text)[0] == new
-    again = [k for k, _, _ in pii.pseudonymise(new)[1]]
+    assert all(text[a:b] not in new for _, a, b in found) and new.endswith("version 1.2.3.400, 4111 1111 1111 1112.") and pii.pseudonymise(text, "k")[0] == new
+    again = [k for k, _, _ in pii.pseudonymise(new, "k")[1]]
     assert again == [k for k, _, _ in found]  # formats and check digits hold
     days = [new[a : a + 10] for a in (new.index("-") - 4,)]
     assert days
     one, two = (pii.RULES["date"](x, key) for x in ("2020-02-29", "29/02/2020"))
     assert datetime.date.fromisoformat(one).strftime("%d/%m/%Y") == two
-    assert [r[1] for r in rows(pii.pii(docs), "doc_id", "n_found")] == [0] * len(ROWS) and pii.pii(docs).where("doc_id = 1").first()["text"] is None
+    assert [r[1] for r in rows(pii.pii(docs, "k"), "doc_id", "n_found")] == [0] * len(ROWS) and pii.pii(docs, "k").where("doc_id = 1").first()["text"] is None
 
 
 def test_html(spark):
@@ -273,6 +276,6 @@ def test_empty_tables(spark, docs, name):
     empty = docs.limit(0)
     f = {
         "op2": bpe.bpe_round_trip, "op3": suffix_dedup.suffix_dedup, "op4": quality.quality_rules, "op5": minhash.near_duplicates, "op6": substring_dedup.substring_dedup,
-        "op7": pii.pii, "op10": line_dedup.line_dedup,
+        "op7": lambda d: pii.pii(d, "k"), "op10": line_dedup.line_dedup,
     }[name]
     assert f(empty).count() == 0

@@ -10,7 +10,7 @@ from loomlens.llm.common import new_path
 
 
 def found(text):
-    new, spans = pii.pseudonymise(text)
+    new, spans = pii.pseudonymise(text, "k")
     assert all(text[a:b] not in new for _, a, b in spans)
     return [(k, text[a:b]) for k, a, b in spans]
 

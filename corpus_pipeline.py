@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, token ids.
 
 Each stage takes all that its predecessor kept, and all but the last return the columns of documents.
+
+Defined results, beside those of each operator: null texts go in the first stage; rows of one doc_id are one
+document to near-dedup (the first of its component keeps all its rows) and to decontamination (all go or stay),
+and each is judged alone by the others; rows without a doc_id are never near duplicates; an empty table passes
+through every stage; columns beside those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near duplicates (five-word shingles, similarity 0.8)."""
+    """The smallest doc_id of each component of near duplicates (five-word shingles, similarity 0.8); null ids stay."""
+    docs = docs.select(*COLUMNS)
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
     gone = materialize(found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*COLUMNS)
@@ -34,6 +40,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    docs = docs.select(*COLUMNS)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.decontaminate(docs, items).select(F.col("doc_id").alias("leaky")).distinct()
     return docs.join(materialize(found, "leaks"), docs["doc_id"].eqNullSafe(F.col("leaky")), "left_anti").select(*COLUMNS)

@@ -169,18 +169,20 @@ class Rounds:
         depth, level, state = self.depth, len(self.kinds), state or []
         fine = depth // 2 if 1 << depth > self.fan else 0
         coarse, first = depth - fine, sent[0]
+        # (A number is a partition's and a count: both spread.)
+        spread_ = lambda number, bits: (number ^ number >> 33) & ((1 << bits) - 1)
 
         def send(chunk: Chunk, told: list) -> pa.Table:
             arrays, kept = question(chunk, told)
             bucket = (arrays[0] >> U(64 - coarse)).astype(np.int64)
-            gang = chunk.number if not fine else (chunk.number ^ chunk.number >> 33) & ((1 << fine) - 1)
+            gang = chunk.number if not fine else spread_(chunk.number, fine)
             heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
             rows = [
                 _row(int(bucket[i]), gang, level, [chunk.number], [j - i], [pack(x[i:j], k) for x, k in zip(arrays, sent, strict=True)])
                 for i, j in zip(heads, [*heads[1:], len(bucket)])
             ]
             if state:  # to a place of its own, past the judge
-                rows.append(_row(-1 - chunk.number % (1 << min(depth, 30)), chunk.number, level, [chunk.number], [0], [pack(x, k) for x, k in zip(kept, state, strict=True)]))
+                rows.append(_row(-1 - spread_(chunk.number, min(depth, 30)), chunk.number, level, [chunk.number], [0], [pack(x, k) for x, k in zip(kept, state, strict=True)]))
             return _table(rows)
 
         def onward(t: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ Windows of nine words are asked for first, and of those only the ones that winno
 of 35 words holds at least one, and equal windows hold the same one. A window of 35 words stays a
 candidate while the shorter windows that make it up are repeated; only those are extended: to 18 words
 at both of its ends (9 + 9), then to 35 (18 + 18, overlapping in one word). See ``rounds`` for how a
-round travels. After the first level a chunk remembers its candidates, so words are hashed twice in all.
+round travels; a chunk remembers its candidates from one to the next.
 Fingerprints of 96 bits decide the last level: among 10**13 different windows two agree with a
 probability below 0.001, and a false one would also have to repeat at every shorter level.
 
@@ -56,24 +56,43 @@ def _first_round(chunk: Chunk, told: list, window: int) -> tuple:
     return [keys, many], [low, high - low, place]
 
 
+def _ends(alive: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where halves start that are in question, and the places of each window's two among them."""
+    shift = window - _levels(window)[1]
+    at = np.unique(np.r_[alive, alive + shift])
+    return at, np.searchsorted(at, alive), np.searchsorted(at, alive + shift)
+
+
+def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of consecutive places."""
+    heads = np.flatnonzero(np.r_[True, np.diff(places) != 1])[: len(places)]
+    return places[heads], places[np.r_[heads[1:], len(places)] - 1][: len(heads)] if len(places) else places
+
+
 def _second_round(chunk: Chunk, told: list, window: int) -> tuple:
-    """Halves at both ends of the windows left; their starts, and the fingerprints of the windows for later."""
+    """Halves at both ends of the windows left."""
     _, half, _ = _levels(window)
     (known,), (low, span, place) = told[0]
     ok = known[place]
     alive = expand(low[ok].astype(np.int64), low[ok].astype(np.int64) + span[ok]) if ok.any() else np.zeros(0, np.int64)
     h, _ = _words(chunk)
-    halves, whole = run_hashes(h, half), run_hashes(h, window)
-    # A second hash of the window from hashes of its halves, under multipliers of its own.
-    second = mix(halves[alive] * U(0xD6E8FEB86659FD93) + mix(halves[alive + window - half] * U(0xA0761D6478BD642F)))
-    keys, many, at = _distinct(np.r_[halves[alive], halves[alive + window - half]] if len(alive) else np.zeros(0, U))
-    return [keys, many], [alive, at[: len(alive)], at[len(alive) :], whole[alive], (second >> U(32)).astype("<u4")]
+    keys, many, place = _distinct(run_hashes(h, half)[_ends(alive, window)[0]])
+    first, last = _runs(alive)
+    return [keys, many], [first, last - first, place]
 
 
 def _third_round(chunk: Chunk, told: list, window: int) -> tuple:
-    (known,), (alive, left, right, whole, second) = told[1]
-    ok = known[left] & known[right]
-    alive, whole, second = alive[ok], whole[ok], second[ok]
+    """Whole windows whose halves both repeat."""
+    _, half, _ = _levels(window)
+    (known,), (first, span, place) = told[1]
+    alive = expand(first.astype(np.int64), first.astype(np.int64) + span) if len(first) else np.zeros(0, np.int64)
+    _, left, right = _ends(alive, window)
+    ok = known[place]
+    alive = alive[ok[left] & ok[right]]
+    h, _ = _words(chunk)
+    halves, whole = run_hashes(h, half), run_hashes(h, window)[alive]
+    # A second hash of the window from hashes of its halves, under multipliers of its own.
+    second = (mix(halves[alive] * U(0xD6E8FEB86659FD93) + mix(halves[alive + window - half] * U(0xA0761D6478BD642F))) >> U(32)).astype("<u4")
     order = np.lexsort((second, whole))
     new = np.ones(len(order), bool)
     new[1:] = (whole[order][1:] != whole[order][:-1]) | (second[order][1:] != second[order][:-1])
@@ -88,7 +107,7 @@ def substring_dedup(docs: DataFrame, finish: Callable[[list, np.ndarray], tuple]
     finish = finish or (lambda words, gone: (len(words), int(gone.sum()), b" ".join(compress(words, ~gone)).decode()))
     rounds = Rounds(docs, id_col, text_col, fan)
     rounds.ask(lambda c, t: _first_round(c, t, window), occurs_elsewhere, ["up", "bits"], ["bits"], ["<i4", "<i4", "<i4"])
-    rounds.ask(lambda c, t: _second_round(c, t, window), occurs_elsewhere, ["up", "bits"], ["bits"], ["<i4", "<i4", "<i4", "<u8", "<u4"])
+    rounds.ask(lambda c, t: _second_round(c, t, window), occurs_elsewhere, ["up", "bits"], ["bits"], ["<i4", "<i4", "<i4"])
     rounds.ask(lambda c, t: _third_round(c, t, window), pair_occurs_elsewhere, ["up", "<u4", "bits"], ["bits"], ["<i4", "<i4"], forget=True)
 
     def last(chunk: Chunk, told: list) -> pa.Table:

@@ -54,12 +54,6 @@ def trend(first: Column, second: Column) -> Column:
     )
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The element at round((n - 1) * p) of a sorted array, 0 if it is empty."""
-    at = F.round((F.size(values) - 1) * F.lit(p)).cast("int")
-    return F.coalesce(F.get(values, at), F.lit(0))
-
-
 def fnv1a(text: Column) -> Column:
     """FNV-1a (32 bits) of an ASCII string as eight hex digits."""
     step = lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16_777_619, F.lit(1 << 32))
@@ -67,6 +61,11 @@ def fnv1a(text: Column) -> Column:
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 
+def baseline_key(path: Column, category: Column) -> Column:
+    """What a baseline lists of a target: the path and the category without separators."""
+    return F.concat_ws(":", path.cast("string"), F.translate(category, "_", ""))
+
+
 def line_count(text: Column) -> Column:
     """Lines as editors count them: nothing has none, one final newline does not begin another."""
     return F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n\z", ""), "\n")))

@@ -3,26 +3,44 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def windows(df: DataFrame, key: str, tokens: str, m: int) -> DataFrame:
-    """(key, pos, window_md5) of every m consecutive tokens; the token arrays stay behind."""
-    t = df.select(F.col(key).alias(key), F.col(tokens).alias("_t")).where(F.size("_t") >= m)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_t") - (m - 1)), lambda i: F.md5(F.array_join(F.slice("_t", i, m), " ")))
-    return t.select(key, F.posexplode_outer(hashes).alias("pos", "window_md5"))
+    """(key, pos, h, g) of every m consecutive tokens: 96 bits of hash by doubling, a few steps a token whatever m; the tokens stay behind."""
+    t = df.select(F.col(key).alias(key), F.transform(tokens, lambda x: F.xxhash64(x)).alias("_1")).where(F.size("_1") >= m)
+    power = 1
+    while 2 * power <= m:
+        t = t.withColumn(f"_{2 * power}", _doubled(f"_{power}", power))
+        power *= 2
+    parts, at = [], 0
+    while at < m:
+        while at + power > m:
+            power //= 2
+        parts.append((f"_{power}", at))
+        at += power
+    both = F.transform(F.sequence(F.lit(0), F.size("_1") - m), lambda i: F.struct(F.xxhash64(*[F.get(c, i + o) for c, o in parts]).alias("h"), F.hash(*[F.get(c, i + o) for c, o in parts]).alias("g")))
+    return t.select(key, F.posexplode_outer(both).alias("pos", "w")).select(key, "pos", "w.h", "w.g")
+
+
+def _doubled(column: str, power: int):
+    return F.transform(column, lambda x, i: F.xxhash64(x, F.get(column, i + power)))
 
 
 def repeated_windows(df: DataFrame, key: str, tokens: str, m: int) -> DataFrame:
-    return windows(df, key, tokens, m).groupBy("window_md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(window_md5, n) of the windows that occur more than once; ``key`` names each row. Only one place of each is spelt out."""
+    w = windows(df, key, tokens, m).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("at")).where("n > 1")
+    places = w.groupBy(F.col(f"at.{key}").alias(key)).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "n")).alias("places"))
+    spelt = F.transform("places", lambda x: F.struct(F.md5(F.array_join(F.slice(tokens, x["pos"] + 1, F.lit(m)), " ")).alias("window_md5"), x["n"].alias("n")))
+    return df.select(key, tokens).join(places, key).select(F.inline_outer(spelt))
 
 
 def covered_lines(ranges: DataFrame, path: str, first: str, last: str) -> DataFrame:
     """Lines of each path that some inclusive range covers. Ranges are merged in order, not exploded:
     a line is counted by the range that reaches it first."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(path).orderBy(first, last)
     before = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = ranges.where(F.col(last) >= F.col(first)).withColumn("_b", F.coalesce(before, F.col(first) - 1))
@@ -54,28 +72,38 @@ def _neighbours(m: int, min_lines: int):
             for t in a.tail[:n]:
                 for c in str(t).encode() + b"\0":
                     h = (h ^ c) * 16_777_619 & 0xFFFFFFFF
-            out.append((f"{h:08x}", "\1".join(str(t) for t in a.tail[:64]), n, spans[0][2] - spans[0][1] + 1, [{"file_idx": f, "start_line": s, "end_line": e} for f, s, e in spans]))
+            out.append((f"{h:08x}", "\1".join(str(t) for t in a.tail[:n]), n, spans[0][2] - spans[0][1] + 1, [{"file_idx": f, "start_line": s, "end_line": e} for f, s, e in spans]))
         return pd.DataFrame(out, columns=["fingerprint", "rank", "token_count", "line_count", "instances"])
 
     return one
 
 
+def numbered(paths: DataFrame) -> DataFrame:
+    """(path, file_idx): places in order of path components, counted by ranges; one number a range is summed in order."""
+    parts = F.split("path", "/")
+    dealt = paths.select("path").repartitionByRange(parts).sortWithinPartitions(parts)
+    dealt = materialize(dealt.select("path", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "numbered")
+    base = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.join(F.broadcast(base), "part").select("path", (F.col("base") + F.col("i")).cast("int").alias("file_idx"))
+
+
 def clone_groups(files: DataFrame, min_tokens: int = 30, min_lines: int = 5, min_occurrences: int = 2) -> DataFrame:
-    """files(file_idx, path, tokens array<struct<text,line,end_line>>) to fingerprint, token_count, line_count, instances.
+    """files(path, tokens array<struct<text,line,end_line>>) to fingerprint, token_count, line_count, instances.
 
     Suffixes that share ``min_tokens`` tokens share a window hash, so hashes that occur once are
     dropped by a count before any suffix leaves its file; within a hash they are neighbours exactly
-    where they are in a suffix array of the whole project.
+    where they are in a suffix array of the whole project. File numbers only break ties of equal suffixes.
     """
     if min_tokens < 1 or min_lines < 1 or min_occurrences < 2:
         raise ValueError("min_tokens and min_lines must be positive, min_occurrences at least 2")
+    files = files.join(numbered(files), "path")
     t = files.select("file_idx", "path", F.transform("tokens", lambda x: x["text"]).alias("texts"), F.transform("tokens", lambda x: x["line"]).alias("starts"), F.transform("tokens", lambda x: x["end_line"]).alias("ends"))
     w = windows(t, "file_idx", "texts", min_tokens)
-    seeds = w.groupBy("window_md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window_md5")
-    hit = w.join(seeds, "window_md5").join(t, "file_idx")
+    seeds = w.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
+    hit = w.join(seeds, ["h", "g"]).join(t, "file_idx")
     cut = lambda c: F.slice(c, F.col("pos") + 1, F.size(c)).alias
-    hit = hit.select("window_md5", "file_idx", "pos", cut("texts")("tail"), cut("starts")("starts"), cut("ends")("ends"))
-    pairs = hit.groupBy("window_md5").applyInPandas(_neighbours(min_tokens, min_lines), PAIRS)
+    hit = hit.select("h", "g", "file_idx", "pos", cut("texts")("tail"), cut("starts")("starts"), cut("ends")("ends"))
+    pairs = hit.groupBy("h", "g").applyInPandas(_neighbours(min_tokens, min_lines), PAIRS)
     names = files.select("file_idx", "path")
     flat = pairs.select("fingerprint", "rank", "token_count", "line_count", F.posexplode("instances").alias("side", "i")).select("fingerprint", "rank", "token_count", "line_count", "side", "i.*").join(names, "file_idx")
     inst = F.struct("rank", "side", F.struct("path", "start_line", "end_line").alias("i"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scope import first_candidate
+
 
 def normal_path(path: Column) -> Column:
     """Without '.' and with '..' taken back; parts that lead above the root stay."""
@@ -33,5 +35,5 @@ def edges(extracted: DataFrame, all_files: DataFrame) -> DataFrame:
     """(from, seq, kind, specifier, to, line): every require, ``to`` null where nothing matches."""
     raw = extracted.select(F.col("path").alias("from"), F.inline("requires"))
     tried = raw.where("kind = 'string_literal'").select("from", "seq", F.posexplode(candidates("from", "specifier")).alias("rank", "to"))
-    hit = tried.join(all_files.select(F.col("path").alias("to")), "to", "left_semi").groupBy("from", "seq").agg(F.min_by("to", "rank").alias("to"))
+    hit = first_candidate(tried, all_files.select(F.col("path").alias("to")), ["from", "seq"], "rank", "to").drop("rank")
     return raw.join(hit, ["from", "seq"], "left").select("from", "seq", "kind", "specifier", "to", "line")

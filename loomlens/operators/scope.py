@@ -54,7 +54,34 @@ def introduced(current: DataFrame, base: DataFrame, keys: list[str], order: list
     return j.withColumn("introduced", rank > F.col("_n")).drop("_n")
 
 
-def first_candidate(candidates: DataFrame, existing: DataFrame, key: str, rank: str, value: str) -> DataFrame:
+def unused_keys(exports: DataFrame, refs: DataFrame, entries: DataFrame) -> DataFrame:
+    """exports(path, name, ..) that no refs(path, name) names; a ref without a name uses every key of its path, and entries(path) are used from outside."""
+    named = refs.where("name IS NOT NULL").select("path", "name").distinct()
+    escaped = refs.where("name IS NULL").select("path").distinct()
+    return exports.join(named, ["path", "name"], "left_anti").join(escaped, "path", "left_anti").join(entries.select("path"), "path", "left_anti")
+
+
+def touching(issues: DataFrame, changed: DataFrame, keys: list[str], paths: str = "paths") -> DataFrame:
+    """Issues one of whose paths (an array that depends on the keys alone) is in changed(path): a semi-join of exploded paths."""
+    hit = issues.select(*keys, F.explode(paths).alias("path_")).join(changed.select(F.col("path").alias("path_")).distinct(), "path_", "left_semi")
+    hit = hit.select(*[F.col(k).alias(f"{k}_") for k in keys]).distinct()
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & issues[k].eqNullSafe(hit[f"{k}_"])
+    return issues.join(hit, cond, "left_semi")
+
+
+def not_listed(df: DataFrame, known: DataFrame, key: str = "key") -> DataFrame:
+    """Rows whose key no baseline lists."""
+    return df.join(known.select(key).distinct(), key, "left_anti")
+
+
+def marker_totals(markers: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Files and markers, of all or by columns."""
+    return markers.groupBy(*(by or [])).agg(F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("markers"))
+
+
+def first_candidate(candidates: DataFrame, existing: DataFrame, key: list[str], rank: str, value: str) -> DataFrame:
     """The first candidate of each key that exists: aggregation, not a window, so it combines early."""
     hit = candidates.join(existing.select(F.col(value)).distinct(), value, "left_semi")
-    return hit.groupBy(key).agg(F.min_by(value, rank).alias(value), F.min(rank).alias(rank))
+    return hit.groupBy(*key).agg(F.min_by(value, rank).alias(value), F.min(rank).alias(rank))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import churn as C
-from ..operators import clones, graph, scope
+from ..operators import clones, flags, graph, health, scope
 from ..session import materialize
 
 NOW = 1_706_745_600  # 2024-02-01
@@ -123,9 +123,8 @@ _Q = (0.25, 0.75, 0.90, 0.95)
        + ", ".join(f"v[round((len(v) - 1) * {p}::DOUBLE)::INT + 1] AS p{round(p * 100)}" for p in _Q) + ", greatest(v[round((len(v) - 1) * 0.95::DOUBLE)::INT + 1], 10) AS p95_floor FROM v")
 def percentile_floors(spark, d):
     """Nearest ranks with floors."""
-    v = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sort_array(F.collect_list(F.floor("c_acctbal"))).alias("v"))
-    cols = [S.nearest_rank(F.col("v"), p).alias(f"p{round(p * 100)}") for p in _Q]
-    return v.select("k", *cols, F.greatest(S.nearest_rank(F.col("v"), 0.95), F.lit(10)).cast("long").alias("p95_floor"))
+    v = read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.floor("c_acctbal").alias("v"))
+    return health.percentiles(v, "v", {f"p{round(p * 100)}": p for p in _Q}, ["k"]).withColumn("p95_floor", F.greatest("p95", F.lit(10)))
 
 
 @query("""WITH l AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line, doc_id FROM documents)
@@ -145,18 +144,10 @@ def dup_windows(spark, d):
     return clones.repeated_windows(t, "doc_id", "tokens", 30)
 
 
-@query("""WITH r AS (SELECT l_orderkey % 50 AS path, l_partkey % 400 AS a, l_partkey % 400 + l_quantity::INT - 1 AS b FROM lineitem WHERE l_linenumber <= 2),
+@query("""WITH r AS (SELECT l_orderkey % 50 AS path, l_partkey % 400 AS a, l_partkey % 400 + l_quantity::INT - 1 AS b FROM lineitem),
 u AS (SELECT DISTINCT path, unnest(range(a, b + 1)) AS line FROM r) SELECT path, count(*) AS duplicated_lines FROM u GROUP BY path""")
 def dup_line_union(spark, d):
     """Lines covered by overlapping ranges, each once."""
-    r = read(spark, d, "lineitem").where("l_linenumber <= 2").select((F.col("l_orderkey") % 50).alias("path"), (F.col("l_partkey") % 400).alias("a"), F.col("l_quantity").cast("int").alias("n"))
-    return clones.covered_lines(r.select("path", "a", (F.col("a") + F.col("n") - 1).alias("b")), "path", "a", "b")
-
-
-@query("""WITH r AS (SELECT l_orderkey % 50 AS path, l_partkey % 400 AS a, l_partkey % 400 + l_quantity::INT - 1 AS b FROM lineitem),
-u AS (SELECT DISTINCT path, unnest(range(a, b + 1)) AS line FROM r) SELECT path, count(*) AS duplicated_lines FROM u GROUP BY path""")
-def dup_line_union_all(spark, d):
-    """A13 over every line item; dup_line_union and its SQL keep the first two of each order."""
     r = read(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("path"), (F.col("l_partkey") % 400).alias("a"), F.col("l_quantity").cast("int").alias("n"))
     return clones.covered_lines(r.select("path", "a", (F.col("a") + F.col("n") - 1).alias("b")), "path", "a", "b")
 
@@ -169,13 +160,17 @@ def link_edges(spark, d):
 
 
 def _successors(spark, d):
-    """Users in the order of large events: a small directed graph with a cycle."""
-    w = Window.orderBy("t", "event_id")  # a few dozen rows; the graph is this small by its definition
-    e = _events(spark, d).where("value > 300").select("user_id", F.lead("user_id").over(w).alias("nxt"))
-    return graph.distinct_edges(e, "user_id", "nxt")
+    """Users in the order of all events. Each hour is ordered by itself; its last event leads to the first of the next hour that has any."""
+    e = _events(spark, d).select("user_id", "event_id", "t", F.floor(F.col("t") / 3600).alias("hour"))
+    own = F.lead(F.struct("user_id")).over(Window.partitionBy("hour").orderBy(F.col("t").asc_nulls_last(), "event_id"))
+    heads = e.groupBy("hour").agg(F.min(F.struct("t", "event_id", "user_id")).alias("head"))  # one row an hour
+    heads = heads.select(F.col("hour").alias("h"), F.lead("head").over(Window.orderBy(F.col("hour").asc_nulls_last())).alias("following"))
+    e = e.withColumn("own", own).join(heads, F.col("hour").eqNullSafe(F.col("h")))
+    e = e.select("user_id", F.when(F.col("own").isNotNull(), F.col("own.user_id")).otherwise(F.col("following.user_id")).alias("nxt"))
+    return materialize(graph.distinct_edges(e, "user_id", "nxt"), "successors")
 
 
-_SUCC = f"""e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY {_EPOCH_SQL}, event_id) AS dst FROM events WHERE value > 300) WHERE dst IS NOT NULL),
+_SUCC = f"""e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY {_EPOCH_SQL}, event_id) AS dst FROM events) WHERE src IS NOT NULL AND dst IS NOT NULL),
 nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"""
 
 
@@ -218,58 +213,40 @@ def trace_depth3(spark, d):
     return graph.trace(e, _nodes(e).agg(F.min("node").alias("node")), 3)
 
 
-# The five queries above keep their threshold, as their SQL does. These five read every event.
-_SUCC_ALL = f"""e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY {_EPOCH_SQL}, event_id) AS dst FROM events) WHERE src IS NOT NULL AND dst IS NOT NULL),
-nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"""
-
-
-def _all_events(name: str) -> str:
-    return ORACLE_SQL[name].replace(_SUCC, _SUCC_ALL)
-
-
-def _all_successors(spark, d):
-    """Users in the order of all events. Each hour is ordered by itself; its last event leads to the first of the next hour that has any."""
-    e = _events(spark, d).select("user_id", "event_id", "t", F.floor(F.col("t") / 3600).alias("hour"))
-    own = F.lead(F.struct("user_id")).over(Window.partitionBy("hour").orderBy(F.col("t").asc_nulls_last(), "event_id"))
-    heads = e.groupBy("hour").agg(F.min(F.struct("t", "event_id", "user_id")).alias("head"))  # one row an hour
-    heads = heads.select(F.col("hour").alias("h"), F.lead("head").over(Window.orderBy(F.col("hour").asc_nulls_last())).alias("following"))
-    e = e.withColumn("own", own).join(heads, F.col("hour").eqNullSafe(F.col("h")))
-    e = e.select("user_id", F.when(F.col("own").isNotNull(), F.col("own.user_id")).otherwise(F.col("following.user_id")).alias("nxt"))
-    return graph.distinct_edges(e, "user_id", "nxt")
+# The same by joins alone, as for graphs that are not small.
 
 
-@query(_all_events("reach_from_entries"))
-def reach_from_entries_all(spark, d):
-    e = materialize(_all_successors(spark, d), "successors")
-    return graph.reachable(e, _nodes(e).agg(F.min("node").alias("node")).where("node IS NOT NULL"))
-
-
-@query(_all_events("unused_nodes"))
-def unused_nodes_all(spark, d):
-    e = materialize(_all_successors(spark, d), "successors")
-    n = _nodes(e)
-    return n.join(graph.reachable(e, n.agg(F.min("node").alias("node")).where("node IS NOT NULL")), "node", "left_anti")
+@query(ORACLE_SQL["reach_from_entries"])
+def reach_by_joins(spark, d):
+    """G2 without the driver."""
+    e = _successors(spark, d)
+    return graph.reachable(e, _nodes(e).agg(F.min("node").alias("node")).where("node IS NOT NULL"), 0)
 
 
-@query(_all_events("coverage_labels"))
-def coverage_labels_all(spark, d):
-    e = materialize(_all_successors(spark, d), "successors")
-    return graph.coverage_labels(_nodes(e).withColumn("is_test", F.col("node") % 7 == 0), e)
+@query(ORACLE_SQL["coverage_labels"])
+def coverage_by_joins(spark, d):
+    """G4 without the driver."""
+    e = _successors(spark, d)
+    return graph.coverage_labels(_nodes(e).withColumn("is_test", F.col("node") % 7 == 0), e, 0)
 
 
-@query(_all_events("scc_members"))
-def scc_members_all(spark, d):
-    return graph.scc(materialize(_all_successors(spark, d), "successors"))
+@query(ORACLE_SQL["scc_members"])
+def scc_by_joins(spark, d):
+    """G5 without the driver."""
+    return graph.scc(_successors(spark, d), 0)
 
 
-@query(_all_events("trace_depth3"))
-def trace_depth3_all(spark, d):
-    e = materialize(_all_successors(spark, d), "successors")
-    return graph.trace(e, _nodes(e).agg(F.min("node").alias("node")), 3)
+@query(f"WITH {_IMPORTS}, r AS (SELECT DISTINCT src AS node FROM e UNION SELECT dst + 10000000 FROM e WHERE src IN (SELECT min(src) FROM e UNION ALL SELECT max(src) FROM e)), "
+       "t AS (SELECT min(src) AS a, max(src) AS b FROM e) SELECT node FROM r, t WHERE node IN (a, b) OR node >= 10000000")
+def reach_of_imports(spark, d):
+    """G2 by joins over the edges from customers to suppliers, from the first and the last customer."""
+    e = materialize(_imports(spark, d).withColumn("dst", F.col("dst") + 10_000_000), "imports")
+    ends = e.agg(F.array(F.min("src"), F.max("src")).alias("x")).select(F.explode("x").alias("node")).where("node IS NOT NULL")
+    return graph.reachable(e, ends, 0)
 
 
-_UNITS = """u AS (SELECT l_orderkey AS path, sum(l_linenumber) AS cc, sum(l_quantity)::BIGINT AS lines, count(DISTINCT l_suppkey) AS fan_out, count(*) AS n,
-  count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS dead, max(l_linenumber) AS top FROM lineitem GROUP BY 1),
+_UNITS = """u AS (SELECT l_orderkey AS path, sum(l_linenumber) AS cc, floor(sum(l_quantity) / 8)::BIGINT AS lines, count(DISTINCT l_suppkey) AS fan_out, count(*) FILTER (WHERE l_linestatus = 'O') AS fan_in, count(*) AS n,
+  count(*) FILTER (WHERE l_returnflag = 'R') AS unused, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS dead, max(l_linenumber) * 6 AS top, min(l_returnflag) AS top_name, count(*) FILTER (WHERE l_tax > 0.055) AS risky FROM lineitem GROUP BY 1),
 s AS (SELECT *, cc / greatest(lines, 1) AS density FROM u)"""
 _MI = "least(100.0, greatest(0.0, 100.0 - density * 30.0 * least(lines / 50.0::DOUBLE, 1.0) - dead * 20.0 - least(ln(fan_out + 1.0) * 4.0, 15.0)))"
 
@@ -277,8 +254,9 @@ _MI = "least(100.0, greatest(0.0, 100.0 - density * 30.0 * least(lines / 50.0::D
 def _units(spark, d):
     l = read(spark, d, "lineitem")
     u = l.groupBy(F.col("l_orderkey").alias("path")).agg(
-        F.sum("l_linenumber").alias("cc"), F.sum("l_quantity").cast("long").alias("lines"), F.countDistinct("l_suppkey").alias("fan_out"), F.count(F.lit(1)).alias("n"),
-        (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("dead"), F.max("l_linenumber").cast("long").alias("top"),
+        F.sum("l_linenumber").alias("cc"), F.floor(F.sum("l_quantity") / 8).alias("lines"), F.countDistinct("l_suppkey").alias("fan_out"), F.count_if(F.col("l_linestatus") == "O").alias("fan_in"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("unused"), (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("dead"),
+        (F.max("l_linenumber") * 6).alias("top"), F.min("l_returnflag").alias("top_name"), F.count_if(F.col("l_tax") > 0.055).alias("risky"),
     )
     return u.withColumn("density", F.col("cc") / F.greatest(F.col("lines"), F.lit(1)))
 
@@ -310,61 +288,85 @@ def risk_profile(spark, d):
     return c.withColumn("percent", S.rounded(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("profile")), 2))
 
 
-@query(f"""WITH {_UNITS}, m AS (SELECT *, {_MI} AS mi FROM s),
-a AS (SELECT least(avg(CASE WHEN dead = 1 THEN 1.0 ELSE 0.0 END) * 100 * 0.2, 15.0) AS dead_files, least(avg(CASE WHEN cc >= 25 THEN 1.0 ELSE 0.0 END) * 100 * 4.0, 20.0) AS complexity,
-  least(avg(CASE WHEN mi < 85 THEN 1.0 ELSE 0.0 END) * 100 * 1.5, 15.0) AS upkeep, least(avg(CASE WHEN lines > 160 THEN 1.0 ELSE 0.0 END) * 1000 * 0.5, 10.0) AS unit_size FROM m),
-b AS (SELECT *, least(100.0, greatest(0.0, 100.0 - (dead_files + complexity + upkeep + unit_size))) AS score FROM a)
-SELECT {_R("dead_files", 4)} AS dead_files, {_R("complexity", 4)} AS complexity, {_R("upkeep", 4)} AS upkeep, {_R("unit_size", 4)} AS unit_size, {_R("score", 1)} AS score,
-CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM b""")
+# Orders as files, with a hotspot score and a trend from the order, in the columns that targets and score read.
+_FILES = f"""{_UNITS}, f AS (SELECT s.*, {_R("density", 4)} AS d, {_R(_MI, 2)} AS mi, floor(o_totalprice) % 101.0 AS hotspot, CASE o_orderstatus WHEN 'O' THEN 'accelerating' ELSE 'stable' END AS trend,
+  o_orderkey % 11 = 0 AS in_cycle, o_orderkey % 13 = 0 AS is_entry FROM s JOIN orders ON o_orderkey = path)"""
+
+
+def _files(spark, d):
+    o, c = read(spark, d, "orders"), F.col
+    o = o.select(
+        c("o_orderkey").alias("path"), (F.floor("o_totalprice") % 101.0).alias("hotspot"), F.when(c("o_orderstatus") == "O", "accelerating").otherwise("stable").alias("trend"),
+        (c("o_orderkey") % 11 == 0).alias("in_cycle"), (c("o_orderkey") % 13 == 0).alias("is_entry"),
+    )
+    mi = S.maintainability(c("density"), c("dead"), c("fan_out"), F.greatest(c("lines"), F.lit(1)))
+    return _units(spark, d).join(o, "path").select(
+        "path", "lines", c("n").alias("function_count"), S.rounded(c("density"), 4).alias("complexity_density"), "fan_in", "fan_out", c("dead").alias("dead_code_ratio"), c("n").alias("exports"),
+        S.rounded(mi, 2).alias("maintainability_index"), c("risky").alias("crap_above_threshold"), "top_name", c("top").alias("top_cognitive"), "hotspot", "trend", "in_cycle", "is_entry", "unused",
+    )
+
+
+_PENALTIES = {
+    "circular_deps": "least(loops * 1000.0 / greatest(files, 1) * 0.5, 25.0)", "complexity": "least(critical * 100.0 / greatest(functions, 1) * 4.0, 20.0)", "coupling": "least(high_fan * 100.0 / greatest(files, 1) * 0.5, 5.0)",
+    "dead_exports": "least(dead_exports * 100.0 / greatest(functions, 1) * 0.2, 15.0)", "dead_files": "least(dead_files * 100.0 / greatest(files, 1) * 0.2, 15.0)", "duplication": "least(greatest(duplication - 5.0, 0.0), 10.0)",
+    "hotspots": "least(hot / greatest(ceil(files * 0.01), 1) * 10.0, 10.0)", "maintainability": "least(low_mi * 100.0 / greatest(files, 1) * 1.5, 15.0)", "unit_size": "least(over60 * 1000.0 / greatest(functions, 1) * 0.5, 10.0)",
+}
+
+
+@query(f"""WITH {_FILES}, l AS (SELECT count(*) FILTER (WHERE l_linenumber >= 7) AS critical, count(*) FILTER (WHERE l_quantity > 49) AS over60, {_R("count(*) FILTER (WHERE l_discount < 0.005) * 100.0::DOUBLE / count(*)", 2)} AS duplication FROM lineitem),
+a AS (SELECT count(*) AS files, count(*) FILTER (WHERE dead = 1) AS dead_files, sum(n) AS functions, sum(unused) AS dead_exports, count(*) FILTER (WHERE mi < 70) AS low_mi, count(*) FILTER (WHERE hotspot >= 100) AS hot,
+  count(*) FILTER (WHERE in_cycle AND is_entry) AS loops, count(*) FILTER (WHERE fan_in > 6) AS high_fan FROM f),
+p AS (SELECT {", ".join(f"({sql})::DOUBLE AS {name}" for name, sql in _PENALTIES.items())} FROM a, l), b AS (SELECT *, least(100.0, greatest(0.0, 100.0 - ({" + ".join(_PENALTIES)}))) AS raw FROM p)
+SELECT {", ".join(f"{_R(name, 4)} AS {name}" for name in _PENALTIES)}, {_R("raw", 1)} AS score,
+CASE WHEN raw >= 85 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 55 THEN 'C' WHEN raw >= 40 THEN 'D' ELSE 'F' END AS grade FROM b""")
 def health_score(spark, d):
-    """Capped penalties of one pass over the units, then the grade of the unrounded score."""
-    u = _units(spark, d).withColumn("mi", S.maintainability(F.col("density"), F.col("dead"), F.col("fan_out"), F.col("lines")))
-    share = lambda c, k, top: F.least(F.avg(F.when(c, 1.0).otherwise(0.0)) * k[0] * k[1], F.lit(top))
-    a = u.agg(
-        share(F.col("dead") == 1, (100, 0.2), 15.0).alias("dead_files"), share(F.col("cc") >= 25, (100, 4.0), 20.0).alias("complexity"),
-        share(F.col("mi") < 85, (100, 1.5), 15.0).alias("upkeep"), share(F.col("lines") > 160, (1000, 0.5), 10.0).alias("unit_size"),
+    """All nine penalties of one pass over files and one over functions."""
+    c, l = F.col, read(spark, d, "lineitem")
+    a = _files(spark, d).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(c("dead_code_ratio") == 1).alias("dead_files"), F.sum("function_count").alias("functions"), F.sum("exports").alias("exports"), F.sum("unused").alias("dead_exports"),
+        F.count(F.lit(1)).alias("scored"), F.count_if(c("maintainability_index") < 70).alias("low_mi"), F.count_if(c("hotspot") >= 100).alias("hot"), F.count_if(c("in_cycle") & c("is_entry")).alias("loops"), F.count_if(c("fan_in") > 6).alias("high_fan"),
     )
-    parts = ["dead_files", "complexity", "upkeep", "unit_size"]
-    s = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 - (F.col("dead_files") + F.col("complexity") + F.col("upkeep") + F.col("unit_size"))))
-    return a.withColumn("s", s).select(*[S.rounded(F.col(p), 4).alias(p) for p in parts], S.rounded(F.col("s"), 1).alias("score"), S.grade(F.col("s")).alias("grade"))
+    b = l.agg(F.count_if(c("l_linenumber") >= 7).alias("critical"), F.count_if(c("l_quantity") > 49).alias("over60"), S.rounded(F.count_if(c("l_discount") < 0.005) * 100.0 / F.count(F.lit(1)), 2).alias("duplication"))
+    s = health.score(a.crossJoin(b))  # of one row each
+    return s.select("score", "grade", *[S.rounded(F.element_at("penalties", F.lit(k)), 4).alias(k) for k in _PENALTIES])
+
 
+_TARGET = f"""WITH {_FILES}, v AS (SELECT list_sort(list(fan_in)) AS i, list_sort(list(fan_out)) AS o FROM f),
+q AS (SELECT {", ".join(f"greatest({c}[round((len({c}) - 1) * {p}::DOUBLE)::INT + 1], {low}) AS {name}" for c, p, low, name in (("i", 0.25, 2, "p25"), ("i", 0.75, 3, "p75"), ("i", 0.95, 5, "p95"), ("o", 0.90, 5, "out90"), ("o", 0.95, 8, "out95")))} FROM v),
+p AS (SELECT *, least(d, 1.0) * 30.0 + hotspot / 100.0 * 25.0 + dead * 20.0 + least(fan_in / p95::DOUBLE, 1.0) * 15.0 + least(fan_out / out95::DOUBLE, 1.0) * 10.0 AS x,
+CASE WHEN lines < 100 AND n <= 3 AND fan_in < p25 THEN 'low' WHEN lines >= 500 OR fan_in >= p95 OR (n >= 15 AND d > 0.5) THEN 'high' ELSE 'medium' END AS effort,
+CASE WHEN hotspot >= 50 AND trend = 'accelerating' AND d > 0.5 THEN 'urgent_churn_complexity' WHEN in_cycle AND fan_in >= 5 THEN 'circular_dep' WHEN d > 0.3 AND (fan_in >= p95 OR (fan_in >= p75 AND n >= 5)) THEN 'high_impact'
+WHEN dead >= 0.5 AND n >= 3 THEN 'remove_dead_code' WHEN top >= 30 THEN 'complexity' WHEN fan_out >= out90 AND {_R(_MI, 2)} < 60 AND NOT is_entry THEN 'coupling' WHEN risky >= 2 AND d > 0.3 THEN 'add_test_coverage'
+WHEN in_cycle THEN 'circular_dep' END AS category FROM f, q)
+SELECT path, category, effort, {_R("x", 2)} AS priority, {_R("x / CASE effort WHEN 'low' THEN 1.0::DOUBLE WHEN 'medium' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END", 2)} AS efficiency,
+CASE WHEN category = 'urgent_churn_complexity' THEN 'low' WHEN category IN ('high_impact', 'coupling') THEN 'medium' ELSE 'high' END AS confidence, path || ':' || replace(category, '_', '') AS key FROM p WHERE category IS NOT NULL"""
 
-_TARGET = f"""WITH {_UNITS}, p AS (SELECT *, least({_R('density', 4)}, 1.0) * 30.0 + dead * 20.0 + least(fan_out / 8.0::DOUBLE, 1.0) * 10.0 AS priority,
-CASE WHEN {_R('density', 4)} > 0.3 AND fan_out >= 5 THEN 'split_high_impact' WHEN dead >= 0.5 AND n >= 3 THEN 'remove_dead_code' WHEN top >= 6 THEN 'extract_complex_functions'
-WHEN fan_out >= 5 AND {_MI} < 90 THEN 'reduce_coupling' END AS category,
-CASE WHEN lines < 100 AND n <= 3 THEN 'low' WHEN lines >= 180 OR n >= 7 THEN 'high' ELSE 'medium' END AS effort FROM s)
-SELECT path, category, effort, {_R('priority', 2)} AS priority, {_R("priority / CASE effort WHEN 'low' THEN 1.0::DOUBLE WHEN 'medium' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END", 2)} AS efficiency FROM p WHERE category IS NOT NULL"""
+
+def _targets(spark, d):
+    f = materialize(_files(spark, d), "files")
+    return health.targets(f.select(*health.TARGET_COLUMNS), health.target_limits(f))
 
 
 @query(_TARGET)
 def target_category(spark, d):
-    """An ordered choice in one expression."""
-    u = _units(spark, d).withColumn("density", S.rounded(F.col("density"), 4))
-    raw = F.col("cc") / F.greatest(F.col("lines"), F.lit(1))
-    mi = S.maintainability(raw, F.col("dead"), F.col("fan_out"), F.col("lines"))
-    category = (
-        F.when((F.col("density") > 0.3) & (F.col("fan_out") >= 5), "split_high_impact").when((F.col("dead") >= 0.5) & (F.col("n") >= 3), "remove_dead_code")
-        .when(F.col("top") >= 6, "extract_complex_functions").when((F.col("fan_out") >= 5) & (mi < 90), "reduce_coupling")
-    )
-    effort = F.when((F.col("lines") < 100) & (F.col("n") <= 3), "low").when((F.col("lines") >= 180) | (F.col("n") >= 7), "high").otherwise("medium")
-    priority = F.least(F.col("density"), F.lit(1.0)) * 30.0 + F.col("dead") * 20.0 + F.least(F.col("fan_out") / 8.0, F.lit(1.0)) * 10.0
-    u = u.select("path", category.alias("category"), effort.alias("effort"), priority.alias("p")).where("category IS NOT NULL")
-    divisor = F.when(F.col("effort") == "low", 1.0).when(F.col("effort") == "medium", 2.0).otherwise(3.0)
-    return u.select("path", "category", "effort", S.rounded(F.col("p"), 2).alias("priority"), S.rounded(F.col("p") / divisor, 2).alias("efficiency"))
+    """Eight rules in order in one expression, with limits from the percentiles of all files."""
+    return _targets(spark, d).select("path", "category", "effort", "priority", "efficiency", "confidence", "key")
 
 
-@query(f"SELECT path, efficiency, row_number() OVER (PARTITION BY category ORDER BY efficiency DESC, path) AS place, category FROM ({_TARGET})")
+@query(f"SELECT path, efficiency, category, row_number() OVER (PARTITION BY category ORDER BY efficiency DESC, path) AS place FROM ({_TARGET})")
 def target_order(spark, d):
-    """O5 within each category."""
-    w = Window.partitionBy("category").orderBy(F.col("efficiency").desc(), "path")
-    return target_category(spark, d).select("path", "efficiency", F.row_number().over(w).alias("place"), "category")
+    """O5 within each category. A category may hold a large share of all files: places are counted by ranges of the order, not in one task a category."""
+    return health.places(_targets(spark, d).select("path", "efficiency", "category"), "category")
 
 
-@query("SELECT p_partkey AS name, p_brand AS path FROM part WHERE p_brand <> 'Brand#11' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+@query("""WITH r AS (SELECT p_brand AS path, CASE WHEN l_quantity = 50 AND l_discount > 0.095 AND l_tax > 0.075 THEN NULL ELSE p_partkey END AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48)
+SELECT p_partkey AS name, p_brand AS path FROM part p WHERE p_brand <> 'Brand#11' AND p_brand NOT IN (SELECT path FROM r WHERE name IS NULL) AND NOT EXISTS (SELECT 1 FROM r WHERE r.path = p.p_brand AND r.name = p.p_partkey)""")
 def unused_keys(spark, d):
-    """Exports that nothing refers to, entry modules apart."""
-    refs = read(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("name"))
-    return read(spark, d, "part").where("p_brand <> 'Brand#11'").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("path")).join(refs, "name", "left_anti")
+    """Brands as modules, parts as keys, large items as references; some use a module as a whole, one module is an entry."""
+    p, c = read(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("path")), F.col
+    l = read(spark, d, "lineitem").where("l_quantity > 48").join(p, c("l_partkey") == c("name"))
+    refs = l.select("path", F.when((c("l_quantity") == 50) & (c("l_discount") > 0.095) & (c("l_tax") > 0.075), F.lit(None)).otherwise(c("name")).alias("name"))
+    return scope.unused_keys(p, refs, spark.createDataFrame([("Brand#11",)], "path string")).select("name", "path")
 
 
 @query("""WITH f AS (SELECT o_custkey AS path, o_orderkey AS line, CASE o_orderstatus WHEN 'O' THEN 'high-crap' WHEN 'F' THEN 'high-cognitive-complexity' ELSE 'unused-export' END AS kind FROM orders),
@@ -383,11 +385,13 @@ def suppressed_findings(spark, d):
     return scope.suppressed(f, files.unionByName(lines)).select("path", "line", F.translate("kind", "_", "-").alias("kind"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 50)""")
 def changed_scope(spark, d):
-    """Findings of changed files alone."""
-    changed = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(changed, "l_orderkey", "left_semi")
+    """Line items as issues of an order and a part, some of which have changed."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    changed = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(name("o", "o_orderkey").alias("path")).unionByName(read(spark, d, "part").where("p_size = 50").select(name("p", "p_partkey").alias("path")))
+    issues = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array(name("o", "l_orderkey"), name("p", "l_partkey")).alias("paths"))
+    return scope.touching(issues, changed, ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber")
 
 
 @query(f"""WITH i AS (SELECT event_id, event_type AS kind, user_id AS path, {_EPOCH_SQL} AS t FROM events),
@@ -399,12 +403,13 @@ def new_only_attribution(spark, d):
     return scope.introduced(i.drop("t"), i.where("t < 1705363200"), ["kind", "path"], ["event_id"])
 
 
-@query("SELECT o_orderkey, o_custkey || ':' || lower(replace(o_orderpriority, '-', '')) AS k FROM orders WHERE (o_custkey || ':' || lower(replace(o_orderpriority, '-', ''))) NOT IN (SELECT c_custkey || ':1urgent' FROM customer)")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey || ':' || replace(lower(replace(o_orderpriority, '-', '_')), '_', '') AS key FROM orders)
+SELECT o_orderkey, key FROM o WHERE key NOT IN (SELECT c_custkey || ':1urgent' FROM customer)""")
 def baseline_exclusion(spark, d):
-    """Composed keys that no baseline lists."""
-    k = F.concat_ws(":", F.col("o_custkey").cast("string"), F.lower(F.translate("o_orderpriority", "-", "")))
-    known = read(spark, d, "customer").select(F.concat_ws(":", F.col("c_custkey").cast("string"), F.lit("1urgent")).alias("k"))
-    return read(spark, d, "orders").select("o_orderkey", k.alias("k")).join(known, "k", "left_anti").select("o_orderkey", "k")
+    """Keys of path and category that no baseline lists."""
+    o = read(spark, d, "orders").select("o_orderkey", S.baseline_key(F.col("o_custkey"), F.lower(F.translate("o_orderpriority", "-", "_"))).alias("key"))
+    known = read(spark, d, "customer").select(S.baseline_key(F.col("c_custkey"), F.lit("1_urgent")).alias("key"))
+    return scope.not_listed(o, known).select("o_orderkey", "key")
 
 
 @query("""WITH c AS (SELECT p_partkey, r, (p_partkey * (r + 3)) % 300 AS s_suppkey FROM part, (VALUES (0), (1), (2), (3)) v(r))
@@ -413,38 +418,37 @@ def first_candidate(spark, d):
     """The first of ordered candidates that exists."""
     p = read(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("r"))
     c = p.withColumn("s_suppkey", F.col("p_partkey") * (F.col("r") + 3) % 300)
-    return scope.first_candidate(c, read(spark, d, "supplier"), "p_partkey", "r", "s_suppkey").select("p_partkey", "r", "s_suppkey")
+    return scope.first_candidate(c, read(spark, d, "supplier"), ["p_partkey"], "r", "s_suppkey").select("p_partkey", "r", "s_suppkey")
 
 
-@query("""WITH l AS (SELECT conv_id * 1000 + turn AS path, i - 1 AS line, string_split(text, chr(10))[i] AS s FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)),
-h AS (SELECT path, line, 0 AS seq, 'identifier' AS kind, s FROM l WHERE contains(lower(s), 'that') UNION ALL SELECT path, line, 1, 'settings_gate', s FROM l WHERE contains(lower(s), 'settings.') OR contains(lower(s), 'the'))
-SELECT path, line, kind, md5(s) AS detail_md5 FROM h QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY seq) = 1""")
-def flag_lines(spark, d):
-    """Substring tests by line, the first kind of a line kept; one scan for all branches."""
-    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("path"), F.posexplode_outer(F.split("text", "\n")).alias("line", "s"))
-    low = F.lower("s")
-    kinds = F.array_compact(F.array(F.when(low.contains("that"), "identifier"), F.when(low.contains("settings.") | low.contains("the"), "settings_gate")))
-    c = c.withColumn("kind", F.get(kinds, 0)).where("kind IS NOT NULL")
-    return c.select("path", F.col("line").cast("long").alias("line"), "kind", F.md5("s").alias("detail_md5"))
+_FLAGS = "replace(replace(replace(text, 'that', 'isEnabled(\"x y\")'), 'with', 'UserSettings'), 'this', 'getenv(''HOME'')')"
 
 
-@query("SELECT o_orderstatus AS kind, count(*) AS markers, count(DISTINCT o_custkey) AS files FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1")
-def suppression_inventory(spark, d):
-    """A15."""
-    return read(spark, d, "orders").where("o_orderkey % 9 = 0").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("markers"), F.countDistinct("o_custkey").alias("files"))
+@query(f"""WITH t AS (SELECT conv_id * 1000 + turn AS path, {_FLAGS} AS text FROM conversations), l AS (SELECT path, i AS line, string_split(text, chr(10))[i] AS s FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM t)),
+n AS (SELECT *, lower(s) AS low, coalesce(nullif(regexp_extract(s, '"([^"]+)"', 1), ''), nullif(regexp_extract(s, '''([^'']+)''', 1), '')) AS quoted FROM l),
+h AS (SELECT path, line, 0 AS seq, 'identifier' AS kind, coalesce(quoted, 'feature') AS name, s FROM n WHERE contains(low, 'featureflag') OR contains(low, 'feature_flag') OR contains(low, 'isfeatureenabled') OR contains(low, 'isenabled(')
+  UNION ALL SELECT path, line, 1, 'get_attribute', coalesce(quoted, 'attribute'), s FROM n WHERE contains(low, 'getattribute')
+  UNION ALL SELECT path, line, 2, 'settings_gate', coalesce(quoted, 'settings'), s FROM n WHERE contains(low, 'settings.') OR contains(low, 'usersettings')
+  UNION ALL SELECT path, line, 3, 'env_lookup', coalesce(quoted, 'env'), s FROM n WHERE contains(low, 'getenv') OR contains(low, 'process.env'))
+SELECT path, line::BIGINT AS line, kind, name, md5(trim(s)) AS detail_md5 FROM h QUALIFY row_number() OVER (PARTITION BY path, line, name ORDER BY seq) = 1""")
+def flag_lines(spark, d):
+    """Turns as files, with words put in that the rules look for."""
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("path"), F.expr(_FLAGS.replace("''HOME''", "\\'HOME\\'")).alias("source"))
+    out = flags.first_of_each(flags.text_flags(c))
+    return out.select("path", F.col("line").cast("long").alias("line"), "kind", "name", F.md5("detail").alias("detail_md5"))
 
 
 @query("SELECT o_orderstatus AS kind, count(*) AS markers, count(DISTINCT o_custkey) AS files FROM orders GROUP BY 1")
-def suppression_inventory_all(spark, d):
-    """A15 over every order; suppression_inventory and its SQL count those of every ninth key."""
-    return read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("markers"), F.countDistinct("o_custkey").alias("files"))
+def suppression_inventory(spark, d):
+    """Orders as markers."""
+    return scope.marker_totals(read(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderstatus").alias("kind")), ["kind"]).select("kind", "markers", "files")
 
 
-@query("""SELECT p_brand AS token, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(p_brand, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT)), 8, '0') AS fingerprint
-FROM (SELECT DISTINCT p_brand FROM part)""")
+@query("""SELECT p_name AS token, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT)), 8, '0') AS fingerprint
+FROM (SELECT DISTINCT p_name FROM part)""")
 def fnv_fingerprint(spark, d):
     """P23."""
-    return read(spark, d, "part").select(F.col("p_brand").alias("token")).distinct().withColumn("fingerprint", S.fnv1a(F.col("token")))
+    return read(spark, d, "part").select(F.col("p_name").alias("token")).distinct().withColumn("fingerprint", S.fnv1a(F.col("token")))
 
 
 @query("""WITH t AS (SELECT s_suppkey AS path, greatest(1, s_suppkey % 7) AS k FROM supplier)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..luau.extract import extract
 from ..operators import churn as C
-from ..operators import clones, graph, resolve, scope
+from ..operators import clones, flags, graph, health, resolve, scope
 from ..session import materialize
 from ..sources.config import Config, globs_regex
 
@@ -92,22 +92,11 @@ class Project:
 
     def suppressions(self) -> dict:
         m = self.markers
-        return {"markers": m.orderBy("path", "line"), "totals": m.agg(F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("markers"))}
+        return {"markers": m.orderBy("path", "line"), "totals": scope.marker_totals(m)}
 
     def flags(self) -> DataFrame:
-        lines = self.sources.select("path", F.posexplode_outer(F.split("source", "\r?\n")).alias("i", "s")).withColumn("low", F.lower("s"))
-        has = lambda *words: F.greatest(*[F.col("low").contains(w) for w in (*words, words[0])])
-        quoted = F.coalesce(F.nullif(F.regexp_extract("s", '"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract("s", "'([^']+)'", 1), F.lit("")))
-        rules = (
-            ("identifier", "feature", has("featureflag", "feature_flag", "isfeatureenabled", "isenabled(")), ("get_attribute", "attribute", has("getattribute")),
-            ("settings_gate", "settings", has("settings.", "usersettings")), ("env_lookup", "env", has("getenv", "process.env")),
-        )
-        cells = [F.when(test, F.struct(F.lit(k).alias("kind"), F.coalesce(quoted, F.lit(other)).alias("name"), F.lit(i).alias("rule"))) for i, (k, other, test) in enumerate(rules)]
-        hits = lines.select("path", (F.col("i") + 1).alias("line"), F.trim("s").alias("detail"), F.explode_outer(F.array_compact(F.array(*cells))).alias("h")).where("h IS NOT NULL")
-        a = hits.select("path", "line", "h.kind", "h.name", "detail", F.struct(F.lit(0).alias("a"), F.col("line").alias("b"), F.col("h.rule").alias("c")).alias("seq"))
         b = self.rows.select("path", F.posexplode("flags").alias("i", "f")).select("path", "f.line", "f.kind", "f.name", "f.detail", F.struct(F.lit(1).alias("a"), F.col("i").alias("b"), F.lit(0).alias("c")).alias("seq"))
-        first = F.row_number().over(Window.partitionBy("path", "line", "name").orderBy("seq"))
-        out = a.unionByName(b).withColumn("n", first).where("n = 1").withColumn("rule", F.lit("feature-flag"))
+        out = flags.first_of_each(flags.text_flags(self.sources).unionByName(b)).withColumn("rule", F.lit("feature-flag"))
         return scope.suppressed(out, self.markers, kind="rule").select("path", "line", "kind", "name", "detail").orderBy("path", "line", "name")
 
     # -- dead code
@@ -165,10 +154,8 @@ class Project:
         free = lambda df, kind: scope.suppressed(df.withColumn("kind", F.lit(kind)), self.markers)
         files = self.files.join(reached.withColumnRenamed("node", "path"), "path", "left_anti").select("path", F.lit(1).alias("line"), F.col("path").alias("name"))
         refs = self.key_refs
-        named = refs.where("key IS NOT NULL").select(F.col("to").alias("path"), F.col("key").alias("name")).distinct()
-        escaped = refs.where("key IS NULL").select(F.col("to").alias("path")).distinct()
         exports = self.rel("exports")
-        unused = exports.join(named, ["path", "name"], "left_anti").join(escaped, "path", "left_anti").join(entries, "path", "left_anti").select("path", "line", "name")
+        unused = scope.unused_keys(exports, refs.select(F.col("to").alias("path"), F.col("key").alias("name")), entries).select("path", "line", "name")
         reads = self.rows.select("path", F.explode("local_reads").alias("name"))
         local = self.rel("local_decls").where("NOT startswith(name, '_')").join(reads, ["path", "name"], "left_anti").select("path", "line", "name")
         types = self.rel("type_decls").join(self.rows.select("path", F.explode("type_refs").alias("name")), ["path", "name"], "left_anti").select("path", "line", "name")
@@ -199,11 +186,7 @@ class Project:
     def dupes(self, min_tokens: int | None = None, min_lines: int | None = None, min_occurrences: int = 2) -> dict:
         m = self.config.duplicates.min_tokens if min_tokens is None else min_tokens
         l = self.config.duplicates.min_lines if min_lines is None else min_lines
-        # File numbers follow the order of path components; they only break ties between equal suffixes.
-        order = self.files.select("path").orderBy(F.split("path", "/")).toPandas()
-        order["file_idx"] = range(len(order))
-        numbered = self.spark.createDataFrame(order, "path string, file_idx int") if len(order) else self.spark.createDataFrame([], "path string, file_idx int")
-        groups = clones.clone_groups(self.rows.select("path", "tokens").join(numbered, "path"), m, l, min_occurrences)
+        groups = clones.clone_groups(self.rows.select("path", "tokens"), m, l, min_occurrences)
         flat = groups.select("fingerprint", "token_count", "line_count", F.posexplode("instances").alias("seq", "i")).select("fingerprint", "token_count", "line_count", "seq", "i.*")
         mk = self.markers.select(F.col("path").alias("mpath"), "level", (F.col("line") + 1).alias("target"), F.explode(F.split("kind", r"[,\s]+")).alias("k"))
         mk = mk.where(scope.plain_kind(F.col("k")).isin("all", "duplicates", *scope.CLONES))
@@ -273,10 +256,7 @@ class Project:
         return out
 
     def _targets(self, s, f, hot, dead, dup, baseline) -> DataFrame:
-        rank = lambda c, p, low: F.greatest(S.nearest_rank(F.col(c), p), F.lit(low))
-        g = s.agg(F.sort_array(F.collect_list("fan_in")).alias("i"), F.sort_array(F.collect_list("fan_out")).alias("o"))
-        g = g.select(rank("i", 0.25, 2).alias("p25"), rank("i", 0.75, 3).alias("p75"), rank("i", 0.95, 5).alias("p95"), rank("o", 0.95, 8).alias("out95"), rank("o", 0.90, 5).alias("out90"))
-        t = s.crossJoin(F.broadcast(g))
+        t = s
         if hot is not None:
             t = t.join(hot.select("path", F.col("score").alias("hotspot"), "trend"), "path", "left")
         else:
@@ -294,73 +274,40 @@ class Project:
             t = t.join(sib, "path", "left")
         else:
             t = t.withColumn("clone_siblings", F.lit(None).cast("array<string>"))
-        c = F.col
-        d, fi, fo, n, mi = c("complexity_density"), c("fan_in"), c("fan_out"), c("function_count"), c("maintainability_index")
-        priority = (
-            F.least(d, F.lit(1.0)) * 30.0 + c("hotspot") / 100.0 * 25.0 + c("dead_code_ratio") * 20.0
-            + F.least(fi / c("p95"), F.lit(1.0)) * 15.0 + F.least(fo / c("out95"), F.lit(1.0)) * 10.0
-        )
-        effort = F.when((c("lines") < 100) & (n <= 3) & (fi < c("p25")), "low").when((c("lines") >= 500) | (fi >= c("p95")) | ((n >= 15) & (d > 0.5)), "high").otherwise("medium")
-        pick = lambda cat, text, metric, value, limit: F.struct(F.lit(cat).alias("category"), text.alias("recommendation"), F.lit(metric).alias("metric"), value.cast("double").alias("value"), limit.cast("double").alias("threshold"))
-        loop = pick("circular_dep", F.lit("Cut one require of the cycle first; shared behaviour can change safely after that"), "circular-dependency", F.lit(1), F.lit(1))
-        choice = (
-            F.when((c("hotspot") >= 50) & (c("trend") == "accelerating") & (d > 0.5), pick("urgent_churn_complexity", F.lit("Changes often and is getting complex: settle it before new features"), "hotspot_score", c("hotspot"), F.lit(50)))
-            .when(c("cycle").isNotNull() & (fi >= 5), loop)
-            .when((d > 0.3) & ((fi >= c("p95")) | ((fi >= c("p75")) & (n >= 5))), pick("high_impact", F.concat(F.lit("Split it: each change reaches "), fi.cast("string"), F.lit(" dependents")), "fan_in", fi, c("p95")))
-            .when((c("dead_code_ratio") >= 0.5) & (c("exports") >= 3), pick("remove_dead_code", F.lit("Drop exports that nothing uses"), "dead_code_ratio", c("dead_code_ratio"), F.lit(0.5)))
-            .when(c("top_cognitive") >= 30, pick("complexity", F.concat(F.lit("Break up "), c("top_name"), F.lit(" (cognitive "), c("top_cognitive").cast("string"), F.lit(")")), "cognitive", c("top_cognitive"), F.lit(30)))
-            .when((fo >= c("out90")) & (mi < 60) & c("is_entry").isNull(), pick("coupling", F.lit("Require less: so many modules are hard to test together"), "fan_out", fo, c("out90")))
-            .when((c("crap_above_threshold") >= 2) & (d > 0.3), pick("add_test_coverage", F.lit("Cover the complex functions by a test that requires this file"), "crap_above_threshold", c("crap_above_threshold"), F.lit(2)))
-            .when(c("cycle").isNotNull(), loop)
-        )
-        t = t.withColumn("p", priority).withColumn("effort", effort).withColumn("x", choice).where("x IS NOT NULL")
-        t = t.withColumn("efficiency", S.rounded(c("p") / F.when(c("effort") == "low", 1.0).when(c("effort") == "medium", 2.0).otherwise(3.0), 2))
-        t = t.withColumn("confidence", F.when(c("x.category") == "urgent_churn_complexity", "low").when(c("x.category").isin("high_impact", "coupling"), "medium").otherwise("high"))
-        t = t.withColumn("key", F.concat_ws(":", "path", F.translate("x.category", "_", "")))
-        unresolved = self.edges.agg(F.count_if(c("to").isNull()).alias("unresolved_imports"))
-        t = t.crossJoin(F.broadcast(unresolved))
+        facts = t.withColumn("in_cycle", F.col("cycle").isNotNull()).withColumn("is_entry", F.col("is_entry").isNotNull())
+        out = health.targets(facts.select(*health.TARGET_COLUMNS), health.target_limits(s))
+        unresolved = self.edges.agg(F.count_if(F.col("to").isNull()).alias("unresolved_imports"))
+        evidence = F.struct("functions", "unused_exports", "clone_siblings", F.col("cycle").alias("cycle_path"), "direct_callers", "unresolved_imports").alias("evidence")
+        out = out.join(t.select("path", "functions", "unused_exports", "clone_siblings", "cycle", "direct_callers"), "path").crossJoin(F.broadcast(unresolved))  # of one row
         if baseline:
-            t = t.join(self.spark.createDataFrame([(k,) for k in baseline], "key string"), "key", "left_anti")
-        evidence = F.struct("functions", "unused_exports", "clone_siblings", c("cycle").alias("cycle_path"), "direct_callers", "unresolved_imports").alias("evidence")
-        factors = F.array(F.struct("x.metric", "x.value", "x.threshold")).alias("factors")
-        return t.select("path", S.rounded(c("p"), 2).alias("priority"), "efficiency", "confidence", "x.category", "x.recommendation", "effort", factors, evidence, "key").orderBy(c("efficiency").desc(), "path")
+            out = scope.not_listed(out, self.spark.createDataFrame([(k,) for k in baseline], "key string"))
+        return health.in_order(out.select("path", "priority", "efficiency", "confidence", "category", "recommendation", "effort", "factors", evidence, "key"))
 
     def _score(self, s, f, hot, dead, dup) -> DataFrame:
         n_files = self.files.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("files"))
-        fans = self.fans.agg(F.sort_array(F.collect_list("fan_in")).alias("v")).select("v", F.greatest(S.nearest_rank(F.col("v"), 0.95), F.lit(10)).alias("p95"))
-        fans = fans.select(F.size(F.filter("v", lambda x: x > F.col("p95"))).alias("high_fan"))
-        fn = f.agg(F.count(F.lit(1)).alias("fns"), F.count_if((F.col("cyclomatic") >= 50) | (F.col("cognitive") >= 30)).alias("critical"), F.count_if(F.col("lines") > 60).alias("over60"))
+        floor = health.percentiles(self.fans, "fan_in", {"p95": 0.95}).select(F.greatest("p95", F.lit(10)).alias("p95"))
+        fans = self.fans.crossJoin(F.broadcast(floor)).agg(F.count_if(F.col("fan_in") > F.col("p95")).alias("high_fan"))  # floor is one row
+        fn = f.agg(F.count(F.lit(1)).alias("functions"), F.count_if((F.col("cyclomatic") >= 50) | (F.col("cognitive") >= 30)).alias("critical"), F.count_if(F.col("lines") > 60).alias("over60"))
         sc = s.agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("maintainability_index") < 40).alias("low_mi"))
         count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-        parts = [n_files, fans, fn, sc, count(dead["unused_files"], "dead_files"), dead["ratios"].agg(F.coalesce(F.sum("dead"), F.lit(0)).alias("dead_x"), F.coalesce(F.sum("exports"), F.lit(0)).alias("all_x")), count(dead["circular_dependencies"], "loops")]
+        parts = [n_files, fans, fn, sc, count(dead["unused_files"], "dead_files"), dead["ratios"].agg(F.coalesce(F.sum("dead"), F.lit(0)).alias("dead_exports"), F.coalesce(F.sum("exports"), F.lit(0)).alias("exports")), count(dead["circular_dependencies"], "loops")]
         parts.append(hot.agg(F.count_if(F.col("score") >= 70).alias("hot")) if hot is not None else self.spark.range(1).select(F.lit(0).alias("hot")))
-        parts.append(dup["stats"].select(F.col("duplication_percentage").alias("dup")) if dup is not None else self.spark.range(1).select(F.lit(0.0).alias("dup")))
+        parts.append(dup["stats"].select(F.col("duplication_percentage").alias("duplication")) if dup is not None else self.spark.range(1).select(F.lit(0.0).alias("duplication")))
         one = parts[0]
         for p in parts[1:]:
             one = one.crossJoin(p)  # every side is a single row
-        c = F.col
-        per = lambda a, b, k: c(a) * float(k) / F.greatest(c(b), F.lit(1))
-        cap = lambda x, top: F.least(x, F.lit(float(top)))
-        pen = {
-            "dead_files": cap(per("dead_files", "files", 100) * 0.2, 15), "dead_exports": cap(per("dead_x", "all_x", 100) * 0.2, 15), "complexity": cap(per("critical", "fns", 100) * 4.0, 20),
-            "maintainability": cap(per("low_mi", "scored", 100) * 1.5, 15), "hotspots": cap(c("hot") / F.greatest(F.ceil(c("files") * 0.01), F.lit(1)) * 10.0, 10),
-            "circular_deps": cap(per("loops", "files", 1000) * 0.5, 25), "unit_size": cap(per("over60", "fns", 1000) * 0.5, 10), "coupling": cap(per("high_fan", "files", 100) * 0.5, 5),
-            "duplication": cap(F.greatest(c("dup") - 5.0, F.lit(0.0)), 10),
-        }
-        one = one.select(F.map_from_arrays(F.array(*[F.lit(k) for k in sorted(pen)]), F.array(*[pen[k] for k in sorted(pen)])).alias("penalties"))
-        raw = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 - F.aggregate(F.map_values("penalties"), F.lit(0.0), lambda a, x: a + x)))
-        return one.withColumn("raw", raw).select(S.rounded(F.col("raw"), 1).alias("score"), S.grade(F.col("raw")).alias("grade"), F.lit(2).alias("formula_version"), "penalties")
+        return health.score(one)
 
     # -- inspect, trace
 
     def target(self, path: str) -> str:
         """A path of the project: exact, else the only one that ends with it."""
         p = path.replace("\\", "/").removeprefix("./")
-        hit = [r[0] for r in self.files.where((F.col("path") == p) | F.col("path").endswith("/" + p)).select("path").orderBy("path").limit(20).collect()]
-        if p in hit:
+        if not self.files.where(F.col("path") == p).isEmpty():
             return p
-        if len(hit) != 1:
-            raise ValueError(f"{path}: {'no such file' if not hit else 'ambiguous: ' + ', '.join(hit)}")
+        hit = [r[0] for r in self.files.where(F.col("path").endswith("/" + p)).select("path").orderBy("path").limit(21).collect()]
+        if len(hit) != 1:  # (the message names twenty)
+            raise ValueError(f"{path}: {'no such file' if not hit else 'ambiguous: ' + ', '.join(hit[:20]) + ' ...' * (len(hit) > 20)}")
         return hit[0]
 
     def inspect(self, path: str, symbol: str | None = None) -> dict:
@@ -414,11 +361,9 @@ class Project:
         """Issues of changed files; with a base only what it did not have counts, if the gate is new-only."""
         if gate not in ("new-only", "all"):
             raise ValueError(f"unknown gate {gate}")
-        i = self.issues()
+        i, keys = self.issues(), ["kind", "path", "name"]
         if changed is not None:
-            c = self.spark.createDataFrame([(p,) for p in changed], "changed string").agg(F.collect_set("changed").alias("changed"))
-            i = i.crossJoin(F.broadcast(c)).where(F.arrays_overlap("paths", "changed")).drop("changed")
-        keys = ["kind", "path", "name"]
+            i = scope.touching(i, self.spark.createDataFrame([(p,) for p in changed], "path string"), keys)
         if base is not None and gate == "new-only":
             i = scope.introduced(i, base.issues(), keys, ["seq"])
         else:

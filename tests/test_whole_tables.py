@@ -45,19 +45,19 @@ def test_graph_of_all_events(spark, events, monkeypatch, small):
     seen = reached(edges, entry)
     assert len(edges) > 30 and len(nodes - seen) == 4
     run = lambda name: rows(QUERIES[name](spark, d))
-    assert run("reach_from_entries_all") == [(v,) for v in sorted(seen)]
-    assert run("unused_nodes_all") == [(v,) for v in sorted(nodes - seen)]
+    assert run("reach_from_entries") == run("reach_by_joins") == [(v,) for v in sorted(seen)]
+    assert run("unused_nodes") == [(v,) for v in sorted(nodes - seen)]
     code = {(a, b) for a, b in edges if b % 7}
     direct = {b for a, b in code if a % 7 == 0}
     onward = reached({(a, b) for a, b in code if a % 7}, direct)
-    assert run("coverage_labels_all") == [(v, 85.0 if v in direct else 40.0 if v in onward else 0.0) for v in sorted(nodes)]
+    assert run("coverage_labels") == [(v, 85.0 if v in direct else 40.0 if v in onward else 0.0) for v in sorted(nodes)]
     after = {v: reached(edges, {b for a, b in edges if a == v}) for v in nodes}
-    assert run("scc_members_all") == sorted((v, min(w for w in after[v] if v in after[w])) for v in nodes if v in after[v])
+    assert run("scc_members") == run("scc_by_joins") == sorted((v, min(w for w in after[v] if v in after[w])) for v in nodes if v in after[v])
     depth, front = {v: 0 for v in entry}, entry
     for k in (1, 2):
         front = {b for a, b in edges if a in front} - depth.keys()
         depth |= dict.fromkeys(front, k)
-    assert run("trace_depth3_all") == sorted((a, b, depth[a] + 1) for a, b in edges if a in depth)
+    assert run("trace_depth3") == sorted((a, b, depth[a] + 1) for a, b in edges if a in depth)
 
 
 def test_line_union_of_all_line_items(spark, tmp_path):
@@ -66,11 +66,11 @@ def test_line_union_of_all_line_items(spark, tmp_path):
     spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     union = lambda top: {(o % 50, p % 400 + i) for o, p, k, q in items if k <= top for i in range(int(q))}
     count = lambda lines: sorted((p, sum(x == p for x, _ in lines)) for p in {x for x, _ in lines})
-    assert rows(QUERIES["dup_line_union_all"](spark, str(tmp_path))) == count(union(7)) != count(union(2))
+    assert rows(QUERIES["dup_line_union"](spark, str(tmp_path))) == count(union(7)) != count(union(2))
 
 
 def test_inventory_of_all_orders(spark, tmp_path):
     orders = [(k, k % 5, "FOP"[k % 3]) for k in range(1, 40)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     want = sorted((s, sum(x[2] == s for x in orders), len({c for _, c, x in orders if x == s})) for s in "FOP")
-    assert rows(QUERIES["suppression_inventory_all"](spark, str(tmp_path))) == want
+    assert rows(QUERIES["suppression_inventory"](spark, str(tmp_path))) == want

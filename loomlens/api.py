@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import health, scope
 from .plans import explain, viz
 from .plans.project import HealthOptions, Project
 from .sources import baseline, git
@@ -32,7 +33,7 @@ def load(spark: SparkSession, root: str, churn: bool = False, since_days: float
 def report(spark: SparkSession, name: str, root: str = ".", **o) -> dict:
     """Any report by name; options as on the command line."""
     if name == "schema":
-        return explain.manifest()
+        return explain.manifest() | ({"_meta": explain.meta("schema")} if o.get("explain") else {})
     if name == "explain":
         return explain.explain_rule(o["rule"])
     if name == "viz":
@@ -50,7 +51,7 @@ def report(spark: SparkSession, name: str, root: str = ".", **o) -> dict:
         raise ValueError(f"unknown report {name}")
     doc = {"schema_version": 1, "kind": name, "root": str(root)} | plain(sections[name]())
     if o.get("explain"):
-        doc["_meta"] = {"rules": explain.RULES}
+        doc["_meta"] = explain.meta(name)
     return doc
 
 
@@ -66,7 +67,7 @@ def _health(p: Project, o: dict) -> dict:
         baseline.save_baseline(o["save_baseline"], [r["key"] for r in out["targets"].select("key").toLocalIterator()])
     if o.get("baseline") and "targets" in out:
         known_keys = p.spark.createDataFrame([(k,) for k in baseline.load_baseline(o["baseline"])], "key string")
-        out["targets"] = out["targets"].join(known_keys, "key", "left_anti").orderBy("efficiency", ascending=False)
+        out["targets"] = health.in_order(scope.not_listed(out["targets"], known_keys))
     return out
 
 

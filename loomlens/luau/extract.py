@@ -26,7 +26,9 @@ SCHEMA = (
 )
 
 NUMBER, STRING = "\1number", "\2string"
-_MARKER = re.compile(r"(?:[a-z][a-z0-9]*-)+?ignore(-file|-next-line|(?=\s|\Z))(.*)", re.S)
+#: Tools whose suppression comments count, unless a configuration names others.
+PREFIXES = ("loomlens", "lint")
+_MARKER = re.compile(r"(.+?)-ignore(-file|-next-line|(?=\s|\Z))(.*)", re.S)
 
 
 def functions(block: list[N]) -> list[dict]:
@@ -431,20 +433,20 @@ def exports(block: list[N]) -> list[dict]:
     return out
 
 
-def markers(comments) -> list[dict]:
-    """Suppression comments: any tool's ``...-ignore``, ``...-ignore-file`` or ``...-ignore-next-line``."""
+def markers(comments, prefixes: tuple[str, ...] = PREFIXES) -> list[dict]:
+    """Suppression comments: ``...-ignore``, ``...-ignore-file`` or ``...-ignore-next-line`` of the named tools; others are another linter's."""
     out = []
     for c in comments:
         text = c.text.strip()
         m = _MARKER.fullmatch(text) if c.single else None
-        if not m:
+        if not m or m[1] not in prefixes:
             continue
-        rest = m[2].strip()
+        rest = m[3].strip()
         if rest.startswith("-- "):
             kinds, reason = "", rest[3:]
         else:
             kinds, _, reason = rest.partition(" -- ")
-        out.append({"line": c.line, "kind": kinds or "all", "level": "file" if m[1] == "-file" else "next-line", "reason": reason or None, "text": f"-- {text}"})
+        out.append({"line": c.line, "kind": kinds or "all", "level": "file" if m[2] == "-file" else "next-line", "reason": reason or None, "text": f"-- {text}"})
     return out
 
 
@@ -499,7 +501,7 @@ def flags(block: list[N]) -> list[dict]:
     return out
 
 
-def extract_source(path: str, source: str) -> dict:
+def extract_source(path: str, source: str, prefixes: tuple[str, ...] = PREFIXES) -> dict:
     """All rows of one file; ``error`` instead of rows if it does not parse."""
     row: dict = {"path": path, "lines": len(source.removesuffix("\n").split("\n")) if source else 0, "error": None}
     old = sys.getrecursionlimit()
@@ -512,7 +514,7 @@ def extract_source(path: str, source: str) -> dict:
             "type_decls": [{"name": n, "line": l} for n, l, exported, depth in p.type_decls if not exported and depth == 1], "type_refs": sorted(set(p.type_refs)),
             "key_refs": [dict(t) for t in dict.fromkeys(tuple(r.items()) for r in walk.refs)],
             "tokens": [{"text": {"number": NUMBER, "string": STRING}.get(t.kind, t.text), "line": t.line, "end_line": t.end_line} for t in p.tokens if t.kind != "eof"],
-            "markers": markers(p.comments), "flags": flags(block),
+            "markers": markers(p.comments, prefixes), "flags": flags(block),
         }
     except (LuauError, RecursionError) as e:
         row["error"] = f"{path}: {e}"
@@ -524,12 +526,12 @@ def extract_source(path: str, source: str) -> dict:
 COLUMNS = [c.split(" ")[0] for c in re.split(r", (?=\w+ (?:string|int|array))", SCHEMA)]
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, prefixes: tuple[str, ...] = PREFIXES) -> DataFrame:
     """files(path, source) to one nested row each. Only the two columns reach the Python workers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [extract_source(p, s) for p, s in zip(pdf["path"], pdf["source"])]
+            rows = [extract_source(p, s, prefixes) for p, s in zip(pdf["path"], pdf["source"])]
             yield pd.DataFrame([{c: r.get(c) for c in COLUMNS} for r in rows], columns=COLUMNS)
 
     return files.select("path", "source").mapInPandas(run, SCHEMA)

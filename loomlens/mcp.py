@@ -10,8 +10,11 @@ from . import api
 from .session import session
 
 TOOLS = {
-    "list": {}, "health": {}, "dead-code": {}, "dupes": {"min_tokens": "integer", "min_lines": "integer"}, "audit": {"changed_since": "string", "gate": "string"},
-    "inspect": {"path": "string", "symbol": "string"}, "trace": {"path": "string", "key": "string", "depth": "integer"}, "flags": {}, "suppressions": {}, "explain": {"rule": "string"},
+    "schema": ("schema", "What there is: reports, rules and formats", {}), "list_project": ("list", "Files and the requires between them", {}),
+    "check_health": ("health", "Complexity, maintainability, hotspots, targets and the score", {}), "find_dead_code": ("dead-code", "Unused files, exports, locals and types, cycles and boundaries", {}),
+    "find_dupes": ("dupes", "Groups of equal code", {"min_tokens": "integer", "min_lines": "integer"}), "audit": ("audit", "All findings with a verdict: pass, warn or fail", {"changed_since": "string", "gate": "string"}),
+    "explain": ("explain", "What a rule means", {"id": "string"}), "inspect": ("inspect", "All that is known of a file or a symbol", {"path": "string", "symbol": "string"}),
+    "trace": ("trace", "Who requires whom", {"path": "string", "key": "string", "depth": "integer"}), "flags": ("flags", "Switches of behaviour", {}), "suppressions": ("suppressions", "Comments that suppress findings", {}),
 }
 
 
@@ -26,13 +29,13 @@ def answer(message: dict, call) -> dict | None:
     elif method == "ping":
         reply["result"] = {}
     elif method == "tools/list":
-        reply["result"] = {"tools": [{"name": n, "description": f"The {n} report", "inputSchema": {"type": "object", "properties": {k: {"type": t} for k, t in (p | {"root": "string"}).items()}}} for n, p in TOOLS.items()]}
+        reply["result"] = {"tools": [{"name": n, "description": text, "inputSchema": {"type": "object", "properties": {k: {"type": t} for k, t in (p | {"root": "string"}).items()}}} for n, (_, text, p) in TOOLS.items()]}
     elif method == "tools/call":
         name, args = params.get("name"), params.get("arguments") or {}
         try:
             if name not in TOOLS:
                 raise ValueError(f"unknown tool {name}")
-            doc = call(name, args)
+            doc = call(TOOLS[name][0], {"rule" if k == "id" else k: v for k, v in args.items()})
             reply["result"] = {"content": [{"type": "text", "text": json.dumps(doc, default=str)}], "structuredContent": doc}
         except Exception as e:  # a tool's failure is its result
             reply["result"] = {"isError": True, "content": [{"type": "text", "text": str(e)}]}
@@ -46,7 +49,8 @@ def serve(source: TextIO = sys.stdin, sink: TextIO = sys.stdout) -> None:
 
     def call(name: str, args: dict) -> dict:
         nonlocal spark
-        spark = spark or session()
+        if name not in ("schema", "explain"):
+            spark = spark or session()
         return api.report(spark, name, **({"explain": True} | args))
 
     for line in source:

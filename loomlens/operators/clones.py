@@ -48,32 +48,43 @@ def covered_lines(ranges: DataFrame, path: str, first: str, last: str) -> DataFr
     return r.groupBy(path).agg(F.sum(fresh).cast("long").alias("duplicated_lines"))
 
 
-PAIRS = "fingerprint string, rank string, token_count int, line_count int, instances array<struct<file_idx:int,start_line:int,end_line:int>>"
+PAIRS = "fingerprint string, rank string, k int, token_count int, line_count int, instances array<struct<file_idx:int,start_line:int,end_line:int>>"
+
+
+def fingerprint(tokens: list) -> str:
+    """FNV-1a (32 bits) of the tokens with zero bytes between them."""
+    h = 2_166_136_261
+    for c in "\0".join(tokens).encode():
+        h = (h ^ c) * 16_777_619 & 0xFFFFFFFF
+    return f"dup:{h:08x}"
 
 
 def _neighbours(m: int, min_lines: int):
-    """One seed's suffixes, sorted as a suffix array would: neighbours that share at least m tokens."""
+    """One seed's suffixes, sorted as a suffix array would: neighbours that share at least m tokens.
+
+    Neighbours in one file that overlap in lines must begin at least min_lines apart.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(pdf.itertuples(index=False), key=lambda r: ([str(x) for x in r.tail], f"\0EOF:{r.file_idx}"))
         out = []
-        for a, b in zip(rows, rows[1:]):
+        for k, (a, b) in enumerate(zip(rows, rows[1:])):
             n = 0
             for x, y in zip(a.tail, b.tail):
                 if x != y:
                     break
                 n += 1
-            if n < m or (a.file_idx == b.file_idx and abs(a.pos - b.pos) < n):
+            if n < m:
+                continue
+            if a.file_idx == b.file_idx and a.starts[n - 1] >= b.starts[0] and b.starts[n - 1] >= a.starts[0] and abs(a.starts[0] - b.starts[0]) < min_lines:
                 continue
             spans = [(r.file_idx, int(r.starts[0]), int(r.ends[n - 1])) for r in (a, b)]
-            if any(e - s + 1 < min_lines for _, s, e in spans):
+            lines = [e - s + 1 for _, s, e in spans]
+            if min(lines) < min_lines:
                 continue
-            h = 2_166_136_261
-            for t in a.tail[:n]:
-                for c in str(t).encode() + b"\0":
-                    h = (h ^ c) * 16_777_619 & 0xFFFFFFFF
-            out.append((f"{h:08x}", "\1".join(str(t) for t in a.tail[:n]), n, spans[0][2] - spans[0][1] + 1, [{"file_idx": f, "start_line": s, "end_line": e} for f, s, e in spans]))
-        return pd.DataFrame(out, columns=["fingerprint", "rank", "token_count", "line_count", "instances"])
+            tokens = [str(t) for t in a.tail[:n]]
+            out.append((fingerprint(tokens), "\1".join(tokens), k, n, max(lines), [{"file_idx": f, "start_line": s, "end_line": e} for f, s, e in spans]))
+        return pd.DataFrame(out, columns=["fingerprint", "rank", "k", "token_count", "line_count", "instances"])
 
     return one
 
@@ -105,8 +116,11 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, min_lines: int = 5, min
     hit = hit.select("h", "g", "file_idx", "pos", cut("texts")("tail"), cut("starts")("starts"), cut("ends")("ends"))
     pairs = hit.groupBy("h", "g").applyInPandas(_neighbours(min_tokens, min_lines), PAIRS)
     names = files.select("file_idx", "path")
-    flat = pairs.select("fingerprint", "rank", "token_count", "line_count", F.posexplode("instances").alias("side", "i")).select("fingerprint", "rank", "token_count", "line_count", "side", "i.*").join(names, "file_idx")
-    inst = F.struct("rank", "side", F.struct("path", "start_line", "end_line").alias("i"))
-    g = flat.groupBy("fingerprint").agg(F.min_by("token_count", "rank").alias("token_count"), F.min_by("line_count", F.struct("rank", "side")).alias("line_count"), F.array_sort(F.collect_list(inst)).alias("x"))
+    # As many tokens, ends of files among them, as two clones have: else there are none.
+    enough = files.agg((F.floor((F.coalesce(F.sum(F.size("tokens")), F.lit(0)) + F.count(F.lit(1))) / 2) >= min_tokens).alias("enough")).where("enough")
+    flat = pairs.select("fingerprint", "rank", "k", "token_count", "line_count", F.posexplode("instances").alias("side", "i")).select("fingerprint", "rank", "k", "token_count", "line_count", "side", "i.*").join(names, "file_idx")
+    inst = F.struct("rank", "k", "side", F.struct("path", "start_line", "end_line").alias("i"))
+    longest = F.struct(-F.col("token_count"), F.col("rank"), F.col("k"))
+    g = flat.groupBy("fingerprint").agg(F.max("token_count").alias("token_count"), F.min_by("line_count", longest).alias("line_count"), F.array_sort(F.collect_list(inst)).alias("x"))
     g = g.withColumn("instances", F.array_distinct(F.transform("x", lambda r: r["i"]))).drop("x")
-    return g.where(F.size("instances") >= min_occurrences)
+    return g.where(F.size("instances") >= min_occurrences).crossJoin(enough).drop("enough")  # enough is one row or none

@@ -47,7 +47,7 @@ class Project:
         every = files.select("path", "source")
         self.all_paths = every.select("path")
         self.sources = every.where(~F.col("path").rlike(rx)) if rx else every
-        self.rows = materialize(extract(self.sources), "extracted")
+        self.rows = materialize(extract(self.sources, tuple(self.config.suppressed_by)), "extracted")
         bad = [r[0] for r in self.rows.where("error IS NOT NULL").select("error").orderBy("path").limit(20).collect()]
         if bad and strict:
             raise ValueError("; ".join(bad))
@@ -198,7 +198,7 @@ class Project:
         spans = g.select(F.inline("instances"))
         covered = clones.covered_lines(spans, "path", "start_line", "end_line").agg(F.coalesce(F.sum("duplicated_lines"), F.lit(0)).alias("duplicated_lines"))
         total = self.files.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"))
-        stats = covered.crossJoin(total).crossJoin(g.agg(F.count(F.lit(1)).alias("clone_groups"))).withColumn(
+        stats = covered.crossJoin(total).crossJoin(g.agg(F.count(F.lit(1)).alias("clone_groups"), F.coalesce(F.sum(F.size("instances")), F.lit(0)).alias("clone_instances"))).withColumn(
             "duplication_percentage", S.rounded(F.col("duplicated_lines") * 100.0 / F.greatest(F.col("total_lines"), F.lit(1)), 2)
         )
         return {"clone_groups": g.orderBy((F.col("token_count") * F.size("instances")).desc(), "fingerprint"), "stats": stats}
@@ -322,8 +322,9 @@ class Project:
                 raise ValueError(f"{symbol}: not in {p}; functions: {', '.join(known)}")
             f = hit
         d, h = self.dead_code(), self.health(HealthOptions(**vars(self.config.health), hotspots=False, targets=False, score=False))
+        fan = self.fans.where(own).first()
         return {
-            "path": p, "functions": f.orderBy("seq"), "exports": self.rel("exports").where(own).orderBy("seq"), "imports": self.links.where(F.col("src") == p).select("dst").orderBy("dst"),
+            "path": p, "symbol": symbol, "fan_in": fan["fan_in"], "fan_out": fan["fan_out"], "functions": f.orderBy("seq"), "exports": self.rel("exports").where(own).orderBy("seq"), "imports": self.links.where(F.col("src") == p).select("dst").orderBy("dst"),
             "importers": self.links.where(F.col("dst") == p).select("src").orderBy("src"), "health": h["file_scores"].where(own), "complexity": h["findings"].where(own),
             "dead_code": d["findings"].where(own), "clones": self.dupes()["clone_groups"].where(F.exists("instances", lambda i: i["path"] == p)),
         }

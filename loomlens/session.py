@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,11 @@ def session(name: str = "loomlens", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir; one of our own only where none is set and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints/loomlens"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -26,16 +26,36 @@ def render_report(path: str | Path, form: str = "json") -> str:
     data = json.loads(Path(path).read_text())
     if form == "json":
         return json.dumps(data, indent=2)
-    rows = []
-    for key, value in sorted(data.items()):
-        if isinstance(value, list):
-            rows.append((key, f"{len(value)} rows"))
-        elif isinstance(value, dict):
-            rows += [(f"{key}.{k}", str(v)) for k, v in sorted(value.items()) if not isinstance(v, (list, dict))]
-        else:
-            rows.append((key, str(value)))
     if form == "compact":
-        return "\n".join(f"{k}: {v}" for k, v in rows)
+        return json.dumps(data, separators=(",", ":"))
     if form == "markdown":
-        return "\n".join(["| field | value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in rows]])
+        return "\n".join(markdown(data))
     raise ValueError(f"unknown format {form}")
+
+
+def _first(data: dict, *ways: tuple[str, ...]):
+    """What lies at the first of some paths of keys that is there; a table of one row stands for its row."""
+    for way in ways:
+        at = data
+        for key in way:
+            at = at[0] if isinstance(at, list) and at else at
+            at = at.get(key) if isinstance(at, dict) else None
+        if at is not None:
+            return at
+    return None
+
+
+def markdown(data: dict) -> list[str]:
+    """Verdict, score, findings, unused files and the number of clones, each where the report has it."""
+    out = [f"# {data.get('kind', 'saved')} report", ""]
+    if verdict := _first(data, ("verdict",)):
+        out += [f"**Verdict:** `{verdict}`", ""]
+    if (score := _first(data, ("score", "score"), ("health", "score", "score"))) is not None:
+        out += [f"**Health score:** {score:.1f} ({_first(data, ('score', 'grade'), ('health', 'score', 'grade')) or '?'})", ""]
+    if (findings := _first(data, ("findings",), ("issues",), ("health", "findings"))) is not None:
+        out += ["## Findings", "", *[f"- `{f.get('path', '?')}:{f.get('line', 0)}` {f.get('rule') or f.get('kind') or ''} {f.get('name') or ''}".rstrip() for f in findings], ""]
+    if (unused := _first(data, ("unused_files",), ("dead_code", "unused_files"))) is not None:
+        out += ["## Unused files", "", *[f"- `{u['path'] if isinstance(u, dict) else u}`" for u in unused], ""]
+    if (groups := _first(data, ("clone_groups",), ("dupes", "clone_groups"))) is not None:
+        out += [f"## Clones ({len(groups)})", ""]
+    return [*out, "_Rendered from a saved report; nothing was analysed again._"]

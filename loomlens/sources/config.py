@@ -39,6 +39,7 @@ class Config:
     health: Health = field(default_factory=Health)
     duplicates: Duplicates = field(default_factory=Duplicates)
     boundaries: list[Zone] = field(default_factory=list)
+    suppressed_by: list[str] = field(default_factory=lambda: ["loomlens", "lint"])
 
 
 def _known(kind, data: dict):
@@ -48,7 +49,7 @@ def _known(kind, data: dict):
 def from_dict(data: dict) -> Config:
     return Config(
         list(data.get("entry", [])), list(data.get("ignore", [])), _known(Health, data.get("health", {})), _known(Duplicates, data.get("duplicates", {})),
-        [_known(Zone, z) for z in data.get("boundaries", [])],
+        [_known(Zone, z) for z in data.get("boundaries", [])], list(data.get("suppressed_by", Config().suppressed_by)),
     )
 
 
@@ -71,7 +72,7 @@ def init_config(root: str | Path, form: str = "json") -> Path:
     if form == "json":
         p.write_text(json.dumps(d, indent=2) + "\n")
     else:
-        lines = ["entry = []", "ignore = []", "boundaries = []"]
+        lines = ["entry = []", "ignore = []", "boundaries = []", f"suppressed_by = {json.dumps(d['suppressed_by'])}"]
         for part in ("health", "duplicates"):
             lines += ["", f"[{part}]", *[f"{k} = {v}" for k, v in d[part].items()]]
         p.write_text("\n".join(lines) + "\n")

@@ -55,7 +55,7 @@ def resolve(root: str | Path, ref: str) -> str:
 
 def snapshot(root: str | Path, ref: str) -> dict[str, str]:
     """path to text of every source and configuration file at a revision, relative to root; no folder is written."""
-    commit, out = resolve(root, ref), {}
+    commit, found = resolve(root, ref), []
     for entry in filter(None, _git(root, "ls-tree", "-rz", commit).split("\0")):
         meta, path = entry.split("\t", 1)
         mode, _, blob = meta.split()
@@ -63,5 +63,22 @@ def snapshot(root: str | Path, ref: str) -> dict[str, str]:
             continue
         if mode not in ("100644", "100755") or any(p in ("", ".", "..") for p in path.split("/")):
             raise ValueError(f"not a plain file: {path}")
-        out[path] = _git(root, "cat-file", "blob", blob, text=False).decode()
+        found.append((path, blob))
+    return {path: body.decode() for (path, _), body in zip(found, blobs(root, [b for _, b in found]), strict=True)}
+
+
+def blobs(root: str | Path, names: list[str]) -> list[bytes]:
+    """Contents of many blobs through one process."""
+    r = subprocess.run(["git", "-C", str(root), "cat-file", "--batch"], input="".join(f"{n}\n" for n in names).encode(), capture_output=True, timeout=600)
+    if r.returncode:
+        raise RuntimeError(f"git cat-file: {r.stderr.decode(errors='replace').strip()}")
+    out, at = [], 0
+    for n in names:  # each: a line of name, type and size, the content, and a line end
+        end = r.stdout.index(b"\n", at)
+        head = r.stdout[at:end].split()
+        if len(head) != 3:
+            raise RuntimeError(f"git cat-file: {n} is missing")
+        at = end + 1 + int(head[2])
+        out.append(r.stdout[end + 1 : at])
+        at += 1
     return out

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,51 +48,68 @@ def words_of(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set."""
+    """The folder that the cluster names for checkpoints; one of our own only where none is set and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints/loomlens"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Folders written by this process and not yet deleted.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, lineage cut, safe if executors die."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df from the shared folder, where it is written once, and its path: the lineage ends there, safe if executors die."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """df, computed once. Results read the folder when they are used, so it stays until ``release``."""
+    return written(df, tag)[0]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a table of ours through Hadoop's own file system layer, whatever store it is in."""
+    """Remove a folder of ours through Hadoop's own file system layer, whatever store it is in."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
-def is_local_path(path: str) -> bool:
-    return urlsplit(path).scheme in ("", "file")
+def release(spark: SparkSession) -> int:
+    """Delete every folder that this process has written so far; call it when the results are stored elsewhere."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
     Alternating large-star and small-star rounds, which need a number of rounds logarithmic in the
-    longest path; each round's edges are written to the shared folder. A hub of any degree is only
-    ever one side of an equi-join, which adaptive execution can split. Loops and repeated edges are
-    harmless; an empty table gives an empty result.
+    longest path; each round's edges are written to the shared folder, and those of the round before
+    deleted. A hub of any degree is only ever one side of an equi-join, which adaptive execution can split.
+    Loops and repeated edges are harmless; an empty table gives an empty result.
     """
     spark = edges.sparkSession
-    cur = materialize(
+    cur, path = written(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "cc-edges"
     )
 
@@ -100,10 +117,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         r = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         return tuple(r)
 
-    seen = mark(cur)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    seen, settled = mark(cur), False
+    while seen[0] and not settled:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = (
@@ -121,13 +136,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .where("a > b")
             .distinct()
         )
-        cur = materialize(small, "cc-edges")
+        before = path
+        cur, path = written(small, "cc-edges")
+        delete_path(spark, before)
         now = mark(cur)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        settled, seen = now == seen, now
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -142,6 +142,18 @@ def test_generated_code_gives_the_same(spark):
             spark.conf.set(k, v)
 
 
+def test_what_is_written_can_be_released(spark, docs, tmp_path, monkeypatch):
+    import os
+
+    from loomlens.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(common, "_WRITTEN", [])
+    n = substring_dedup.substring_dedup(docs).count() + minhash.near_duplicates(docs).count()
+    assert n == 2 * len(ROWS) and os.listdir(tmp_path) and not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+    assert common.release(spark) > 0 and os.listdir(tmp_path) == [] == common._WRITTEN
+
+
 # --- personal data against plain Python
 
 

@@ -29,7 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints/loomlens"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 

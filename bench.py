@@ -12,7 +12,7 @@ from loomlens.plans.catalogue import QUERIES
 from loomlens.session import DEFAULTS
 
 HEADLINE = (
-    "churn_hotspots", "fan_out", "fan_in", "zone_violations", "percentile_floors", "dup_lines", "dup_windows", "dup_line_union", "link_edges", "coverage_labels",
+    "churn_hotspots", "fan_out", "fan_in", "zone_violations", "percentile_floors", "dup_lines", "dup_windows", "dup_line_union", "link_edges", "coverage_labels", "coverage_by_joins", "scc_by_joins", "reach_of_imports", "churn_trend_types", "churn_trend_counts",
     "maintainability", "crap", "risk_profile", "health_score", "target_category", "target_order", "unused_keys", "suppressed_findings", "changed_scope",
     "new_only_attribution", "baseline_exclusion", "first_candidate", "flag_lines", "extracted_functions",
 )

@@ -32,8 +32,8 @@ def _doubled(column: str, power: int):
 
 def repeated_windows(df: DataFrame, key: str, tokens: str, m: int) -> DataFrame:
     """(window_md5, n) of the windows that occur more than once; ``key`` names each row. Only one place of each is spelt out."""
-    w = windows(df, key, tokens, m).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("at")).where("n > 1")
-    places = w.groupBy(F.col(f"at.{key}").alias(key)).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "n")).alias("places"))
+    w = windows(df, key, tokens, m).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias(key), F.min_by("pos", key).alias("pos")).where("n > 1")
+    places = w.groupBy(key).agg(F.collect_list(F.struct("pos", "n")).alias("places"))
     spelt = F.transform("places", lambda x: F.struct(F.md5(F.array_join(F.slice(tokens, x["pos"] + 1, F.lit(m)), " ")).alias("window_md5"), x["n"].alias("n")))
     return df.select(key, tokens).join(places, key).select(F.inline_outer(spelt))
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 SMALL_EDGES = 100_000
+#: Rounds after which the nodes reached so far are written as one table.
+COMPACT = 8
 
 
 def distinct_edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -62,10 +64,13 @@ def reachable(edges: DataFrame, entries: DataFrame, small_edges: int | None = No
                     queue.append(b)
         return _table(edges, "src", "node", sorted(seen))
     seen = frontier = materialize(start, "reached")
+    rounds = 0
     while not frontier.isEmpty():
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(seen, "node", "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % COMPACT == 0:  # else every round would add a branch to the plan
+            seen = materialize(seen, "reached")
     return seen
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import is_test_path
-from .config import Config, globs_regex
 
 NOISE = ("node_modules", ".git", "target", "Packages", "ServerPackages")
 
@@ -28,11 +27,6 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     return b.select("path", F.decode("content", "UTF-8").alias("source"), F.col("modificationTime").alias("mtime"), is_test_path(F.col("path")).alias("is_test"))
 
 
-def configured(files: DataFrame, config: Config) -> DataFrame:
-    rx = globs_regex(config.ignore)
-    return files.where(~F.col("path").rlike(rx)) if rx else files
-
-
 def from_pairs(spark: SparkSession, pairs: dict[str, str]) -> DataFrame:
     """files from (path, source), for trees that lie in no folder."""
     df = spark.createDataFrame(sorted(pairs.items()), "path string, source string")

@@ -141,6 +141,12 @@ def test_loops_equal_the_small_graph_paths(spark):
     assert rows(graph.reachable(e, s, 0)) == rows(graph.reachable(e, s)) == [(1,), (2,), (3,), (4,), (7,)]
 
 
+def test_a_long_chain_is_walked_round_by_round(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(11)] + [(20, 3)], "src int, dst int")
+    s = spark.createDataFrame([(0,), (99,)], "node int")
+    assert sorted(r[0] for r in graph.reachable(e, s, 0).collect()) == [*range(12), 99]
+
+
 def test_everything_of_an_empty_project(spark):
     p = Project(spark, from_pairs(spark, {"x.luau": ""}).limit(0))
     assert p.health()["score"].first()["grade"] == "A" and p.dead_code()["findings"].count() == 0 and p.audit()["verdict"] == "pass"

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..session import materialize
 
@@ -48,45 +54,92 @@ def covered_lines(ranges: DataFrame, path: str, first: str, last: str) -> DataFr
     return r.groupBy(path).agg(F.sum(fresh).cast("long").alias("duplicated_lines"))
 
 
-PAIRS = "fingerprint string, rank string, k int, token_count int, line_count int, instances array<struct<file_idx:int,start_line:int,end_line:int>>"
+SPANS = "array<struct<file_idx:int,start_line:int,end_line:int>>"
+PAIRS = f"k long, fingerprint string, token_count int, line_count int, instances {SPANS}, edge struct<part:long,side:int,file_idx:int,tail:array<string>,starts:array<int>,ends:array<int>>"
+#: Suffixes that a task compares at once.
+STRIDE = 1024
+
+
+def fingerprints(keys: list[bytes]) -> list[str]:
+    """FNV-1a (32 bits) of each key, all keys a byte at a time."""
+    order = sorted(range(len(keys)), key=lambda i: -len(keys[i]))
+    lens = np.array([len(keys[i]) for i in order], np.int64)
+    raw, at = np.frombuffer(b"".join(keys[i] for i in order), np.uint8), np.cumsum(lens) - lens
+    h = np.full(len(keys), 2_166_136_261, np.uint32)
+    for j in range(int(lens[0]) if len(lens) else 0):
+        n = np.searchsorted(-lens, -j)  # keys longer than j
+        h[:n] = (h[:n] ^ raw[at[:n] + j]) * np.uint32(16_777_619)
+    out = [""] * len(keys)
+    for i, x in zip(order, h.tolist()):
+        out[i] = f"dup:{x:08x}"
+    return out
 
 
 def fingerprint(tokens: list) -> str:
     """FNV-1a (32 bits) of the tokens with zero bytes between them."""
-    h = 2_166_136_261
-    for c in "\0".join(tokens).encode():
-        h = (h ^ c) * 16_777_619 & 0xFFFFFFFF
-    return f"dup:{h:08x}"
+    return fingerprints(["\0".join(tokens).encode()])[0]
 
 
-def _neighbours(m: int, min_lines: int):
-    """One seed's suffixes, sorted as a suffix array would: neighbours that share at least m tokens.
+def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """b with buffers of its own, so that offsets begin at 0."""
+    return pa.RecordBatch.from_arrays([c.take(pa.array(range(len(c)))) for c in b.columns], b.schema.names)
 
-    Neighbours in one file that overlap in lines must begin at least min_lines apart.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.itertuples(index=False), key=lambda r: ([str(x) for x in r.tail], f"\0EOF:{r.file_idx}"))
-        out = []
-        for k, (a, b) in enumerate(zip(rows, rows[1:])):
-            n = 0
-            for x, y in zip(a.tail, b.tail):
-                if x != y:
-                    break
-                n += 1
+def _neighbours(m: int, min_lines: int, across: bool):
+    """Suffixes in order to the pairs of neighbours that share at least m tokens.
+
+    Neighbours in one file that overlap in lines must begin at least min_lines apart. Each task also returns its
+    first and last suffix as edges; ``across`` then pairs the edges of different tasks.
+    """
+    schema = to_arrow_schema(_parse_datatype_string(PAIRS))  # (this needs the driver)
+
+    def pairs(b: pa.RecordBatch, first: int) -> tuple[list, list]:
+        """Rows of neighbours in b, the first of them numbered ``first``, and what their fingerprints are of."""
+        lists = {c: b.column(c) for c in ("tail", "starts", "ends")}
+        at = lists["tail"].offsets.to_numpy()
+        words = lists["tail"].values
+        codes = words.dictionary_encode().indices.to_numpy()
+        begin, end = (lists[c].values.to_numpy() for c in ("starts", "ends"))
+        files, parts, out, keys = b.column("file_idx").to_numpy(), b.column("part").to_numpy(), [], []
+        for i in range(len(at) - 2):
+            x, y, n = at[i], at[i + 1], min(at[i + 1] - at[i], at[i + 2] - at[i + 1])
+            if across == (parts[i] == parts[i + 1]):
+                continue
+            other = codes[x : x + n] != codes[y : y + n]
+            n = int(other.argmax()) if other.any() else int(n)
             if n < m:
                 continue
-            if a.file_idx == b.file_idx and a.starts[n - 1] >= b.starts[0] and b.starts[n - 1] >= a.starts[0] and abs(a.starts[0] - b.starts[0]) < min_lines:
+            if files[i] == files[i + 1] and begin[x + n - 1] >= begin[y] and begin[y + n - 1] >= begin[x] and abs(int(begin[x]) - int(begin[y])) < min_lines:
                 continue
-            spans = [(r.file_idx, int(r.starts[0]), int(r.ends[n - 1])) for r in (a, b)]
+            spans = [(int(files[r]), int(begin[o]), int(end[o + n - 1])) for r, o in ((i, x), (i + 1, y))]
             lines = [e - s + 1 for _, s, e in spans]
             if min(lines) < min_lines:
                 continue
-            tokens = [str(t) for t in a.tail[:n]]
-            out.append((fingerprint(tokens), "\1".join(tokens), k, n, max(lines), [{"file_idx": f, "start_line": s, "end_line": e} for f, s, e in spans]))
-        return pd.DataFrame(out, columns=["fingerprint", "rank", "k", "token_count", "line_count", "instances"])
-
-    return one
+            k = int(parts[i + 1]) << 33 | (0 if across else first + i)
+            out.append({"k": k, "token_count": n, "line_count": max(lines), "instances": [dict(zip(("file_idx", "start_line", "end_line"), s)) for s in spans], "edge": None})
+            keys.append("\0".join(words[x : x + n].to_pylist()).encode())
+        return out, keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        edge = lambda b, i, side: {c: v[0] for c, v in b.slice(i, 1).to_pydict().items()} | {"side": side}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, STRIDE):
+                b = batch.slice(lo, STRIDE)
+                if not across:
+                    b = pa.RecordBatch.from_arrays([pa.array([part] * b.num_rows, pa.int64()), *b.columns], ["part", *b.schema.names])
+                whole = b if last is None else pa.concat_batches([last, b])
+                out, keys = pairs(_packed(whole), max(seen, 1))
+                for row, f in zip(out, fingerprints(keys), strict=True):
+                    row["fingerprint"] = f
+                if last is None and not across:
+                    out.append({"edge": edge(b, 0, 0)})
+                last, seen = b.slice(b.num_rows - 1, 1), seen + b.num_rows
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if last is not None and not across:
+            yield pa.RecordBatch.from_pylist([{"edge": edge(last, 0, 1)}], schema)
+
+    return run
 
 
 def numbered(paths: DataFrame) -> DataFrame:
@@ -101,9 +154,12 @@ def numbered(paths: DataFrame) -> DataFrame:
 def clone_groups(files: DataFrame, min_tokens: int = 30, min_lines: int = 5, min_occurrences: int = 2) -> DataFrame:
     """files(path, tokens array<struct<text,line,end_line>>) to fingerprint, token_count, line_count, instances.
 
-    Suffixes that share ``min_tokens`` tokens share a window hash, so hashes that occur once are
-    dropped by a count before any suffix leaves its file; within a hash they are neighbours exactly
-    where they are in a suffix array of the whole project. File numbers only break ties of equal suffixes.
+    Suffixes that share ``min_tokens`` tokens share a window hash, so hashes that occur once are dropped by a
+    count before any suffix leaves its file. What two suffixes share ends within the run of repeated windows that
+    they begin in, so a suffix is cut one token behind its run: no two are equal then, and their order is that of
+    a suffix array of the whole project. They are sorted by ranges of all suffixes and not by window, so a window
+    in every file is spread over tasks, each of which streams over its neighbours and holds two suffixes and a
+    batch. The driver sees a sample of suffixes for the ranges.
     """
     if min_tokens < 1 or min_lines < 1 or min_occurrences < 2:
         raise ValueError("min_tokens and min_lines must be positive, min_occurrences at least 2")
@@ -111,16 +167,25 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, min_lines: int = 5, min
     t = files.select("file_idx", "path", F.transform("tokens", lambda x: x["text"]).alias("texts"), F.transform("tokens", lambda x: x["line"]).alias("starts"), F.transform("tokens", lambda x: x["end_line"]).alias("ends"))
     w = windows(t, "file_idx", "texts", min_tokens)
     seeds = w.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
-    hit = w.join(seeds, ["h", "g"]).join(t, "file_idx")
-    cut = lambda c: F.slice(c, F.col("pos") + 1, F.size(c)).alias
-    hit = hit.select("h", "g", "file_idx", "pos", cut("texts")("tail"), cut("starts")("starts"), cut("ends")("ends"))
-    pairs = hit.groupBy("h", "g").applyInPandas(_neighbours(min_tokens, min_lines), PAIRS)
+    hit = w.join(seeds, ["h", "g"]).select("file_idx", "pos")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("file_idx").orderBy("pos"))
+    hit = hit.withColumn("run", run).withColumn("last", F.max("pos").over(Window.partitionBy("file_idx", "run")))
+    hit = materialize(hit.select("file_idx", "pos", "last"), "repeats").join(t, "file_idx")
+    # The end of a file is a token of its own; two files' ends differ.
+    closed = F.concat("texts", F.array(F.concat(F.lit("\0EOF:"), F.col("file_idx").cast("string"))))
+    cut = lambda c: F.slice(c, F.col("pos") + 1, F.col("last") - F.col("pos") + min_tokens + 1)
+    tails = hit.select("file_idx", cut(closed).alias("tail"), *[cut(F.concat(c, F.array(F.lit(0)))).alias(c) for c in ("starts", "ends")])
+    tails = tails.repartitionByRange("tail").sortWithinPartitions("tail")
+    found = materialize(tails.mapInArrow(_neighbours(min_tokens, min_lines, False), PAIRS), "clone-pairs")
+    # Two suffixes a task.
+    edges = found.where("edge IS NOT NULL").select("edge.*").coalesce(1).sortWithinPartitions("part", "side")
+    pairs = found.where("edge IS NULL").unionByName(edges.mapInArrow(_neighbours(min_tokens, min_lines, True), PAIRS))
     names = files.select("file_idx", "path")
     # As many tokens, ends of files among them, as two clones have: else there are none.
     enough = files.agg((F.floor((F.coalesce(F.sum(F.size("tokens")), F.lit(0)) + F.count(F.lit(1))) / 2) >= min_tokens).alias("enough")).where("enough")
-    flat = pairs.select("fingerprint", "rank", "k", "token_count", "line_count", F.posexplode("instances").alias("side", "i")).select("fingerprint", "rank", "k", "token_count", "line_count", "side", "i.*").join(names, "file_idx")
-    inst = F.struct("rank", "k", "side", F.struct("path", "start_line", "end_line").alias("i"))
-    longest = F.struct(-F.col("token_count"), F.col("rank"), F.col("k"))
+    flat = pairs.select("fingerprint", "k", "token_count", "line_count", F.posexplode("instances").alias("side", "i")).select("fingerprint", "k", "token_count", "line_count", "side", "i.*").join(names, "file_idx")
+    inst = F.struct("k", "side", F.struct("path", "start_line", "end_line").alias("i"))
+    longest = F.struct(-F.col("token_count"), F.col("k"))
     g = flat.groupBy("fingerprint").agg(F.max("token_count").alias("token_count"), F.min_by("line_count", longest).alias("line_count"), F.array_sort(F.collect_list(inst)).alias("x"))
     g = g.withColumn("instances", F.array_distinct(F.transform("x", lambda r: r["i"]))).drop("x")
     return g.where(F.size("instances") >= min_occurrences).crossJoin(enough).drop("enough")  # enough is one row or none

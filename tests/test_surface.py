@@ -128,6 +128,24 @@ def test_clones_equal_those_of_a_suffix_array(spark):
     assert clones.fingerprint(["a", "b"]) == f"dup:{fnv(b'a' + bytes(1) + b'b'):08x}"
 
 
+def test_clones_across_tasks_and_batches(spark):
+    """A block in every file: its suffixes lie in several tasks and batches, and files end within a clone."""
+    block = "\n".join(f"local v{i} = a(b)" for i in range(6))
+    files = {f"f{i:02}.luau": block + ("" if i % 4 == 0 else f"\nreturn v{i % 3}") for i in range(9)}
+    rows = [(path, [(t["text"], t["line"], t["end_line"]) for t in extract_source(path, text)["tokens"]]) for path, text in files.items()]
+    df = spark.createDataFrame(rows, "path string, tokens array<struct<text:string,line:int,end_line:int>>")
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["fingerprint"]: (r["token_count"], r["line_count"], [tuple(i) for i in r["instances"]]) for r in clones.clone_groups(df, 12, 2).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == suffix_array_clones(files, 12, 2)
+
+
 def fnv(raw):
     h = 2_166_136_261
     for c in raw:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, integer_key, materialize, narrowed, shuffle_partitions
-from .hashing import U, buffers, mix, shingle_sets
+from .hashing import U, buffers, mix, shingle_sets, slices
 
 BANDS, ROWS = 25, 4
 M = BANDS * ROWS
@@ -49,9 +49,13 @@ _seed = mix(np.arange(1, 2 * M + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _A, _B = _seed[:M] | U(1), _seed[M:]
 #: Two unequal minima share a register this often (HyperMinHash, ten mantissa bits).
 COLLISION = 0.169919487159739 * 2.0 ** (1 - 10)
-#: Members of its bands that a text is compared with at first; bytes of shingles in a block, and in a pack of groups.
+#: Members of its bands that a text is compared with at first; bytes in a block, and in a pack of groups.
 LEADERS = 4
 BLOCK_BYTES, PACK_BYTES = 8 << 20, 16 << 20
+#: Bytes of text whose sets a Python worker holds at once.
+SLICE_BYTES = 4 << 20
+#: Bytes of a text beside its shingles: registers, bands and what Python needs to hold them.
+ROW_BYTES = 2 * M + 8 * BANDS + 300
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -97,16 +101,18 @@ def _signatures(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = buffers(batch.column(1))
-            sets = [s.tobytes() for s in shingle_sets(raw, at, width)]
-            # Rows of one doc_id may hold other texts than the representative's: those are not its set.
-            own = [xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(2).to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays(
-                [batch.column(0), *[batch.column(i) for i in range(3, batch.num_columns)], pa.array(sets, pa.binary())],
-                ["doc_id", *batch.schema.names[3:], "shingles"],
-            )
-            yield out.filter(pa.array(own, pa.bool_()))
+        for whole in batches:
+            for i, j in slices(buffers(whole.column(1))[1], SLICE_BYTES):
+                batch = whole.slice(i, j - i)
+                raw, at = buffers(batch.column(1))
+                sets = [s.tobytes() for s in shingle_sets(raw, at, width)]
+                # Rows of one doc_id may hold other texts than the representative's: those are not its set.
+                own = [xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(2).to_pylist(), strict=True)]
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[batch.column(i) for i in range(3, batch.num_columns)], pa.array(sets, pa.binary())],
+                    ["doc_id", *batch.schema.names[3:], "shingles"],
+                )
+                yield out.filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -195,7 +201,7 @@ def _confirm(percent: int):
     def run(t: pa.Table) -> pa.Table:
         column = lambda c: t.column(c).to_numpy()
         ids, labels, band, no, low, high, block = (column(c) for c in ("doc_id", "label", "band", "no", "low", "high", "block"))
-        keys, regs = t.column("shingles").to_pylist(), np.stack([np.frombuffer(x, np.uint16) for x in t.column("regs").to_pylist()])
+        (raw, at), regs = buffers(t.column("shingles")), np.stack([np.frombuffer(x, np.uint16) for x in t.column("regs").to_pylist()])
         bands = t.column("bands").combine_chunks().values.to_numpy().reshape(-1, BANDS)
         order, out = np.lexsort((ids, high, low, band)), []
         same = lambda c: c[order][1:] == c[order][:-1]
@@ -207,7 +213,7 @@ def _confirm(percent: int):
                     continue
             if (labels[rows] == labels[rows[0]]).all():
                 continue
-            out += links_within(ids[rows], labels[rows], [np.frombuffer(keys[r], U) for r in rows], regs[rows], bands[rows], int(no[rows[0]]), percent, left)
+            out += links_within(ids[rows], labels[rows], [raw[at[r] : at[r + 1]].view(U) for r in rows], regs[rows], bands[rows], int(no[rows[0]]), percent, left)
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -217,8 +223,8 @@ def _confirm(percent: int):
 def _star_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in (2, 3))
-            ok = [similar(np.frombuffer(p, U), np.frombuffer(q, U), percent) for p, q in zip(x, y, strict=True)]
+            (x, x_at), (y, y_at) = buffers(batch.column(2)), buffers(batch.column(3))
+            ok = [similar(x[x_at[i] : x_at[i + 1]].view(U), y[y_at[i] : y_at[i + 1]].view(U), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -277,7 +283,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     labelled = materialize(stars.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "labels")
     open_ = members.join(labelled, "rep")
     several = open_.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    open_ = open_.join(several, "band").join(reps.select("rep", (8 * F.col("n")).alias("bytes")), "rep")
+    open_ = open_.join(several, "band").join(reps.select("rep", (8 * F.col("n") + ROW_BYTES).alias("bytes")), "rep")
     open_ = materialize(open_.select("band", "no", "rep", "label", "bytes"), "open-bands")
     dealt = materialize(blocks_of(open_, block_bytes), "blocks")
     size = dealt.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]

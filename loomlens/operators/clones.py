@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -15,33 +15,85 @@ from pyspark.sql.types import _parse_datatype_string
 from ..session import materialize
 
 
-def windows(df: DataFrame, key: str, tokens: str, m: int) -> DataFrame:
-    """(key, pos, h, g) of every m consecutive tokens: 96 bits of hash by doubling, a few steps a token whatever m; the tokens stay behind."""
+def _hashed(df: DataFrame, key: str, tokens: str | Column, m: int) -> tuple[DataFrame, Callable]:
+    """Rows of at least m tokens as hashes of 1, 2, 4 ... tokens from each place, and the hashes that n tokens from a place consist of."""
     t = df.select(F.col(key).alias(key), F.transform(tokens, lambda x: F.xxhash64(x)).alias("_1")).where(F.size("_1") >= m)
     power = 1
     while 2 * power <= m:
         t = t.withColumn(f"_{2 * power}", _doubled(f"_{power}", power))
         power *= 2
-    parts, at = [], 0
-    while at < m:
-        while at + power > m:
-            power //= 2
-        parts.append((f"_{power}", at))
-        at += power
-    both = F.transform(F.sequence(F.lit(0), F.size("_1") - m), lambda i: F.struct(F.xxhash64(*[F.get(c, i + o) for c, o in parts]).alias("h"), F.hash(*[F.get(c, i + o) for c, o in parts]).alias("g")))
-    return t.select(key, F.posexplode_outer(both).alias("pos", "w")).select(key, "pos", "w.h", "w.g")
+
+    def parts(i: Column, n: int) -> list[Column]:
+        step, at, out = power, 0, []
+        while at < n:
+            while at + step > n:
+                step //= 2
+            out.append(F.get(f"_{step}", i + at))
+            at += step
+        return out
+
+    return t, parts
 
 
 def _doubled(column: str, power: int):
     return F.transform(column, lambda x, i: F.xxhash64(x, F.get(column, i + power)))
 
 
-def repeated_windows(df: DataFrame, key: str, tokens: str, m: int) -> DataFrame:
-    """(window_md5, n) of the windows that occur more than once; ``key`` names each row. Only one place of each is spelt out."""
-    w = windows(df, key, tokens, m).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias(key), F.min_by("pos", key).alias("pos")).where("n > 1")
-    places = w.groupBy(key).agg(F.collect_list(F.struct("pos", "n")).alias("places"))
-    spelt = F.transform("places", lambda x: F.struct(F.md5(F.array_join(F.slice(tokens, x["pos"] + 1, F.lit(m)), " ")).alias("window_md5"), x["n"].alias("n")))
-    return df.select(key, tokens).join(places, key).select(F.inline_outer(spelt))
+def _lesser(column: str, power: int):
+    return F.transform(column, lambda x, i: F.least(x, F.get(column, i + power)))
+
+
+def windows(df: DataFrame, key: str, tokens: str | Column, m: int) -> DataFrame:
+    """(key, pos, h, g) of every m consecutive tokens: 96 bits of hash by doubling, a few steps a token whatever m; the tokens stay behind."""
+    t, parts = _hashed(df, key, tokens, m)
+    both = F.transform(F.sequence(F.lit(0), F.size("_1") - m), lambda i: F.struct(F.xxhash64(*parts(i, m)).alias("h"), F.hash(*parts(i, m)).alias("g")))
+    return t.select(key, F.posexplode_outer(both).alias("pos", "w")).select(key, "pos", "w.h", "w.g")
+
+
+def runs(df: DataFrame, key: str, tokens: str | Column, m: int) -> DataFrame:
+    """(key, pick, sig, first, n) of every run of n windows from ``first`` that share a pick, about two runs to m / 2 windows.
+
+    A window's pick is the place of its least gram of about m / 2 tokens, the leftmost of equal ones. Equal windows pick equal grams,
+    and at different places if they are different windows: a window can only repeat where the gram of its pick is picked at
+    two places. ``pick`` is the gram's hash. ``sig`` is one of all tokens of the run, as its first and last window overlap.
+    """
+    width = 1
+    while 2 * width <= (m + 2) // 2:
+        width *= 2
+    gram, place = m - width + 1, (1 << 31) - 1
+    t, parts = _hashed(df, key, tokens, m)
+    grams = F.transform(F.sequence(F.lit(0), F.size("_1") - gram), lambda i: F.xxhash64(*parts(i, gram)).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("bigint")))
+    t, power = t.withColumn("_p1", grams), 1
+    while power < width:
+        t = t.withColumn(f"_p{2 * power}", _lesser(f"_p{power}", power))
+        power *= 2
+    picks = f"_p{width}"
+    heads = F.filter(F.sequence(F.lit(0), F.size("_1") - m), lambda i: (i == 0) | (F.get(picks, i) != F.get(picks, i - 1)))
+    t = t.withColumn("_s", heads)
+    t = t.withColumn("_r", F.transform("_s", lambda x, j: F.struct(x.alias("b"), (F.coalesce(F.get("_s", j + 1), F.size("_1") - m + 1) - 1).alias("e"), F.get(picks, x).bitwiseAND(F.lit(place)).cast("int").alias("p"))))
+    found = F.transform("_r", lambda r: F.struct(
+        F.xxhash64(*parts(r["p"], gram)).alias("pick"), F.xxhash64(*parts(r["b"], m), *parts(r["e"], m), r["e"] - r["b"]).alias("sig"), r["b"].alias("first"), (r["e"] - r["b"] + 1).alias("n"),
+    ))
+    return t.select(key, F.inline(found))
+
+
+def repeated_windows(df: DataFrame, key: str, tokens: str | Column, m: int) -> DataFrame:
+    """(window_md5, n) of the windows that occur more than once; ``key`` names each row.
+
+    Runs of windows are shuffled, not windows. Equal runs are counted first and spelt out at one place only, and only
+    where another run has the same pick; what is spelt out is counted by its md5. ``tokens`` may be an expression over df, then
+    df's columns are shuffled and not their tokens.
+    """
+    same = F.col("first").cast("bigint") * (m + 1) + F.col("n")  # a run has at most m windows
+    kinds = runs(df, key, tokens, m).select(key, "pick", "sig", same.alias("span")).groupBy("pick", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias(key), F.min_by("span", key).alias("span"))
+    kinds = kinds.withColumn("total", F.sum("n").over(Window.partitionBy("pick"))).where("total > 1")
+    first, length = F.floor(F.col("span") / (m + 1)).cast("int"), (F.col("span") % (m + 1)).cast("int")
+    places = kinds.groupBy(key).agg(F.collect_list(F.struct(first.alias("first"), length.alias("length"), "n")).alias("places"))
+    t = df.join(places, key).select("places", F.col(tokens).alias("_t") if isinstance(tokens, str) else tokens.alias("_t"))
+    md5 = lambda i: F.unhex(F.md5(F.array_join(F.slice("_t", i + 1, F.lit(m)), " ")))
+    spelt = F.flatten(F.transform("places", lambda x: F.transform(F.sequence(x["first"], x["first"] + x["length"] - 1), lambda i: F.struct(md5(i).alias("w"), x["n"].alias("n")))))
+    found = t.select(F.inline(spelt)).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    return found.select(F.lower(F.hex("w")).alias("window_md5"), "n")
 
 
 def covered_lines(ranges: DataFrame, path: str, first: str, last: str) -> DataFrame:

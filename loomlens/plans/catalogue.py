@@ -140,8 +140,7 @@ g AS (SELECT doc_id, md5(array_to_string(w[i:i + 29], ' ')) AS h FROM (SELECT do
 SELECT h AS window_md5, count(*) AS n FROM g GROUP BY h HAVING count(*) > 1""")
 def dup_windows(spark, d):
     """G8, seeds: 30-token windows that occur more than once."""
-    t = read(spark, d, "documents").select("doc_id", F.filter(F.split("text", "[ \n]"), lambda x: x != "").alias("tokens"))
-    return clones.repeated_windows(t, "doc_id", "tokens", 30)
+    return clones.repeated_windows(read(spark, d, "documents").select("doc_id", "text"), "doc_id", F.filter(F.split("text", "[ \n]"), lambda x: x != ""), 30)
 
 
 @query("""WITH r AS (SELECT l_orderkey % 50 AS path, l_partkey % 400 AS a, l_partkey % 400 + l_quantity::INT - 1 AS b FROM lineitem),

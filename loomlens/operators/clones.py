@@ -15,9 +15,9 @@ from pyspark.sql.types import _parse_datatype_string
 from ..session import materialize
 
 
-def _hashed(df: DataFrame, key: str, tokens: str | Column, m: int) -> tuple[DataFrame, Callable]:
+def _hashed(df: DataFrame, key: str, tokens: str | Column, m: int, *more: str) -> tuple[DataFrame, Callable]:
     """Rows of at least m tokens as hashes of 1, 2, 4 ... tokens from each place, and the hashes that n tokens from a place consist of."""
-    t = df.select(F.col(key).alias(key), F.transform(tokens, lambda x: F.xxhash64(x)).alias("_1")).where(F.size("_1") >= m)
+    t = df.select(F.col(key).alias(key), *more, F.transform(tokens, lambda x: F.xxhash64(x)).alias("_1")).where(F.size("_1") >= m)
     power = 1
     while 2 * power <= m:
         t = t.withColumn(f"_{2 * power}", _doubled(f"_{power}", power))
@@ -43,11 +43,16 @@ def _lesser(column: str, power: int):
     return F.transform(column, lambda x, i: F.least(x, F.get(column, i + power)))
 
 
-def windows(df: DataFrame, key: str, tokens: str | Column, m: int) -> DataFrame:
-    """(key, pos, h, g) of every m consecutive tokens: 96 bits of hash by doubling, a few steps a token whatever m; the tokens stay behind."""
-    t, parts = _hashed(df, key, tokens, m)
-    both = F.transform(F.sequence(F.lit(0), F.size("_1") - m), lambda i: F.struct(F.xxhash64(*parts(i, m)).alias("h"), F.hash(*parts(i, m)).alias("g")))
-    return t.select(key, F.posexplode_outer(both).alias("pos", "w")).select(key, "pos", "w.h", "w.g")
+def windows(df: DataFrame, key: str, tokens: str | Column, m: int, within: str) -> DataFrame:
+    """(key, pos, h, g) of m consecutive tokens in the runs of array<struct<first,n>> ``within``: 96 bits of hash by doubling, a few
+    steps a token whatever m; the tokens stay behind."""
+    t, parts = _hashed(df, key, tokens, m, within)
+    both = F.transform(_places(within), lambda i: F.struct(i.alias("pos"), F.xxhash64(*parts(i, m)).alias("h"), F.hash(*parts(i, m)).alias("g")))
+    return t.select(key, F.inline_outer(both))
+
+
+def _places(within: str) -> Column:
+    return F.flatten(F.transform(within, lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1)))
 
 
 def runs(df: DataFrame, key: str, tokens: str | Column, m: int) -> DataFrame:
@@ -74,7 +79,7 @@ def runs(df: DataFrame, key: str, tokens: str | Column, m: int) -> DataFrame:
     found = F.transform("_r", lambda r: F.struct(
         F.xxhash64(*parts(r["p"], gram)).alias("pick"), F.xxhash64(*parts(r["b"], m), *parts(r["e"], m), r["e"] - r["b"]).alias("sig"), r["b"].alias("first"), (r["e"] - r["b"] + 1).alias("n"),
     ))
-    return t.select(key, F.inline(found))
+    return t.select(key, F.inline_outer(found))
 
 
 def repeated_windows(df: DataFrame, key: str, tokens: str | Column, m: int) -> DataFrame:
@@ -92,7 +97,7 @@ def repeated_windows(df: DataFrame, key: str, tokens: str | Column, m: int) -> D
     t = df.join(places, key).select("places", F.col(tokens).alias("_t") if isinstance(tokens, str) else tokens.alias("_t"))
     md5 = lambda i: F.unhex(F.md5(F.array_join(F.slice("_t", i + 1, F.lit(m)), " ")))
     spelt = F.flatten(F.transform("places", lambda x: F.transform(F.sequence(x["first"], x["first"] + x["length"] - 1), lambda i: F.struct(md5(i).alias("w"), x["n"].alias("n")))))
-    found = t.select(F.inline(spelt)).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    found = t.select(F.inline_outer(spelt)).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
     return found.select(F.lower(F.hex("w")).alias("window_md5"), "n")
 
 
@@ -207,7 +212,7 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, min_lines: int = 5, min
     """files(path, tokens array<struct<text,line,end_line>>) to fingerprint, token_count, line_count, instances.
 
     Suffixes that share ``min_tokens`` tokens share a window hash, so hashes that occur once are dropped by a
-    count before any suffix leaves its file. What two suffixes share ends within the run of repeated windows that
+    count before any suffix leaves its file; windows whose pick occurs once are not even counted. What two suffixes share ends within the run of repeated windows that
     they begin in, so a suffix is cut one token behind its run: no two are equal then, and their order is that of
     a suffix array of the whole project. They are sorted by ranges of all suffixes and not by window, so a window
     in every file is spread over tasks, each of which streams over its neighbours and holds two suffixes and a
@@ -217,7 +222,10 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, min_lines: int = 5, min
         raise ValueError("min_tokens and min_lines must be positive, min_occurrences at least 2")
     files = files.join(numbered(files), "path")
     t = files.select("file_idx", "path", F.transform("tokens", lambda x: x["text"]).alias("texts"), F.transform("tokens", lambda x: x["line"]).alias("starts"), F.transform("tokens", lambda x: x["end_line"]).alias("ends"))
-    w = windows(t, "file_idx", "texts", min_tokens)
+    r = runs(t, "file_idx", "texts", min_tokens)
+    twice = r.groupBy("pick").agg(F.count(F.lit(1)).alias("x")).where("x > 1").select("pick")
+    within = r.join(twice, "pick").groupBy("file_idx").agg(F.collect_list(F.struct("first", "n")).alias("within"))
+    w = materialize(windows(t.join(within, "file_idx"), "file_idx", "texts", min_tokens, "within"), "windows")
     seeds = w.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
     hit = w.join(seeds, ["h", "g"]).select("file_idx", "pos")
     run = F.col("pos") - F.row_number().over(Window.partitionBy("file_idx").orderBy("pos"))

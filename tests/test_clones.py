@@ -45,3 +45,16 @@ def test_windows_that_are_not_repeated_stay_in_their_file(spark):
     got = sorted(tuple(x) for x in clones.repeated_windows(df, "k", F.split("text", " "), 30).collect())
     assert got == counted(texts, 30) and len(got) == 21
     assert shuffled(spark) - before < 60 * 271 / 4
+
+
+def test_clone_groups_count_no_window_that_cannot_repeat(spark):
+    """All 16,260 windows would be shuffled if all were counted."""
+    r = random.Random(6)
+    texts = [[f"w{r.randrange(10**9)}" for _ in range(300)] for _ in range(60)]
+    texts[7][40:90] = texts[31][200:250]
+    rows = [(f"f{i}", [(x, k, k) for k, x in enumerate(w, 1)]) for i, w in enumerate(texts)]
+    files, before = spark.createDataFrame(rows, "path string, tokens array<struct<text:string,line:int,end_line:int>>"), shuffled(spark)
+    got = clones.clone_groups(files).collect()
+    whole = [tuple(i) for g in got if g["token_count"] == 50 for i in g["instances"]]
+    assert len(got) == 21 and sorted(whole) == [("f31", 201, 250), ("f7", 41, 90)]
+    assert shuffled(spark) - before < 60 * 271 / 2
